@@ -7,15 +7,19 @@ from .crf_quality import op1_crf_quality
 from .hashing_search import op4_multi_index_hashing
 from .packing import op9_best_fit_packing
 from .segment_search import OP2_SQL, op2_exact_top_k
+from .suffix_array_dedup import op3_suffix_array_dedup
+from .suffix_tree_dedup import op7_suffix_tree_dedup
 from .toxicity import op5_toxicity
 from .warc import op8_warc
 
 QUERIES = {
     "op1_crf_quality": op1_crf_quality,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
