@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -310,11 +311,15 @@ def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, ou
     n_buckets = min(n_chunks, 64 + n_chunks // 4)
     base = base.withColumn("chunk", F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(n_chunks)).cast("int"))
 
+    def in_order(t: pa.Table) -> pa.Table:
+        """Rows of a shuffle come in any order; each step must see the same one."""
+        return t.take(pc.sort_indices(t, sort_keys=[("__id", "ascending"), ("__text", "ascending")]))
+
     def unit_of(t: pa.Table) -> Unit:
         return kind(*text_bytes(t.column("__text").combine_chunks()))
 
     def step1(t: pa.Table) -> pa.Table:
-        return picks_of(unit_of(t), t.column("chunk")[0].as_py(), n_buckets)
+        return picks_of(unit_of(in_order(t)), t.column("chunk")[0].as_py(), n_buckets)
 
     def split(r: pa.Table, first: bool) -> dict[int, bytes]:
         return {b: d for b, d, s in zip(r.column("bucket").to_pylist(), r.column("data").to_pylist(), r.column("step").to_pylist(), strict=True) if (s == 1) == first}
@@ -322,9 +327,11 @@ def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, ou
     def step2(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t):
             return rows([], "bucket", "chunk")
+        t = in_order(t)
         return Chunk(unit_of(t), int_ids(t.column("__id").combine_chunks()), n_buckets, split(r, True)).sent(t.column("chunk")[0].as_py())
 
     def step3(t: pa.Table, r: pa.Table) -> pa.Table:
+        t = in_order(t)
         unit = unit_of(t)
         ids = int_ids(t.column("__id").combine_chunks())
         chunk = Chunk(unit, ids, n_buckets, split(r, True))
