@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import crf_quality, toxicity
+from tidemark.llm import crf_quality, jaccard_join, suffix_array_dedup, toxicity
+from tidemark.llm import packing as best_fit
 from tidemark.llm.common import prepare, shared_dir, table
 
 
@@ -24,7 +26,30 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
-STAGES = [("quality", quality), ("toxicity", toxic)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id. Texts without words all stay."""
+    prepare(spark)
+    groups = jaccard_join.near_duplicates(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id").dropDuplicates()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings of 50 or more that an earlier document has."""
+    prepare(spark)
+    kept = suffix_array_dedup.kept_texts(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    prepare(spark)
+    return best_fit.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("toxicity", toxic), ("near duplicates", near_duplicates), ("repeated strings", repeated_strings), ("packing", packing)]
 #: Classifiers and suffix arrays are beyond SQL.
 ORACLE_SQL = None
 
@@ -32,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/stage-{name.replace(" ", "-")}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

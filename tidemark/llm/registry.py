@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op6_byte_bpe
 from .crf_quality import op1_crf_quality
 from .hashing_search import op4_multi_index_hashing
+from .jaccard_join import op10_jaccard_join
 from .packing import op9_best_fit_packing
 from .segment_search import OP2_SQL, op2_exact_top_k
 from .suffix_array_dedup import op3_suffix_array_dedup
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {"op2_exact_top_k": OP2_SQL}
