@@ -9,6 +9,7 @@ step uses up a length. Pieces then take their places by their rank within their
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,55 +22,69 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Distinct words that a worker remembers; it forgets all of them beyond that. Longer ones are not remembered.
-CACHE, CACHED_LENGTH = 400_000, 64
+#: Distinct pre-tokens that a worker remembers; it forgets all of them beyond that. Longer ones are not remembered.
+CACHE, CACHED_LENGTH = 1_200_000, 64
 CAPACITY, END_ID = 4096, 1
+#: Letters and numbers of the Latin blocks up to U+017F, and the tokenizer's pattern over them. On these
+#: characters Python's lower() does just what its normaliser (NFC, white space, lower case) does; a text with any other
+#: character, or what may be a special token, goes to the library whole.
+LETTERS, NUMBERS = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PATTERN = rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f]|<\\|")
 
 
-class _Known(dict):
-    """White-space-delimited word -> its ids as little-endian bytes.
+class Tokens:
+    """A text's ids as little-endian bytes: those of its pre-tokens, each looked up once.
 
-    The tokenizer drops white space, neither its normaliser nor its patterns reach across it, so a text's ids are those
-    of its words in order.
+    New pre-tokens are encoded many at a time with spaces between; each ends with the one id whose piece ends a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHE:
-            self.clear()
-        new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            self[word] = out
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.find = re.compile(PATTERN).findall
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        texts = [" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        data, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(cut) != len(parts) + 1:
+            raise ValueError("a pre-token's ids do not end with a word's end")
+        return {w: data[a:b] for w, a, b in zip(parts, cut[:-1], cut[1:], strict=True)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _OTHER.search(t) else self.find(t.lower()) for t in texts]
+        new = list(set().union(*(s for s in split if s)) - self.known.keys())
+        long = self.learn([w for w in new if len(w) > CACHED_LENGTH]) if any(len(w) > CACHED_LENGTH for w in new) else {}
+        short = [w for w in new if len(w) <= CACHED_LENGTH]
+        if short:
+            if len(self.known) + len(short) > CACHE:
+                self.known.clear()
+                short = list({w for s in split if s for w in s if len(w) <= CACHED_LENGTH})
+            self.known.update(self.learn(short))
+        known = {**self.known, **long} if long else self.known
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> _Known:
-    return _Known(path)
+def _tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, piece, start, length, ids_crc32 of every document's ids followed by end_id, cut each `capacity` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = _known(path), np.array([end_id], "<u4").tobytes()
-        get, width = known.__getitem__, 4 * capacity
+        tokens, end, width = _tokens(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             at, piece, length, crc = [], [], [], []
-            split = [(text.as_py() or "").split() for text in batch.column(1)]
-            known.learn({w for ws in split for w in ws if w not in known and len(w) <= CACHED_LENGTH})
-            for i, ws in enumerate(split):
-                ids = b"".join(map(get, ws)) + end
+            for i, ids in enumerate(tokens.encode([text.as_py() or "" for text in batch.column(1)])):
+                ids += end
                 for j, a in enumerate(range(0, len(ids), width)):
                     part = ids[a : a + width]
                     at.append(i)
