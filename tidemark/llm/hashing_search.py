@@ -55,31 +55,25 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Substring tables of a block: for each substring, its distinct values and the rows that have them."""
+    """Substring tables of a block: for each substring, its distinct values, and the place of each row's among them."""
 
     def __init__(self, code: np.ndarray):
-        self.code, self.tables = code, []
-        for column in code.T:
-            order = np.argsort(column, kind="stable")
-            values, first = np.unique(column[order], return_index=True)
-            self.tables.append((values, np.r_[first, len(order)], order))
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes differ from the query's in at most `radius` bits: all of them, by the pigeonhole bound."""
-        near = radius // len(self.tables)
-        seen = np.zeros(len(self.code), bool)
-        for value, (values, first, order) in zip(query, self.tables, strict=True):
-            hit = np.flatnonzero(_DIFFER[values ^ value] <= near)  # of the values that occur, those to probe
-            if len(hit) * 2 > len(values):
-                mark = np.repeat(_DIFFER[values ^ value] <= near, np.diff(first))
-                seen[order[mark]] = True
-            else:
-                for h in hit:
-                    seen[order[first[h] : first[h + 1]]] = True
+        self.code, self.tables = code, [np.unique(column, return_inverse=True) for column in code.T]
+
+    def within(self, query: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(queries, rows): codes that differ from a query's in at most its radius; all of them, by the pigeonhole bound."""
+        near = (radius // len(self.tables))[:, None]
+        seen = np.zeros((len(query), len(self.code)), bool)
+        for value, (values, place) in zip(query.T, self.tables, strict=True):
+            seen |= (_DIFFER[values ^ value[:, None]] <= near)[:, place]  # probe the values that occur, take their rows
             if seen.all():
                 break
-        rows = np.flatnonzero(seen)
-        return rows[_DIFFER[self.code[rows] ^ query].sum(axis=1, dtype=np.int32) <= radius]
+        if seen.mean() > 0.1:
+            return seen & (distances(query, self.code) <= radius[:, None])
+        qi, xi = np.nonzero(seen)
+        far = _DIFFER[query[qi] ^ self.code[xi]].sum(axis=1, dtype=np.int32) > radius[qi]
+        seen[qi[far], xi[far]] = False
+        return seen
 
 
 def fit_radius(x: np.ndarray, code: np.ndarray, k: int, reach: float = REACH) -> int:
@@ -123,16 +117,20 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
         radius = known.value[1]
         q, x = np.frombuffer(qx, "<f8").reshape(n_q, -1), np.frombuffer(xs, "<f8").reshape(n_x, -1)
         qc, xc = np.frombuffer(q_code, "<u2").reshape(n_q, -1), np.frombuffer(x_code, "<u2").reshape(n_x, -1)
-        index, qi, xi, scores = Index(xc), [], [], []
-        for i in range(n_q):
-            r, found = radius, index.within(qc[i], radius)
-            while np.isinf(top[i]) and len(found) < min(k + 1, n_x):
-                r = r + 8
-                found = index.within(qc[i], r)
-            qi.append(np.full(len(found), i))
-            xi.append(found)
-            scores.append(x[found] @ q[i])
-        qi, xi, score = map(np.concatenate, (qi, xi, scores))
+        index, parts = Index(xc), []
+        for a in range(0, n_q, 64):
+            rows = np.arange(a, min(n_q, a + 64))
+            reach = np.full(len(rows), radius)
+            found = index.within(qc[rows], reach)
+            while True:
+                few = np.isinf(top[rows]) & (found.sum(axis=1) < min(k + 1, n_x))
+                if not few.any():
+                    break
+                reach[few] += 8
+                found[few] = index.within(qc[rows[few]], reach[few])
+            i, j = np.nonzero(found)
+            parts.append((rows[i], j, (q[rows] @ x.T)[i, j]))
+        qi, xi, score = map(np.concatenate, zip(*parts, strict=True))
         keep = score >= top[qi]
         return qi[keep], xi[keep], score[keep]
 
