@@ -15,6 +15,7 @@ neither copies nor common passages make a bucket grow with their number; nothing
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import int_ids, mix, rolling, text_bytes, word_hashes, words
 
@@ -299,11 +301,20 @@ def covered(unit: Unit, chunk: Chunk, found: dict[int, bytes]) -> np.ndarray:
     return mask
 
 
-def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, out_schema: str, id_col: Column | str, text_col: Column | str, rest: list[str] | None = None, hot: int = HOT, chunk_bytes: int | None = None) -> DataFrame:
+def nullable(schema: StructType) -> StructType:
+    """The schema with nulls allowed everywhere, as Arrow tables from Python have it."""
+    text = schema.json()
+    for key in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{key}":false', f'"{key}":true')
+    return StructType.fromJson(json.loads(text))
+
+
+def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, out_schema: str | StructType, id_col: Column | str, text_col: Column | str, rest: list[str] | None = None, hot: int = HOT, chunk_bytes: int | None = None) -> DataFrame:
     """finish(ids and rest as a table, unit, removed tokens) -> table of out_schema, over all rows of docs."""
     cols = [F.col(id_col).cast("long").alias("__id") if isinstance(id_col, str) else id_col.cast("long").alias("__id"), F.col(text_col).alias("__text") if isinstance(text_col, str) else text_col.alias("__text")]
     if rest:
-        cols.append(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest"))
+        chosen = docs.select(*(f"`{c}`" for c in rest)).schema
+        cols.append(F.struct(*(F.col(f"`{c}`") for c in rest)).cast(nullable(chosen)).alias("__rest"))
     base = docs.select(*cols)
     total = base.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     size = chunk_bytes or min(MOST_CHUNK, max(LEAST_CHUNK, total // CHUNKS))

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import table
-from .repeats import Bytes, Unit, mark
+from .repeats import Bytes, Unit, mark, nullable
 
 #: Bytes of a shard.
 SHARD_BYTES = 4 << 20
@@ -174,13 +175,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed bytes gone from text_col; characters that lost some of their bytes go whole. All rows stay."""
     rest = [c for c in docs.columns if c != text_col]
-    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("r")).schema["r"].dataType.simpleString()
+    out_schema = StructType([StructField("rest", nullable(docs.select(*(f"`{c}`" for c in rest)).schema)), StructField("text", StringType())])
 
     def finish(t: pa.Table, unit: Unit, gone: np.ndarray) -> pa.Table:
         kept = [unit.buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(unit.at[:-1], unit.at[1:], strict=True)]
         return pa.table({"rest": t.column("__rest"), "text": pa.array(kept, pa.string())})
 
-    out = mark(docs, Bytes, earliest, finish, f"rest {kind}, text string", id_col, text_col, rest)
+    out = mark(docs, Bytes, earliest, finish, out_schema, id_col, text_col, rest)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
