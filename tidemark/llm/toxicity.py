@@ -61,6 +61,17 @@ def document_features(text: str) -> set[str]:
     return {f for t in set(tokens(text)) for f in features(t)}
 
 
+def productive(names: list[str], texts: list[str]) -> set[str]:
+    """Words, and those prefixes that no single word accounts for: others say nothing of words not seen yet."""
+    within: dict[str, Counter] = {f: Counter() for f in names}
+    for text in texts:
+        for whole, *prefixes in filter(None, map(features, set(tokens(text)))):
+            for f in prefixes:
+                if f in within:
+                    within[f][whole] += 1
+    return {f for f, n in within.items() if f.endswith("\0") or 2 * max(n.values()) <= sum(n.values())}
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds ratios and their z-scores; the prior is `prior` documents of each class in the corpus's own proportions."""
     share = (toxic + clean + 0.5) / (n_toxic + n_clean + 1)
@@ -206,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     b = np.array([counted.get(i, 0) for i in range(len(names))], float)
     odds, z = log_odds(a, b, len(learn), n_clean)
     keep = np.flatnonzero((z >= LEAST_Z) & (odds >= LEAST_ODDS))
-    model = Model({names[i]: (float(z[i]), float(min(odds[i], TOP))) for i in keep})
+    kept = productive([names[i] for i in keep], learn)
+    model = Model({names[i]: (float(z[i]), float(min(odds[i], TOP))) for i in keep if names[i] in kept})
     known = spark.sparkContext.broadcast(model.weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
