@@ -59,7 +59,7 @@ def strip_host(url: Column) -> Column:
 
 def pretty_url(url: Column, kind: Column, home: str = "Home") -> Column:
     """What is shown for a URL: decoded; of a file the last segment; the root has a name."""
-    plain = F.coalesce(F.try_url_decode(url), url)
+    plain = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)  # a plus sign is no space in a path
     return F.when(kind == "file", basename(plain)).when(plain == "/", F.lit(home)).otherwise(plain)
 
 

@@ -18,6 +18,7 @@ DEFAULT_EXCLUDED = ("files/intern/**", "files/admin/**", "files/private/**")
 def closure(tree: DataFrame) -> DataFrame:
     """id, ancestor, depth (0: itself) of every node, at most MOST_DEPTH up; a cycle ends there."""
     spark, view = tree.sparkSession, "tidemark_tree"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a tree may have any number of rows; the depth is bounded below
     tree.select("id", "pid").createOrReplaceTempView(view)
     return spark.sql(f"""
         WITH RECURSIVE up(id, ancestor, depth) AS (
@@ -118,6 +119,14 @@ def orphans(items: DataFrame, indexed: DataFrame) -> DataFrame:
     return indexed.select("id").distinct().join(items.where("include").select("id"), "id", "left_anti")
 
 
+def diff_report(items: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row: on_site, in_index, both, missing (on the site only), orphans (in the index only)."""
+    site = items.where("include").select(F.col("id").alias("item")).distinct()
+    there, known = F.col("item").isNotNull(), F.col("known").isNotNull()
+    met = site.join(indexed.select(F.col("id").alias("known")).distinct(), F.col("item") == F.col("known"), "full")
+    return met.agg(F.count("item").alias("on_site"), F.count("known").alias("in_index"), F.count_if(there & known).alias("both"), F.count_if(there & ~known).alias("missing"), F.count_if(~there & known).alias("orphans"))
+
+
 def plan_stats(planned: DataFrame) -> DataFrame:
     status = lambda s: F.count_if(F.col("status") == s).alias(s)
     protected = F.coalesce(F.col("is_protected"), F.lit(False))

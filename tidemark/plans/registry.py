@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import pages as P
 from tidemark.operators import search as S
+from tidemark.operators import settings as C
 from tidemark.operators import site as W
 from tidemark.plans import oracle as O
 from tidemark.sources import site as src
+from tidemark.streaming import feeds
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,9 +101,9 @@ def vocabulary(spark, d):
     return S.postings(src.search_docs(spark, d)).groupBy("tok").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
 
 
-@query(f"WITH {O.DOCS} SELECT id, regexp_replace(content, '\\b(the|of)\\b', '<mark>\\1</mark>', 'gi') AS marked FROM docs WHERE locale = 'en' AND regexp_full_match(content, '[ -~\\n]*')")
+@query(f"WITH {O.DOCS} SELECT id, array_to_string(list_transform(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'), lambda x: CASE WHEN lower(x) IN ('the', 'of') THEN '<mark>' || x || '</mark>' ELSE x END), '') AS marked FROM docs")
 def highlight_mark(spark, d):
-    return src.search_docs(spark, d).where("locale = 'en'").where(F.col("content").rlike(r"\A[ -~\n]*\z")).select("id", T.highlight(F.col("content"), ["the", "of"]).alias("marked"))
+    return src.search_docs(spark, d).select("id", T.highlight(F.col("content"), ["the", "of"]).alias("marked"))
 
 
 @query(f"""WITH {O.DOCS}, w AS (SELECT id, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS w FROM docs),
@@ -161,7 +164,7 @@ def dominant_locale(spark, d):
 
 
 _RULE = "CASE WHEN regexp_matches(lower(url), '^/files/src1[0-9]/.*$') THEN 'pattern_excluded' WHEN coalesce(is_protected, false) THEN 'protected_excluded' END"
-_ITEMS = f"{O.DOCS}, items AS (SELECT id, is_protected, {_RULE} AS reason FROM docs), known AS (SELECT DISTINCT id FROM (SELECT id FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT 'page-' || page_id FROM pages WHERE page_id % 5 = 0))"
+_ITEMS = f"{O.DOCS}, items AS (SELECT id, is_protected, {_RULE} AS reason FROM docs), known AS (SELECT DISTINCT id FROM (SELECT 'file-' || doc_id AS id FROM labels UNION ALL SELECT 'page-' || page_id FROM pages))"
 _PLANNED = f"{_ITEMS}, planned AS (SELECT i.*, CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN k.id IS NOT NULL THEN 'existing' ELSE 'new' END AS status FROM items i LEFT JOIN known k ON k.id = i.id)"
 
 
@@ -172,8 +175,9 @@ def _items(spark, d):
 
 
 def _known(spark, d):
-    pages = src.read(spark, d, "pages").where("page_id % 5 = 0").select(F.concat(F.lit("page-"), "page_id").alias("id"))
-    return src.search_docs(spark, d).where("doc_id % 3 <> 0").select("id").unionByName(pages)
+    """What the index holds: the labelled documents, and pages that are no items."""
+    pages = src.read(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("id"))
+    return src.read(spark, d, "labels").select(F.concat(F.lit("file-"), "doc_id").alias("id")).unionByName(pages)
 
 
 @query(f"WITH {O.DOCS} SELECT id, {_RULE} IS NULL AS include, {_RULE} AS reason FROM docs")
@@ -201,18 +205,27 @@ def progress(spark, d):
     return src.search_docs(spark, d).groupBy(F.col("locale").alias("index_locale")).agg(F.count("*").alias("documents"), F.max("indexed_at").alias("last_update"), F.least(F.lit(100), F.round(F.count("*") / 10.0)).cast("long").alias("percent"))
 
 
-@query(f"WITH {O.DOCS} SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'changed ' || title ELSE title END AS title, CASE WHEN doc_id % 4 = 0 THEN indexed_at + 5 ELSE indexed_at END AS indexed_at FROM docs")
+_GOOD, _BAD, _TOXIC = "doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)", "doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+def _labelled(spark, d, which: str):
+    """Search documents whose labels satisfy a condition."""
+    return src.search_docs(spark, d).join(src.read(spark, d, "labels").where(which).select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"WITH {O.DOCS} SELECT id, CASE WHEN {_GOOD} THEN 'changed ' || title ELSE title END AS title, CASE WHEN {_GOOD} THEN indexed_at + 5 ELSE indexed_at END AS indexed_at FROM docs")
 def upsert_latest_wins(spark, d):
-    docs = src.search_docs(spark, d).select("id", "title", "indexed_at", "doc_id")
-    changed = docs.where("doc_id % 4 = 0").withColumns({"title": F.concat(F.lit("changed "), "title"), "indexed_at": F.col("indexed_at") + 5})
-    stale = docs.where("doc_id % 6 = 0").withColumns({"title": F.lit("stale"), "indexed_at": F.col("indexed_at") - 5})
-    return W.upsert(docs, changed.unionByName(stale)).select("id", "title", "indexed_at")
+    docs = src.search_docs(spark, d)
+    changed = _labelled(spark, d, "quality = 1").withColumns({"title": F.concat(F.lit("changed "), "title"), "indexed_at": F.col("indexed_at") + 5})
+    stale = _labelled(spark, d, "quality = 0").withColumns({"title": F.lit("stale"), "indexed_at": F.col("indexed_at") - 5})
+    keep = ["id", "title", "indexed_at"]
+    return W.upsert(docs.select(keep), changed.select(keep).unionByName(stale.select(keep)))
 
 
-@query(f"WITH {O.DOCS} SELECT id, locale FROM docs WHERE doc_id % 9 <> 0")
+@query(f"WITH {O.DOCS} SELECT id, locale FROM docs WHERE NOT {_BAD}")
 def delete_by_ids(spark, d):
     docs = src.search_docs(spark, d)
-    return W.delete(docs, docs.where("doc_id % 9 = 0")).select("id", "locale")
+    return W.delete(docs, _labelled(spark, d, "quality = 0")).select("id", "locale")
 
 
 @query(f"WITH {O.DOCS} SELECT id, locale FROM docs WHERE {O.PUBLIC}")
@@ -232,15 +245,17 @@ def tag_suggest(spark, d):
     return t.where(F.lower("label").contains("small") | T.slugify(F.col("label")).contains("small")).orderBy("label", "tag_id").limit(20)
 
 
-@query(f"WITH {O.TAGS} SELECT a.target_id, string_agg(t.label, '|' ORDER BY t.label) AS labels FROM assigned a JOIN tags t USING (tag_id) WHERE a.target_id <= 500 GROUP BY a.target_id")
+@query(f"WITH {O.TAGS} SELECT a.target_id, string_agg(t.label, '|' ORDER BY t.label) AS labels FROM assigned a JOIN tags t USING (tag_id) GROUP BY a.target_id")
 def tag_bulk_lookup(spark, d):
-    found = src.tag_assignments(spark, d).where("target_id <= 500").join(src.tags(spark, d), "tag_id")
+    found = src.tag_assignments(spark, d).join(src.tags(spark, d), "tag_id")
     return found.groupBy("target_id").agg(F.array_join(F.sort_array(F.collect_list("label")), "|").alias("labels"))
 
 
-@query(f"WITH {O.TAGS} SELECT tag_id, target_id FROM assigned WHERE tag_id <= 50")
+@query(f"WITH {O.TAGS} SELECT a.tag_id, t.label, a.target_id FROM assigned a JOIN tags t USING (tag_id) JOIN orders o ON o.o_orderkey = a.target_id")
 def tag_targets(spark, d):
-    return src.tag_assignments(spark, d).where("tag_id <= 50").select("tag_id", "target_id")
+    """Every tag's targets; those that no longer exist are left out."""
+    there = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("target_id"))
+    return src.tag_assignments(spark, d).join(there, "target_id", "left_semi").join(src.tags(spark, d), "tag_id").select("tag_id", "label", "target_id")
 
 
 @query(f"SELECT {O.slug('w')} AS slug, min(w) AS label, count(*) AS n FROM (SELECT trim(unnest(string_split(p_brand || ',' || p_type || ', ' || p_name, ','))) AS w FROM part) WHERE {O.slug('w')} <> '' GROUP BY 1")
@@ -249,9 +264,9 @@ def tag_migration(spark, d):
     return w.withColumn("w", F.trim("w")).withColumn("slug", T.slugify(F.col("w"))).where("slug <> ''").groupBy("slug").agg(F.min("w").alias("label"), F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, {O.slug('substr(text, 1, 120)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {O.slug('text')} AS slug FROM documents")
 def slugify(spark, d):
-    return src.read(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 120)).alias("slug"))
+    return src.read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, 'file-path-' || md5(source || '/' || doc_id) AS id FROM documents")
@@ -270,7 +285,22 @@ def article_concat_ordered(spark, d):
     return src.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "\n").alias("content"))
 
 
-@query(None)
+#: The four character references that the pages hold.
+_NORMAL = "html"
+for _pattern, _by, _flags in ((r"<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", " ", "gis"), (rf"</?({'|'.join(T.BLOCK_TAGS)})\b[^>]*>", " ", "gi"), ("<[^>]*>", "", "g")):
+    _NORMAL = f"regexp_replace({_NORMAL}, '{_pattern}', '{_by}', '{_flags}')"
+_PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_SQUEEZE = "trim(regexp_replace(regexp_replace({}, '[\u00ad\u200b\ufeff]', '', 'g'), '[\\s\u00a0]+', ' ', 'g'))"
+_NORMAL = _SQUEEZE.format(_PLAIN.format(_NORMAL))
+
+
+@query(f"SELECT page_id, {_NORMAL} AS content FROM pages")
+def normalize_html(spark, d):
+    return src.read(spark, d, "pages").select("page_id", T.normalize(F.coalesce("html", F.lit(""))).alias("content"))
+
+
+@query(f"""SELECT 'page-' || page_id AS id, coalesce(nullif(lower(regexp_extract(html, '<html[^>]*\\blang=["'']?([a-z]{{2}})', 1, 'i')), ''), 'de') AS locale, {_SQUEEZE.format(_PLAIN.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"))} AS title,
+ CASE WHEN starts_with(r, '/') THEN r ELSE '/' || r END AS url, {_NORMAL} AS content FROM (SELECT *, regexp_replace(regexp_replace(coalesce(url, ''), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*', ''), '#.*$', '') AS r FROM pages)""")
 def page_documents(spark, d):
     """pages as search documents: language and title from the markup, content normalised."""
     p = src.read(spark, d, "pages")
@@ -300,3 +330,67 @@ def analytics_valid_events(spark, d):
 @query(f"WITH {O.EVENTS} SELECT q, round(avg(CASE WHEN results = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS zero_rate FROM ev GROUP BY q")
 def analytics_zero_rate(spark, d):
     return W.valid_events(src.search_events(spark, d)).groupBy("q").agg(F.round(F.avg((F.col("results") == 0).cast("double")), 6).alias("zero_rate"))
+
+
+@query("SELECT page_id, CASE WHEN u = '/' THEN 'Home' ELSE u END AS shown FROM (SELECT page_id, url_decode(CASE WHEN starts_with(r, '/') THEN r ELSE '/' || r END) AS u FROM (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*', ''), '#.*$', '') AS r FROM pages))")
+def pretty_url(spark, d):
+    return src.read(spark, d, "pages").select("page_id", T.pretty_url(T.strip_host(F.col("url")), F.lit("page")).alias("shown"))
+
+
+@query(f"""WITH {O.FILES} SELECT id, path, array_to_string(list_transform(string_split(trim(regexp_replace(lower(regexp_replace(split_part(path, '/', -1), '\\.[^./]+$', '')), '[-_]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM files""")
+def humanize_filename(spark, d):
+    return src.files(spark, d).select("id", "path", T.humanize_filename(F.col("path")).alias("title"))
+
+
+@query(f"""WITH RECURSIVE {O.TREE}, {O.FILES}, x AS ({_INDEXABLE}),
+ rights AS (SELECT up.id AS page, t.grp FROM up JOIN tree t ON t.id = up.ancestor WHERE t.protected),
+ shown AS (SELECT path, array_to_string(list_sort(list(DISTINCT grp)), ',') AS groups FROM (SELECT DISTINCT path, page + 1000 AS page FROM files) JOIN rights USING (page) GROUP BY path)
+ SELECT x.id, regexp_matches(x.path, '^files/(docs|en)/') AND NOT regexp_matches(x.path, '^files/[a-z]+/1/') AS is_protected,
+ coalesce(shown.groups, CASE WHEN regexp_matches(x.path, '^files/(docs|en)/') THEN CAST(length('files/' || split_part(x.path, '/', 2)) AS VARCHAR) END, '') AS allowed_groups FROM x LEFT JOIN shown USING (path)""")
+def file_permissions(spark, d):
+    """Two top folders are protected, folders of urgent files are marked public; pages of customers show the files."""
+    registry = src.files(spark, d)
+    uuid = F.unhex(F.md5("path"))
+    files = W.indexable_files(registry).select("id", uuid.alias("uuid"), "path")
+    top = registry.select(F.substring_index("path", "/", 2).alias("path")).distinct()
+    folders = top.select("path", F.substring_index("path", "/", -1).isin("docs", "en").alias("protected"), F.array(F.length("path")).alias("groups"))
+    markers = registry.select(F.substring_index("path", "/", 3).alias("path")).distinct().where(F.substring_index("path", "/", -1) == "1")
+    found = registry.select(F.lower(F.hex(uuid)).alias("uuid"), (F.col("page") + 1000).alias("page_id")).distinct()
+    rights = P.file_permissions(files, folders, markers, found, W.page_permissions(src.page_tree(spark, d)))
+    return rights.select("id", "is_protected", F.array_join(F.col("allowed_groups").cast("array<string>"), ",").alias("allowed_groups"))
+
+
+@query(f"""WITH {O.DOCS}, raw AS (SELECT id, unnest([tags[1], upper(locale) || ' TEXTS', 'txt', 'Free Word', tags[1]]) AS raw, generate_subscripts([1, 2, 3, 4, 5], 1) AS pos FROM docs),
+ tag AS (SELECT DISTINCT tags[1] AS slug, 'Source ' || tags[1] AS label FROM docs UNION SELECT DISTINCT locale || '-texts', locale || ' texts' FROM docs),
+ named AS (SELECT id, pos, coalesce(s.slug, l.slug, {O.slug("raw")}) AS slug, coalesce(s.label, l.label, raw) AS label FROM raw LEFT JOIN tag s ON s.slug = raw LEFT JOIN tag l ON lower(l.label) = lower(raw) WHERE raw <> 'txt'),
+ one AS (SELECT id, slug, min(pos) AS pos, arg_min(label, pos) AS label FROM named GROUP BY id, slug)
+ SELECT id, string_agg(slug || '=' || label, '|' ORDER BY pos) AS chips FROM one GROUP BY id""")
+def hit_tag_resolution(spark, d):
+    docs = src.search_docs(spark, d)
+    source = F.element_at("tags", 1)
+    hits = docs.select("id", F.array(source, F.concat(F.upper("locale"), F.lit(" TEXTS")), F.lit("txt"), F.lit("Free Word"), source).alias("tags"))
+    tags = docs.select(source.alias("slug"), F.concat(F.lit("Source "), source).alias("label")).union(docs.select(F.concat("locale", F.lit("-texts")), F.concat("locale", F.lit(" texts")))).distinct()
+    return C.resolve_hit_tags(hits, tags).select("id", F.array_join(F.transform("tags", lambda t: F.concat(t["slug"], F.lit("="), t["label"])), "|").alias("chips"))
+
+
+@query(f"WITH {_ITEMS} SELECT count(i.id) AS on_site, count(k.id) AS in_index, count_if(i.id IS NOT NULL AND k.id IS NOT NULL)::BIGINT AS both, count_if(k.id IS NULL)::BIGINT AS missing, count_if(i.id IS NULL)::BIGINT AS orphans FROM (SELECT id FROM items WHERE reason IS NULL) i FULL JOIN known k ON k.id = i.id")
+def diff_report(spark, d):
+    return W.diff_report(_items(spark, d), _known(spark, d))
+
+
+@query(f"WITH {O.EVENTS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, q, locale, count(*) AS n, count_if(results = 0)::BIGINT AS zero, sum(results)::BIGINT AS results FROM ev GROUP BY ALL")
+def stream_analytics_window(spark, d):
+    """The events as a stream, in windows of a day."""
+    return feeds.run_windowed(src.search_events(spark, d, streaming=True)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {O.DOCS} SELECT id, locale, title FROM docs WHERE NOT {_TOXIC}")
+def stream_upsert(spark, d):
+    """A change feed over a store that holds stale rows: toxic documents are deleted, all others upserted."""
+    labels = src.read(spark, d, "labels").select("doc_id", F.col("toxic").alias("gone"))
+    changes = src.search_docs(spark, d, streaming=True).join(labels, "doc_id", "left")
+    changes = changes.withColumns({"op": F.when(F.col("gone") == 1, "delete").otherwise("upsert"), "ts": F.col("indexed_at")}).drop("gone", "doc_id")
+    store = feeds.scratch_store(spark)
+    store.write(_labelled(spark, d, "true").withColumn("title", F.lit("stale")).drop("doc_id"))
+    feeds.follow(changes, store, f"{store.path}-progress").awaitTermination()
+    return store.read().select("id", "locale", "title")

@@ -10,9 +10,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return source.parquet(path)
+
+
+def search_docs(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """documents as search documents of type file."""
-    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    d, i = (stream if streaming else read)(spark, sf_dir, "documents"), F.col("doc_id")
     protected = F.when(i % 11 == 0, F.lit(None)).otherwise(i % 7 == 0)
     return d.select(
         F.concat(F.lit("file-"), i).alias("id"), F.lit("file").alias("type"), F.col("lang").alias("locale"),
@@ -54,7 +64,7 @@ def tag_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tag_id"), F.col("l_orderkey").alias("target_id")).dropDuplicates()
 
 
-def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+def search_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    e = (stream if streaming else read)(spark, sf_dir, "events")
     locale = F.element_at(F.array(*map(F.lit, ("de", "en", "fr", "es"))), (F.col("user_id") % 4).cast("int") + 1)
-    return e.select(F.col("event_type").alias("q"), locale.alias("locale"), F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("results"), "ts")
+    return e.select(F.col("event_type").alias("q"), locale.alias("locale"), F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("results"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("ts") if streaming else "ts")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.site import valid_events
@@ -10,11 +13,11 @@ from tidemark.operators.store import Store
 
 
 def windowed_analytics(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
-    """q, locale, day, n, zero, results of a stream (or table) of events with ts; later rows than `late` are dropped."""
+    """q, locale, day, n, zero, results of a stream (or table) of events with ts; later rows than `late` are dropped. Days are UTC's."""
     seen = valid_events(events)
     seen = seen.withWatermark("ts", late) if events.isStreaming else seen
     out = seen.groupBy(F.window("ts", size).alias("w"), "q", "locale").agg(F.count("*").alias("n"), F.count_if(F.col("results") == 0).alias("zero"), F.sum("results").alias("results"))
-    return out.select(F.to_date("w.start").alias("day"), "q", "locale", "n", "zero", "results")
+    return out.select(F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz"))).alias("day"), "q", "locale", "n", "zero", "results")
 
 
 def apply_changes(batch: DataFrame, store: Store) -> None:
@@ -37,3 +40,34 @@ def apply_changes(batch: DataFrame, store: Store) -> None:
 def follow(changes: DataFrame, store: Store, checkpoint: str):
     """A streaming query that keeps the store up to date with a stream of changes."""
     return changes.writeStream.foreachBatch(lambda batch, _: apply_changes(batch, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch_store(spark: SparkSession) -> Store:
+    return Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+
+
+def run_windowed(events: DataFrame, size: str = "1 day") -> DataFrame:
+    """Drains a stream of events and returns its windowed analytics, all windows included.
+
+    Each micro-batch writes all groups under its own number, so one that runs again writes the same; the last one counts.
+    """
+    out, spark = f"{scratch(events.sparkSession)}/windows-{uuid.uuid4().hex}", events.sparkSession
+    windows = windowed_analytics(events, size=size)
+    last = ["none"]
+    spark.createDataFrame([], windows.schema).write.parquet(f"{out}/none")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{n}")
+        last[0] = str(n)
+
+    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{out}/{last[0]}")
