@@ -9,7 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import search as S
 from tidemark.operators import settings as C
 from tidemark.operators import site as W
-from tidemark.operators.store import Store, index_name
+from tidemark.operators.store import MOST_CHANGES, Store, index_name
 from tidemark.sources import extract as X
 from tidemark.streaming.feeds import apply_changes, windowed_analytics
 
@@ -128,7 +128,12 @@ def test_store_and_changes(spark, tmp_path, docs):
     for _ in range(2):  # again gives the same
         apply_changes(feed, store)
         assert {(r.id, r.index_locale) for r in store.read().collect()} == {("page-1", "de"), ("file-ab01", "en"), ("file-ab02", "en")}
-    assert store.purge("en") == 2
+    assert store.purge("en") == 2 and store.delete(docs.where("id = 'page-1'")) == 1 and store.delete(docs) == 0
+    assert store.purge() == 0 and store.read().count() == 0
+    for n in range(MOST_CHANGES + 1):  # changes are merged into a new base on the way
+        store.upsert(docs.where("id = 'page-1'").unionByName(docs.where("id = 'page-1'").withColumn("title", F.lit(str(n))).withColumn("indexed_at", F.lit(2).cast("long"))))
+    assert [r.title for r in store.read().collect()] == [str(MOST_CHANGES)]
+    assert store.vacuum() > MOST_CHANGES and store.read().count() == 1
     assert index_name("t_0123456789abcdef", "de-AT") == "t_0123456789abcdef_deat"
     with pytest.raises(ValueError, match="no index name"):
         index_name("x", "de")

@@ -1,18 +1,21 @@
-"""The document store: Parquet partitioned by index_locale, in versions that a pointer names.
+"""The document store: Parquet partitioned by index_locale, with small folders of changes over it.
 
-A change writes a new version and then moves the pointer, so readers see the old rows or the new ones, and a run that
-fails leaves the store as it was.
+A change writes only itself, so its cost does not grow with the store; readers lay the changes over the base, and once there
+are MOST_CHANGES of them they are merged into a new base. A manifest names the folders that count. It is written
+after them, so readers see the old rows or the new ones, and a run that fails leaves the store as it was. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .site import delete, upsert
+MOST_CHANGES = 16
 
 
 def index_name(prefix: str, locale: str) -> str:
@@ -23,52 +26,112 @@ def index_name(prefix: str, locale: str) -> str:
     return name
 
 
+def routed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("index_locale", F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+    def _at(self, name: str):
+        return self._hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def version(self) -> str | None:
-        if not self._fs.exists(self._pointer()):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def version(self) -> int:
+        """The number of the latest manifest; 0 before the first write."""
+        return max((int(n) for n in self._names("log") if n.isdigit()), default=0)
+
+    def _manifest(self) -> dict | None:
+        n = self.version()
+        return json.loads(self.spark.read.text(f"{self.path}/log/{n}", wholetext=True).first()[0]) if n else None
+
+    def _commit(self, manifest: dict) -> None:
+        target, draft = self._at(f"log/{self.version() + 1}"), self._at(f"log/draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.close()
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise RuntimeError(f"{self.path} has another writer")
+
+    def _table(self, folder: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{folder}")
 
     def read(self) -> DataFrame | None:
-        version = self.version()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
+        """All rows: those of the base that no change names, and the last change of each other id, unless it is gone."""
+        m = self._manifest()
+        if m is None:
+            return None
+        base, changes = self._table(*m["base"]), None
+        for n, (folder, schema) in enumerate(m["changes"]):
+            change = self._table(folder, schema).withColumn("__n", F.lit(n))
+            changes = change if changes is None else changes.unionByName(change, allowMissingColumns=True)
+        if changes is None:
+            return base
+        last = changes.withColumn("__k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("__n")))).where("__k = 1")
+        fresh = last.where("NOT __gone").drop("__n", "__k", "__gone")
+        return base.join(changes.select("id").distinct(), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
     def write(self, docs: DataFrame) -> None:
         """All rows of the store from now on."""
-        version = f"v-{uuid.uuid4().hex}"
-        if "index_locale" not in docs.columns:
-            docs = docs.withColumn("index_locale", F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0))
-        docs.write.partitionBy("index_locale").parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._pointer(), True)
-        out.write(bytearray(version, "ascii"))
-        out.close()
+        folder = f"base-{uuid.uuid4().hex}"
+        docs = docs if "index_locale" in docs.columns else routed(docs)
+        docs.write.partitionBy("index_locale").parquet(f"{self.path}/{folder}")
+        self._commit({"base": [folder, docs.schema.json()], "changes": []})
+
+    def apply(self, changes: DataFrame) -> None:
+        """Rows with a column __gone: true deletes the id, false puts the row in. Ids are distinct."""
+        m = self._manifest()
+        if m is None:
+            return self.write(changes.where("NOT __gone").drop("__gone"))
+        folder = f"change-{uuid.uuid4().hex}"
+        changes.write.parquet(f"{self.path}/{folder}")
+        self._commit({**m, "changes": [*m["changes"], [folder, changes.schema.json()]]})
+        if len(m["changes"]) + 1 >= MOST_CHANGES:
+            self.write(self.read())
+        return None
 
     def upsert(self, changed: DataFrame) -> None:
-        current = self.read()
-        self.write(changed if current is None else upsert(current, changed.withColumn("index_locale", F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0))))
+        """The last write counts; of one id's rows within it, that with the largest indexed_at."""
+        w = Window.partitionBy("id").orderBy(F.desc("indexed_at"))
+        one = changed.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+        self.apply(routed(one).withColumn("__gone", F.lit(False)))
 
     def delete(self, ids: DataFrame) -> int:
         """Deletes in all locales; returns how many rows went."""
-        return self._keep(lambda current: delete(current, ids))
+        current = self.read()
+        return 0 if current is None else self._drop(current.join(ids.select("id").distinct(), "id", "left_semi"))
 
     def delete_protected(self) -> int:
-        return self._keep(lambda current: current.where(~F.coalesce("is_protected", F.lit(False))))
+        current = self.read()
+        return 0 if current is None else self._drop(current.where("coalesce(is_protected, false)"))
 
     def purge(self, locale: str | None = None) -> int:
-        return self._keep(lambda current: current.where(F.lit(False) if locale is None else F.col("index_locale") != locale))
-
-    def _keep(self, change) -> int:
+        """Empties one locale or all; the rest is written anew."""
         current = self.read()
         if current is None:
             return 0
-        before = current.count()
-        self.write(change(current))
-        return before - self.read().count()
+        gone = F.lit(True) if locale is None else F.col("index_locale").eqNullSafe(locale)
+        n = current.where(gone).count()
+        self.write(current.where(~gone))
+        return n
+
+    def vacuum(self) -> int:
+        """Removes the folders that the latest manifest does not name, for when nobody reads older ones; returns how many."""
+        m = self._manifest()
+        used = {m["base"][0], *(c[0] for c in m["changes"])} if m else set()
+        gone = [n for n in self._names("") if n.startswith(("base-", "change-")) and n not in used]
+        for n in gone:
+            self._fs.delete(self._at(n), True)
+        return len(gone)
+
+    def _drop(self, rows: DataFrame) -> int:
+        before = self.version()
+        self.apply(rows.select("id", F.lit(True).alias("__gone")))
+        m = json.loads(self.spark.read.text(f"{self.path}/log/{before + 1}", wholetext=True).first()[0])
+        return self._table(*m["changes"][-1]).count()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.site import valid_events
-from tidemark.operators.store import Store
+from tidemark.operators.store import Store, routed
 
 
 def windowed_analytics(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
@@ -27,14 +27,7 @@ def apply_changes(batch: DataFrame, store: Store) -> None:
     """
     w = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("op"))
     last = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    changed = last.where("op = 'upsert'").drop("op", "ts")
-    current = store.read()
-    if current is not None:
-        # a document that moved to another locale leaves no copy behind
-        kept = current.join(last.select("id"), "id", "left_anti")
-        store.write(kept.unionByName(changed.withColumn("index_locale", F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0)), allowMissingColumns=True))
-    else:
-        store.write(changed)
+    store.apply(routed(last).withColumn("__gone", F.col("op") == "delete").drop("op", "ts"))
 
 
 def follow(changes: DataFrame, store: Store, checkpoint: str):
