@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import admin as A
 from tidemark.operators import pages as P
 from tidemark.operators import search as S
 from tidemark.operators import settings as C
@@ -394,3 +395,82 @@ def stream_upsert(spark, d):
     store.write(_labelled(spark, d, "true").withColumn("title", F.lit("stale")).drop("doc_id"))
     feeds.follow(changes, store, f"{store.path}-progress").awaitTermination()
     return store.read().select("id", "locale", "title")
+
+
+_SLUGS = f"named AS (SELECT p_partkey AS tag_id, p_type AS label, {O.slug('p_type')} AS slug FROM part), unq AS (SELECT tag_id, label, CASE WHEN tag_id = min(tag_id) OVER (PARTITION BY slug) THEN slug ELSE slug || '-' || tag_id END AS slug FROM named WHERE slug <> '')"
+
+
+def _types_as_tags(spark, d):
+    """The parts' types as tags: labels repeat, so slugs clash."""
+    return src.read(spark, d, "part").select(F.col("p_partkey").alias("tag_id"), F.col("p_type").alias("label"))
+
+
+@query(f"WITH {_SLUGS} SELECT tag_id, label, slug FROM unq")
+def tag_unique_slugs(spark, d):
+    return A.unique_slugs(_types_as_tags(spark, d))
+
+
+@query(f"""WITH {_SLUGS}, {O.TAGS}, fresh AS (SELECT tag_id, {O.slug("label || ' ' || p_brand")} AS slug FROM unq JOIN part ON p_partkey = tag_id WHERE contains(lower(label), 'small')),
+ made AS (SELECT tag_id, CASE WHEN tag_id = min(tag_id) OVER (PARTITION BY slug) AND slug NOT IN (SELECT slug FROM unq WHERE tag_id NOT IN (SELECT tag_id FROM fresh)) THEN slug ELSE slug || '-' || tag_id END AS slug FROM fresh)
+ SELECT DISTINCT target_id FROM assigned JOIN made USING (tag_id) JOIN unq USING (tag_id) WHERE made.slug <> unq.slug""")
+def tag_rename_targets(spark, d):
+    """Tags of small things take their brand's name too: what must be indexed again."""
+    small = src.read(spark, d, "part").where(F.lower("p_type").contains("small"))
+    renames = small.select(F.col("p_partkey").alias("tag_id"), F.concat_ws(" ", "p_type", "p_brand").alias("label"))
+    return A.rename(A.unique_slugs(_types_as_tags(spark, d)), renames, src.tag_assignments(spark, d))[1]
+
+
+@query(_R + f", {O.TAGS} SELECT a.tag_id, t.label, a.target_id + 1000 AS target_id, b.breadcrumb FROM assigned a JOIN tags t USING (tag_id) JOIN (SELECT up.id, string_agg(x.title, ' › ' ORDER BY up.depth DESC) AS breadcrumb FROM up JOIN tree x ON x.id = up.ancestor GROUP BY up.id) b ON b.id = a.target_id + 1000")
+def tag_details(spark, d):
+    assigned = src.tag_assignments(spark, d).withColumn("target_id", F.col("target_id") + 1000)
+    return A.tag_details(src.tags(spark, d), assigned, W.breadcrumbs(src.page_tree(spark, d)))
+
+
+@query(_R + "SELECT t.id, t.pid, t.title AS label, t.id IN (SELECT pid FROM tree) AS has_children, t.id IN (SELECT o_custkey + 1000 FROM orders) AS assigned, t.pid = 0 OR t.id IN (SELECT o_custkey + 1000 FROM orders) AS locked FROM tree t")
+def tree_decorated(spark, d):
+    assigned = src.read(spark, d, "orders").select((F.col("o_custkey") + 1000).alias("id"))
+    return A.decorate(src.page_tree(spark, d), assigned)
+
+
+@query(f"WITH {_ITEMS} SELECT id, CASE WHEN id IN (SELECT 'file-' || doc_id FROM labels WHERE quality = 1) OR id IN (SELECT 'file-' || doc_id FROM labels WHERE toxic = 1) THEN 'skip' ELSE 'index' END AS action FROM items WHERE reason IS NULL")
+def reindex_resume(spark, d):
+    ids = lambda which: src.read(spark, d, "labels").where(which).select(F.concat(F.lit("file-"), "doc_id").alias("id"))
+    return A.resume(_items(spark, d), ids("quality = 1"), ids("toxic = 1"))
+
+
+@query(f"WITH {_PLANNED} SELECT id, is_protected FROM planned WHERE status = 'new' ORDER BY id LIMIT 12")
+def plan_preview(spark, d):
+    return A.preview(W.plan(_items(spark, d), _known(spark, d))).select("id", "is_protected")
+
+
+@query(f"WITH {O.DOCS} SELECT id, title, indexed_at FROM docs WHERE {_MEMBER} AND locale = 'en' ORDER BY indexed_at DESC, id LIMIT 50 OFFSET 50")
+def index_browser_page(spark, d):
+    return A.browse(src.search_docs(spark, d), 2, (2, 4), {"locale": "en"}).select("id", "title", "indexed_at")
+
+
+@query(f"WITH {O.DOCS} SELECT 'txt' AS value, count(*) AS n FROM docs")
+def extension_choices(spark, d):
+    return A.extension_choices(src.search_docs(spark, d))
+
+
+@query("SELECT 'page-' || page_id AS id, 'page' AS kind, CAST(page_id AS VARCHAR) AS page, CAST(NULL AS VARCHAR) AS path_md5 FROM pages UNION ALL SELECT 'file-path-' || md5(source || '/' || doc_id), 'file', NULL, md5(source || '/' || doc_id) FROM documents")
+def item_lookup(spark, d):
+    pages = src.read(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("id"))
+    files = src.read(spark, d, "documents").select(T.doc_id(F.lit(None).cast("binary"), F.concat("source", F.lit("/"), "doc_id")).alias("id"))
+    return pages.unionByName(files).withColumn("i", A.item_of(F.col("id"))).select("id", "i.kind", F.col("i.page").cast("string").alias("page"), "i.path_md5")
+
+
+@query(f"""WITH {O.FILES}, c AS (SELECT path, ['de','en','fr'][CAST(page % 3 AS INTEGER) + 1] AS locale, count(*) AS n FROM files GROUP BY ALL), cur AS (SELECT path, arg_min(locale, (-n, locale)) AS locale FROM c GROUP BY path),
+ told AS (SELECT DISTINCT path, CASE split_part(path, '.', -1) WHEN 'pdf' THEN '' WHEN 'txt' THEN 'en' WHEN 'exe' THEN 'xx' ELSE 'DE' END AS locale FROM files WHERE split_part(path, '/', 2) = 'docs')
+ SELECT cur.path, CASE WHEN told.locale IS NULL OR told.locale = 'xx' THEN cur.locale ELSE lower(told.locale) END AS locale FROM cur LEFT JOIN told USING (path) WHERE told.locale IS NULL OR told.locale <> ''""")
+def file_locale_overrides(spark, d):
+    """Overrides of files of one folder change by kind: set, removed, or not an enabled language."""
+    docs = src.files(spark, d).where(F.split("path", "/")[1] == "docs").select("path").distinct()
+    kind = F.substring_index("path", ".", -1)
+    changes = docs.withColumn("locale", F.when(kind == "pdf", "").when(kind == "txt", "en").when(kind == "exe", "xx").otherwise("DE"))
+    return A.set_overrides(dominant_locale(spark, d), changes, ENABLED)
+
+
+@query(f"WITH {O.DOCS} SELECT CAST(5000 AS INTEGER) AS total, count(*) AS indexed, CAST(least(100, round(count(*) / 5000 * 100)) AS INTEGER) AS percent, count(*) < 5000 AS running FROM docs")
+def run_state(spark, d):
+    return A.run_state(src.search_docs(spark, d), 5000, 1000, 2000)
