@@ -1,7 +1,9 @@
 """Full-text search: postings, candidate terms, ranking, filters and facets.
 
-Postings hold one row a word. A query's words are matched against the distinct vocabulary first (equal, prefix, or within
-an edit distance), and only matching words meet the postings, in one equi-join.
+A search over documents is one scan without a shuffle: each document's words are matched and weighed inside its row, and
+only the best rows leave a task. Over postings that were built before, with one row a word, a query's words are matched
+against the distinct vocabulary first (equal, prefix, or within an edit distance), and only matching words meet the
+postings, in one equi-join.
 """
 
 from __future__ import annotations
@@ -67,23 +69,96 @@ def postings(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def match_terms(vocabulary: DataFrame, phrases: list[list[Token]], strictness: str = "balanced", synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """qi, tok, typos, exact: the words of the vocabulary (tok) that stand for each query word; a few literals drive it."""
+    out = None
+    for qi, (typos, exact) in enumerate(likeness(phrases, strictness, synonyms)):
+        hit = vocabulary.select(F.lit(qi).alias("qi"), "tok", typos(F.col("tok")).alias("typos"), exact(F.col("tok")).alias("exact")).where("typos IS NOT NULL")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def likeness(phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None) -> list[tuple]:
+    """For each query word, columns of a token: its typos (null: it doesn't stand for the word), and whether it is equal (0, 1)."""
     flat = [t for p in phrases for t in p]
     one, two = TYPO_LENGTHS[strictness]
-    out = None
-    for qi, t in enumerate(flat):
+
+    def of(qi: int, t: Token) -> tuple:
         word = fold(F.lit(t.text))
-        choices = [F.when(F.col("tok") == word, F.lit(0))]
-        for alt in (synonyms or {}).get(t.text.lower(), []):
-            choices.append(F.when(F.col("tok") == fold(F.lit(alt)), F.lit(0)))
+        alike = [fold(F.lit(alt)) for alt in (synonyms or {}).get(t.text.lower(), [])]
         prefix = strictness != "strict" and not t.exact and qi == len(flat) - 1
-        if prefix:
-            choices.append(F.when(F.col("tok").startswith(word), F.lit(0)))
         k = 0 if t.exact else 2 if len(t.text) >= two else 1 if len(t.text) >= one else 0
-        if k:
-            distance = F.levenshtein(F.col("tok"), word, k)
-            choices.append(F.when((F.abs(F.length("tok") - F.length(word)) <= k) & (distance >= 0), distance))
-        hit = vocabulary.select(F.lit(qi).alias("qi"), "tok", F.coalesce(*choices).alias("typos"), (F.col("tok") == word).cast("int").alias("exact")).where("typos IS NOT NULL")
-        out = hit if out is None else out.unionByName(hit)
+
+        def typos(tok: Column) -> Column:
+            choices = [F.when(tok == w, F.lit(0)) for w in (word, *alike)]
+            if prefix:
+                choices.append(F.when(tok.startswith(word), F.lit(0)))
+            if k:
+                close = F.abs(F.length(tok) - F.length(word)) <= k
+                distance = F.when(close, F.levenshtein(tok, word, k))
+                choices.append(F.when(distance >= 0, distance))
+            return F.coalesce(*choices)
+
+        return typos, lambda tok: (tok == word).cast("int")
+
+    return [of(qi, t) for qi, t in enumerate(flat)]
+
+
+def alone(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a generator, as filters are not pushed below one and copied there."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """id, indexed_at and what `hits` counts, of documents with a match and all phrases; each from its own row."""
+    like = likeness(phrases, strictness, synonyms)
+    n = len(like)
+
+    def found(attr: int, name: str) -> Column:
+        toks = tokens(F.array_join(name, " ") if name == "tags" else F.col(name))
+        some = F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))), lambda x: F.coalesce(*(typos(x["tok"]) for typos, _ in like)).isNotNull())
+        each = lambda x: F.array(*(F.struct(F.lit(attr).alias("attr"), x["pos"].alias("pos"), F.lit(q).alias("qi"), typos(x["tok"]).alias("typos"), exact(x["tok"]).alias("exact")) for q, (typos, exact) in enumerate(like)))
+        return F.filter(F.flatten(F.transform(some, each)), lambda y: y["typos"].isNotNull())
+
+    out = alone(docs, "m", F.concat(*(found(i, a) for i, a in enumerate(ATTRIBUTES)))).select("id", "indexed_at", "m").where(F.size("m") > 0)
+    of = [_of_words(q) for q in range(n)]
+    best = lambda pick, field: [pick(F.transform(x, lambda y: y[field])) for x in of]
+    total = lambda cols: sum((F.coalesce(c.cast("long"), F.lit(0)) for c in cols), F.lit(0).cast("long"))
+    gaps = []
+    for p in range(1, n):
+        pair = _of_words(p - 1, p)
+        later = F.slice(pair, 2, F.greatest(F.size(pair) - 1, F.lit(0)))
+        gap = F.zip_with(pair, later, lambda a, b: F.when((a["attr"] == b["attr"]) & (a["qi"] != b["qi"]), b["pos"] - a["pos"]))
+        least = F.array_min(gap)
+        gaps.append(F.when(least.isNotNull(), F.least(least, F.lit(FAR))))
+    words = total([(F.size(x) > 0).cast("int") for x in of])
+    near, pairs = total(gaps), total([g.isNotNull().cast("int") for g in gaps])
+    value = F.struct(
+        words.alias("words"), total(best(F.array_min, "typos")).alias("typos"), F.array_min(F.transform("m", lambda y: y["attr"])).alias("attr"), total(best(F.array_max, "exact")).alias("exact"),
+        F.array_min(F.transform("m", lambda y: y["qi"])).alias("first_qi"), (near + F.greatest((words - 1 - pairs) * FAR, F.lit(0))).alias("proximity"), _phrases_met(phrases).alias("met"),
+    )
+    return alone(out, "v", value).select("id", "indexed_at", "v.*").where("met").drop("met")
+
+
+def _of_words(*qi: int) -> Column:
+    return F.filter("m", lambda y: y["qi"].isin(*qi))
+
+
+def _starts(qi: int, i: int) -> Column:
+    """Where a phrase would start whose i-th word is this query word."""
+    same = F.filter(_of_words(qi), lambda y: y["exact"] == 1)
+    return F.transform(same, lambda y: F.struct(y["attr"].alias("attr"), (y["pos"] - i).alias("start")))
+
+
+def _phrases_met(phrases: list[list[Token]]) -> Column:
+    """Whether m has each phrase's words next to each other in one attribute."""
+    out, at = F.lit(True), 0
+    for p in phrases:
+        if len(p) > 1:
+            starts = None
+            for i in range(len(p)):
+                here = _starts(at + i, i)
+                starts = here if starts is None else F.array_intersect(starts, here)
+            out = out & (F.size(starts) > 0)
+        at += len(p)
     return out
 
 
@@ -148,7 +223,10 @@ def user_filter(filters: dict, tags_mode: str = "any") -> Column:
 
 
 def search(docs: DataFrame, request: Request, posted: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """The request's page of hits in rank order, with rank and score. Documents' filters run before the match."""
+    """The request's page of hits in rank order, with their score. Documents' filters run before the match.
+
+    posted: postings of the documents, with indexed_at, where they are kept.
+    """
     allowed = docs.where(visible(request.groups)).where(user_filter(request.filters, request.tags_mode))
     if request.locales:
         allowed = allowed.where(F.col("locale").isin(list(request.locales)))
@@ -158,13 +236,15 @@ def search(docs: DataFrame, request: Request, posted: DataFrame | None = None, s
         out = allowed.select("id", "indexed_at", F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("typos"), F.lit(0).cast("long").alias("proximity"), F.lit(0).alias("attr"), F.lit(0).cast("long").alias("exact"), F.lit(0.0).alias("score"))
     else:
         n = sum(map(len, phrases))
-        posted = posted or postings(allowed, ["indexed_at"])
-        vocabulary = posted.select("tok").distinct()
-        found = hits(posted, match_terms(vocabulary, phrases, request.strictness, synonyms), ["indexed_at"])
+        if posted is None:
+            found = row_hits(allowed, phrases, request.strictness, synonyms)
+        else:
+            posted = posted.join(allowed.select("id"), "id", "left_semi")
+            found = hits(posted, match_terms(posted.select("tok").distinct(), phrases, request.strictness, synonyms), ["indexed_at"])
+            for p in phrases:
+                if len(p) > 1:
+                    found = found.join(phrase_docs(posted, [t.text for t in p]), "id", "left_semi")
         found = found.where(F.col("words") == n) if strict else found.where("first_qi = 0")
-        for p in phrases:
-            if len(p) > 1:
-                found = found.join(phrase_docs(posted, [t.text for t in p]), "id", "left_semi")
         out = found.withColumn("score", score(n)).select("id", "indexed_at", "words", "typos", "proximity", "attr", "exact", "score")
     return out.orderBy(*ranking()).offset(offset).limit(limit)
 
