@@ -267,7 +267,7 @@ def tag_migration(spark, d):
 
 @query(f"SELECT doc_id, {O.slug('text')} AS slug FROM documents")
 def slugify(spark, d):
-    return src.read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+    return src.spread(src.read(spark, d, "documents")).select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, 'file-path-' || md5(source || '/' || doc_id) AS id FROM documents")
@@ -297,14 +297,14 @@ _NORMAL = _SQUEEZE.format(_PLAIN.format(_NORMAL))
 
 @query(f"SELECT page_id, {_NORMAL} AS content FROM pages")
 def normalize_html(spark, d):
-    return src.read(spark, d, "pages").select("page_id", T.normalize(F.coalesce("html", F.lit(""))).alias("content"))
+    return src.spread(src.read(spark, d, "pages")).select("page_id", T.normalize(F.coalesce("html", F.lit(""))).alias("content"))
 
 
 @query(f"""SELECT 'page-' || page_id AS id, coalesce(nullif(lower(regexp_extract(html, '<html[^>]*\\blang=["'']?([a-z]{{2}})', 1, 'i')), ''), 'de') AS locale, {_SQUEEZE.format(_PLAIN.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"))} AS title,
  CASE WHEN starts_with(r, '/') THEN r ELSE '/' || r END AS url, {_NORMAL} AS content FROM (SELECT *, regexp_replace(regexp_replace(coalesce(url, ''), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*', ''), '#.*$', '') AS r FROM pages)""")
 def page_documents(spark, d):
     """pages as search documents: language and title from the markup, content normalised."""
-    p = src.read(spark, d, "pages")
+    p = src.spread(src.read(spark, d, "pages"))
     lang = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1)), F.lit(""))
     title = T.squeeze(T.unescape(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
     return p.select(F.concat(F.lit("page-"), "page_id").alias("id"), F.coalesce(lang, F.lit("de")).alias("locale"), title.alias("title"), T.strip_host(F.col("url")).alias("url"), T.normalize(F.col("html")).alias("content"))

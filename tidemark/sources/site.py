@@ -10,6 +10,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a scan below which its rows are dealt anew.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan's rows over all cores: a file of one row group is one task otherwise. Larger scans stay as they are."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files, whether it is one file or a folder of them."""
     path = f"{sf_dir}/{name}.parquet"
@@ -22,7 +33,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def search_docs(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """documents as search documents of type file."""
-    d, i = (stream if streaming else read)(spark, sf_dir, "documents"), F.col("doc_id")
+    d, i = stream(spark, sf_dir, "documents") if streaming else spread(read(spark, sf_dir, "documents")), F.col("doc_id")
     protected = F.when(i % 11 == 0, F.lit(None)).otherwise(i % 7 == 0)
     return d.select(
         F.concat(F.lit("file-"), i).alias("id"), F.lit("file").alias("type"), F.col("lang").alias("locale"),
