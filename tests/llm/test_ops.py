@@ -122,6 +122,39 @@ def test_jaccard_join(docs, block, monkeypatch):
     assert collections.Counter(map(tuple, jaccard_join.near_duplicates(docs).collect())) == linked(rows_of(docs))
 
 
+def hub_and_variants(rng):
+    """A set, variants one edit from it, and variants three edits from it, which are linked with hardly any set but that one."""
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    edits = [1] * 150 + [3] * 30
+    return [base, *(np.r_[np.delete(base, np.concatenate([np.arange(p, p + 3) for p in rng.choice(66, n, False) * 3])), rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)] for n in edits)]
+
+
+def revisions(rng):
+    """Sets that are linked with the next two only."""
+    token = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    return [token[2 * i : 2 * i + 100] for i in range(400)]
+
+
+@pytest.mark.parametrize("make", [hub_and_variants, revisions])
+def test_links_between_blocks(spark, make):
+    sets = [np.unique(s) for s in make(np.random.default_rng(3))]
+    assert sum(8 * len(s) for s in sets) > jaccard_join.BLOCK_BYTES
+    order = np.random.default_rng(4).permutation(len(sets)).tolist()  # the node of each set
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if root[i] != root[j] and 100 * same >= 90 * (len(sets[i]) + len(sets[j]) - same):
+                root = [root[j] if r == root[i] else r for r in root]
+    df = spark.createDataFrame([(n, 0, s.astype("<u8").tobytes()) for n, s in zip(order, sets, strict=True)], "node long, group long, shingles binary")
+    got = {r.node: r.root for r in components.components(jaccard_join.links(df)).collect()}
+    expected, found = collections.defaultdict(set), collections.defaultdict(set)
+    for n, r in zip(order, root, strict=True):
+        expected[r].add(n)
+        found[got.get(n, n)].add(n)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in (10, 14, 15, 40, 300, 1000):

@@ -271,9 +271,9 @@ def links(sets: DataFrame, least: int = LEAST) -> DataFrame:
         heads = found.where("blocks > 1 AND a = b").select(F.col("a").alias("node"))
         fewer = blocked.join(heads, "node").select("node", "group", "shingles")
         n, before = (d.count() for d in (fewer, blocked.where("blocks > 1")))
-        if not n:
+        if not n and level is sets:  # no group was split: all pairs were compared
             return edges.where("a <> b")
-        if n == before or n * 2 > before:  # few were connected: go on with whole blocks
+        if not n or n == before or n * 2 > before:  # the last ones fit into a block, or few were connected: go on with whole blocks
             break
         level = stored(fewer, "heads")
     return _across(sets, edges, least)
