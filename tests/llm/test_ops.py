@@ -166,6 +166,28 @@ def test_linked_sets_share_a_signature():
             assert set(key[doc == 0]) & set(key[doc == 1])
 
 
+def test_small_linked_sets_share_a_signature():
+    rng = np.random.default_rng(2)
+    for least, n in [(90, 9), (90, 18), *((80, n) for n in (*range(4, 60), 200, 1000))]:
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for more in {1, n * 100 // least - n}:
+            y = np.r_[x, rng.integers(0, 1 << 63, more, dtype=np.uint64)]
+            key, doc = jaccard_join.signatures([np.unique(x), np.unique(y)], least)
+            assert set(key[doc == 0]) & set(key[doc == 1])
+
+
+@pytest.mark.parametrize("least, fewest", [(90, 9), (80, 4)])
+def test_smallest_linked_sets(spark, least, fewest):
+    rows, expected = [], {}
+    for n in range(1, fewest + 3):
+        w = [f"w{n}x{i}" for i in range(n + 2)]
+        for k, text in enumerate((w, [*w, "tail"], ["head", *w])):
+            rows.append((10 * n + k, " ".join(text)))
+            expected[10 * n + k] = n + (k > 0), 10 * n + (k if n < fewest else 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, least).collect()} == expected
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

@@ -328,15 +328,15 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, size: int = SHINGLE, id
             yield pa.record_batch([batch.column("id"), batch.column("chunk"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["id", "chunk", "n", "node"])
 
     nodes = stored(base.mapInArrow(measure, "id long, chunk int, n long, node long"), "nodes")
-    # a set is treated in the chunk of one row that has it
-    owner = nodes.where("node IS NOT NULL AND n > 9").groupBy("node").agg(F.min("chunk").alias("chunk")).select("chunk", F.lit(-1).alias("bucket"), F.col("node"), F.lit(None).cast("binary").alias("data"))
+    # a set is treated in the chunk of one row that has it; so small ones are left out that only equal sets are linked with them
+    owner = nodes.where(f"node IS NOT NULL AND n * 100 DIV {least} > n").groupBy("node").agg(F.min("chunk").alias("chunk")).select("chunk", F.lit(-1).alias("bucket"), F.col("node"), F.lit(None).cast("binary").alias("data"))
 
     def own_sets(t: pa.Table, r: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
         """The sets that this chunk treats, ordered by node, and their nodes."""
         mine = set(r.column("node").drop_null().to_pylist())
         found = {}
         for s in shingle_sets(*text_bytes(t.column("text").combine_chunks()), size):
-            if len(s) > 9 and (k := node_of(s)) in mine:
+            if len(s) * 100 // least > len(s) and (k := node_of(s)) in mine:
                 found[k] = s
         keys = sorted(found)
         return [found[k] for k in keys], np.array(keys, np.int64)
