@@ -27,9 +27,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Texts without words all stay."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8): the one with the smallest id.
+    Texts without words all stay."""
     prepare(spark)
-    groups = jaccard_join.near_duplicates(docs)
+    groups = jaccard_join.near_duplicates(docs, least=80, size=5)
     gone = groups.where("doc_id <> component_id").select("doc_id").dropDuplicates()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -51,3 +51,13 @@ def test_pipeline(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in out.select("doc_id").collect()} == kept["repeated strings"]
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_near_duplicates_of_five_words(spark):
+    words = [[f"w{d}x{i}" for i in range(49)] for d in range(3)]
+    changed = [*words[0][:20], "other", *words[0][21:]]  # 40 of 50 five-word shingles in common
+    twice = [*words[1][:10], "other", *words[1][11:30], "another", *words[1][31:]]  # 35 of 55
+    longer = [*words[2], *(f"more{i}" for i in range(8))]  # 45 of 53
+    docs = spark.createDataFrame([(i, " ".join(w), "en") for i, w in enumerate([*words, changed, twice, longer])], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 4}
