@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import crf_quality, jaccard_join, suffix_array_dedup, toxicity
 from tidemark.llm import packing as best_fit
-from tidemark.llm.common import prepare, shared_dir, table
+from tidemark.llm.common import prepare, shared_dir, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8): the one with the smallest id.
-    Texts without words all stay."""
+    """One row of each group of near duplicates (five-word shingles, similarity of 0.8): the one with the smallest id.
+
+    Ids may repeat or be null: a null id comes after all others, and of rows with the same id the first one read stays.
+    Texts without words all stay.
+    """
     prepare(spark)
-    groups = jaccard_join.near_duplicates(docs, least=80, size=5)
-    gone = groups.where("doc_id <> component_id").select("doc_id").dropDuplicates()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.near_duplicates(rows, least=80, size=5, id_col="__row").select("__row", "component_id")
+    groups = stored(groups.join(rows.select("__row", "doc_id"), "__row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
+    gone = groups.select("__row").join(first.select("first.__row"), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,19 @@ def test_near_duplicates_of_five_words(spark):
     docs = spark.createDataFrame([(i, " ".join(w), "en") for i, w in enumerate([*words, changed, twice, longer])], "doc_id long, text string, lang string")
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 4}
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [
+        (1, a, "kept"), (2, a + " tail", "gone"), (2, b, "kept"),  # an id of a near copy and of another text
+        (3, c, "one"), (3, c, "one"), (3, c + " tail", "one"),  # an id whose rows are alike
+        (None, d, "null"), (None, d, "null"), (None, d + " tail", "null"), (None, a, "gone"),
+        (4, "", "kept"), (4, None, "kept"), (None, None, "kept"), (None, " ", "kept"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(r[2] for r in kept) == ["kept"] * 6 + ["null", "one"]
+    assert {(1, a, "kept"), (2, b, "kept")} <= set(kept)
+    again = docs.where("lang = 'null'").union(spark.createDataFrame([(7, d, "seven")], docs.schema))
+    assert [r.lang for r in corpus_pipeline.near_duplicates(spark, again, "").collect()] == ["seven"]
