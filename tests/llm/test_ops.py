@@ -97,6 +97,18 @@ def test_suffix_tree_nodes():
     assert set(suffix_tree_dedup.internal_nodes(np.array([0, 3, 5, 1, 5]), 3)) == {(5, 1, 3), (3, 0, 3), (5, 3, 5)}
 
 
+def test_suffix_tree_classes_are_internal_nodes(monkeypatch):
+    import pyarrow as pa
+
+    seen, nodes_of = [], suffix_tree_dedup.internal_nodes
+    monkeypatch.setattr(suffix_tree_dedup, "internal_nodes", lambda *a: seen.extend(n := nodes_of(*a)) or n)
+    words = [f"w{i}" for i in range(60)]
+    pieces = [" ".join(w).encode() for w in (words, ["x", *words[:55]])]
+    got = suffix_tree_dedup.earliest(pa.array(pieces, pa.large_binary()), np.array([11, 7]), np.array([5, 3]))
+    assert got.tolist() == [3] * 6 + [5] * 5 + [3] * 7
+    assert [(d, j - i) for d, i, j in seen] == [(50, 2)] * 6
+
+
 def linked(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []

@@ -2,8 +2,8 @@
 
 Within a bucket of repeats.py, suffixes are split by prefixes of growing length until each group fits its bound. Each
 group's subtree is made as ERA does: suffixes are sorted by reading a few more words at a time for those not yet told
-apart, which gives their order and the depths at which neighbours branch. Internal nodes at depth 50 or more are the
-maximal repeats, and the smallest id below such a node is the earliest document of its windows.
+apart, which gives their order and the depths at which neighbours branch. Subtrees end at depth 50, a window's length, so
+an internal node that deep is a run of leaves alike, and the smallest id below it is the earliest document of its window.
 """
 
 from __future__ import annotations
@@ -93,11 +93,13 @@ def earliest(content: pa.Array, windows: np.ndarray, least: np.ndarray, depth: i
             continue
         order, branch = subtree(token, at[group], known, depth)
         leaf = group[order]
-        # windows end at `depth`, so nodes that deep are runs of leaves alike
-        new = branch < depth
-        new[0] = True
-        node = np.cumsum(new) - 1
-        out[leaf] = np.minimum.reduceat(ids[leaf], np.flatnonzero(new))[node]
+        if nodes := internal_nodes(branch, depth):  # none is below another, as subtrees end there
+            span = np.array(nodes)[:, 1:]
+            below = np.zeros(len(leaf) + 1, np.int64)
+            below[span[:, 0]] += 1
+            below[span[:, 1]] -= 1
+            low = np.minimum.reduceat(np.r_[ids[leaf], 0], span.ravel())[::2]
+            out[leaf[np.cumsum(below[:-1]) > 0]] = np.repeat(low, span[:, 1] - span[:, 0])
     return out
 
 
