@@ -167,25 +167,51 @@ def test_links_between_blocks(spark, make):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_linked_sets_share_a_signature():
+def keys_of(sets, least):
+    """The prefix keys of each set, with ranks as counted over all of them."""
+    count = collections.Counter(x for s in sets for x in s.tolist())
+    key, doc = jaccard_join.prefixes(sets, [np.array([min(255, int(8 * np.log2(count[x]))) for x in s.tolist()], np.uint8) for s in sets], least)
+    return [set(key[doc == i].tolist()) for i in range(len(sets))]
+
+
+def test_linked_sets_share_a_key():
     rng = np.random.default_rng(1)
     for n in (10, 14, 15, 40, 300, 1000):
         x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         y = np.unique(np.r_[x[n // 20 :], rng.integers(0, 1 << 63, n // 30, dtype=np.uint64)])
+        common = [x[rng.random(len(x)) < 0.5] for _ in range(5)]  # makes some shingles frequent
         same = len(np.intersect1d(x, y))
         if 100 * same >= 90 * (len(x) + len(y) - same):
-            key, doc = jaccard_join.signatures([x, y])
-            assert set(key[doc == 0]) & set(key[doc == 1])
+            a, b, *_ = keys_of([x, y, *common], 90)
+            assert a & b
 
 
-def test_small_linked_sets_share_a_signature():
+def test_small_linked_sets_share_a_key():
     rng = np.random.default_rng(2)
     for least, n in [(90, 9), (90, 18), *((80, n) for n in (*range(4, 60), 200, 1000))]:
         x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         for more in {1, n * 100 // least - n}:
             y = np.r_[x, rng.integers(0, 1 << 63, more, dtype=np.uint64)]
-            key, doc = jaccard_join.signatures([np.unique(x), np.unique(y)], least)
-            assert set(key[doc == 0]) & set(key[doc == 1])
+            a, b = keys_of([np.unique(x), np.unique(y)], least)
+            assert a & b
+
+
+@pytest.mark.parametrize("least", [50, 90])
+def test_every_small_size(spark, least):
+    """Sets of 1 to 30 shingles against those with one to three more, in front and behind, by brute force."""
+    rows, sets = [], []
+    for n in range(1, 31):
+        w = [f"w{n}x{i}" for i in range(n + 2)]
+        for text in (w, *([*w, *"abc"[:k]] for k in (1, 2, 3)), ["x", "y", *w], [*w[: n // 2], "mid", *w[n // 2 :]]):
+            rows.append((len(rows), " ".join(text)))
+            sets.append({tuple(text[i : i + 3]) for i in range(len(text) - 2)})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+    assert got == {i: min(j for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))}
 
 
 @pytest.mark.parametrize("least, fewest", [(90, 9), (80, 4)])

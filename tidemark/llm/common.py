@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+try:  # glibc only
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
 #: Rows of an Arrow batch: texts may be long, so batches are kept short.
 BATCH_ROWS = "512"
 #: Stands for a null id: such a row comes after every other.
@@ -55,6 +60,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and pools keep what they once held."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) in one array, and its len + 1 offsets."""
     col = column.cast(pa.large_binary()).fill_null(b"")

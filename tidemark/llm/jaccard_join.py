@@ -1,9 +1,10 @@
 """Similarity join of shingle sets by signature trees.
 
-Equal sets are one node. Nodes that may be linked are brought together exactly: sizes fall into classes, each class cuts
-the shingles into more segments than linked sets can differ in, so they agree on a whole segment. Nodes with a segment in
-common are connected, and each connected group is joined on its own: its sets' bitmaps, leaves of a tree whose nodes hold
-OR-ed bitmaps and ranges of sizes, are compared by a dual traversal that skips pairs of nodes whose largest possible
+Equal sets are one node. Nodes that may be linked are brought together exactly: every shingle is counted over all sets, and
+linked sets share one of their rarest ones, of which each set gives as many as it can lack in a linked one, and one more.
+Shingles that no other set has bring nothing together, so most sets meet none, however many common passages they hold. Sets
+with such a shingle and a size class in common are connected, and each connected group is joined on its own: its sets'
+bitmaps, leaves of a tree whose nodes hold OR-ed bitmaps and ranges of sizes, are compared by a dual traversal that skips pairs of nodes whose largest possible
 overlap is too small (or whose sets are all connected already); pairs of leaves are compared exactly. A group beyond a
 bound is dealt to blocks; representatives of the blocks' components are joined first, and what is still apart after that
 is compared block by block.
@@ -12,13 +13,16 @@ is compared block by block.
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, stored, table, text_bytes, word_hashes, words
+from .common import mix, rolling, stored, table, text_bytes, tidy, word_hashes, words
 from .components import components
 from .repeats import by_bucket, rows
 
@@ -28,9 +32,12 @@ LEAST, SHINGLE = 90, 3
 LEAST_CHUNK, MOST_CHUNK, CHUNKS = 1 << 20, 8 << 20, 256
 BLOCK_BYTES, SHARD_BYTES = 192 << 10, 512 << 10
 LEAF, FAN, SALTS = 32, 4, 32
+#: Texts whose sets are made at once.
+CUT_ROWS = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MASK = np.uint64((1 << 40) - 1)
+_LOW = np.uint64((1 << 32) - 1)
+FOUND = [("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary()), ("key", pa.int64())]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -53,11 +60,6 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def differences(size: int, least: int) -> int:
-    """Most shingles in which linked sets of at most `size` shingles can differ: |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)."""
-    return (100 - least) * 2 * size // (100 + least)
-
-
 def size_classes(largest: int) -> list[int]:
     """Upper sizes of the classes, each about half as large again as the one before."""
     out = [9]
@@ -69,44 +71,24 @@ def size_classes(largest: int) -> list[int]:
 _CLASSES = np.array(size_classes(1 << 40))
 
 
-def signatures(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) pairs; linked sets that aren't equal have one in common.
+def prefixes(sets: list[np.ndarray], ranks: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set) pairs; linked sets that aren't equal have a key in common.
 
-    A set signs in the class of its size, and in the next one if a linked larger set may be there. Of m segments at most D
-    differ, so m - D agree. Empty segments don't sign; a set with m - D or more of them could agree on those alone, so it
-    also signs with its smallest hashes (the prefix of which linked sets share one).
+    ranks[i] orders the shingles of sets[i] by how many sets have them, 0 for those that no other set has. Linked sets
+    share one of the first n - ceil(least * n / 100) + 1 shingles in that order, the rarest ones; those of rank 0 come
+    first and are shared by none. Keys hold the class of the set's size, and the next one if a linked larger set may be there.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    if not n.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(n)), n)
-    own = np.searchsorted(_CLASSES, n)
-    upper = np.searchsorted(_CLASSES, n * 100 // least)
     keys, docs = [], []
-    spread = mix(token)
-    for cls, use in ((own, n > 0), (upper, upper > own)):
-        d = np.array([differences(int(_CLASSES[c]), least) for c in range(int(cls.max()) + 1)])[cls]
-        m = np.where(use & (d > 0), d + 2 + d // 50, 0)  # with no difference allowed, only equal sets are linked
-        base = np.r_[0, np.cumsum(m)]
-        t = np.flatnonzero(m[owner] > 0)
-        if not len(t):
+    for i, (s, rank) in enumerate(zip(sets, ranks, strict=True)):
+        n = len(s)
+        first = n - -(-n * least // 100) + 1 - int((rank == 0).sum())
+        if first <= 0 or n * 100 // least <= n:
             continue
-        o = owner[t]
-        segment = base[o] + ((token[t] >> np.uint64(32)) * m[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, segment, spread[t])
-        filled = np.bincount(segment, minlength=base[-1])
-        doc = np.repeat(np.arange(len(n)), m)
-        salt = (cls[doc] * 1_000_003 + np.arange(base[-1]) - base[doc]).astype(np.uint64)
-        signed = filled > 0
-        keys.append(mix(total + mix(salt))[signed])
-        docs.append(doc[signed])
-        empty = m - np.bincount(doc[signed], minlength=len(n))
-        for i in np.flatnonzero((m > 0) & (empty >= m - d)):
-            first = sets[i][: n[i] - -(-n[i] * least // 100) + 1]
-            keys.append(mix(first ^ np.uint64(0x5851F42D4C957F2D + int(cls[i]))))
-            docs.append(np.full(len(first), i))
+        known = np.flatnonzero(rank)
+        chosen = s[known[np.lexsort((s[known], rank[known]))[:first]]]
+        for size in sorted({*np.searchsorted(_CLASSES, [n, n * 100 // least]).tolist()}):
+            keys.append(mix(chosen ^ mix(np.full(1, size, np.uint64))))
+            docs.append(np.full(len(chosen), i))
     return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -320,93 +302,95 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, size: int = SHINGLE, id
     chunk_bytes = min(MOST_CHUNK, max(LEAST_CHUNK, total // CHUNKS))
     n_chunks = max(1, -(-total // chunk_bytes))
     n_buckets = min(n_chunks, 64 + n_chunks // 4)
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n_chunks)).cast("int"))
-
-    def measure(batches):
+    def cut(batches):
+        """A row for each text, and one for each distinct set that may have an unequal linked one. Sets go to the chunk of
+        their node, so that equal ones meet; texts' rows are dealt by content and by how often it has come up in this task.
+        A set's row says nothing of the text it came from, so texts that come in another order make the same rows."""
+        seen, times = set(), Counter()
+        kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
         for batch in batches:
-            sets = shingle_sets(*text_bytes(batch.column("text")), size)
-            yield pa.record_batch([batch.column("id"), batch.column("chunk"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["id", "chunk", "n", "node"])
-
-    nodes = stored(base.mapInArrow(measure, "id long, chunk int, n long, node long"), "nodes")
-    # a set is treated in the chunk of one row that has it; so small ones are left out that only equal sets are linked with them
-    owner = nodes.where(f"node IS NOT NULL AND n * 100 DIV {least} > n").groupBy("node").agg(F.min("chunk").alias("chunk")).select("chunk", F.lit(-1).alias("bucket"), F.col("node"), F.lit(None).cast("binary").alias("data"))
-
-    def own_sets(t: pa.Table, r: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-        """The sets that this chunk treats, ordered by node, and their nodes."""
-        mine = set(r.column("node").drop_null().to_pylist())
-        found = {}
-        for s in shingle_sets(*text_bytes(t.column("text").combine_chunks()), size):
-            if len(s) * 100 // least > len(s) and (k := node_of(s)) in mine:
-                found[k] = s
-        keys = sorted(found)
-        return [found[k] for k in keys], np.array(keys, np.int64)
-
-    def signed(sets: list[np.ndarray], node: np.ndarray):
-        """Distinct signatures, the place among them of each (signature, set) pair, and their buckets."""
-        key, doc = signatures(sets, least)
-        values, place = np.unique(key, return_inverse=True)
-        return values, place, doc, *by_bucket(values, 40, n_buckets)
-
-    def send(t: pa.Table, r: pa.Table) -> pa.Table:
-        sets, node = own_sets(t, r)
-        values, place, doc, order, buckets = signed(sets, node)
-        low = np.full(len(values), np.iinfo(np.int64).max)
-        high = np.full(len(values), -1)
-        np.minimum.at(low, place, node[doc])
-        np.maximum.at(high, place, node[doc])
-        short, several = (values & _MASK)[order], (low != high)[order]
-        low = low[order]
-        chunk = (t if len(t) else r).column("chunk")[0].as_py()
-        return rows([(b, chunk, (short[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (short[i:j] >> np.uint64(32)).astype(np.uint8).tobytes() + several[i:j].astype(np.uint8).tobytes() + low[i:j].astype("<i8").tobytes()) for b, i, j in buckets], "bucket", "chunk")
+            texts, found, held = [], [], 0
+            ids = batch.column("id").to_pylist()
+            for at in range(0, len(batch), CUT_ROWS):
+                for i, x in zip(ids[at : at + CUT_ROWS], shingle_sets(*text_bytes(batch.column("text").slice(at, CUT_ROWS)), size), strict=True):
+                    k = node_of(x) if len(x) else None
+                    times[i, k] += 1
+                    texts.append((zlib.crc32(f"{i} {k} {times[i, k]}".encode()) % n_chunks, i, len(x), k, None))
+                    if len(x) * 100 // least > len(x) and k not in seen:
+                        seen.add(k)
+                        found.append((k % n_chunks, None, None, k, x.astype("<u8").tobytes()))
+                        held += 8 * len(x)
+                if held > LEAST_CHUNK or at + CUT_ROWS >= len(batch):
+                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*texts, *found, strict=True), kinds, strict=True)], names=["chunk", "id", "n", "node", "shingles"])
+                    texts, found, held = [], [], 0
+        tidy()
+
+    def own(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The nodes of a chunk in order, and their sets."""
+        t = t.filter(pc.is_valid(t.column("shingles"))).combine_chunks()
+        node, data = t.column("node").to_numpy(), t.column("shingles").to_pylist()
+        order = np.argsort(node, kind="stable").tolist()
+        first = [p for p, i in enumerate(order) if not p or node[order[p - 1]] != node[i]]
+        if any(data[i] != data[j] for i, j in zip(order, order[1:]) if node[i] == node[j]):  # noqa: B905, RUF007
+            raise ValueError("two different sets have one digest")
+        return node[[order[p] for p in first]], [np.frombuffer(data[order[p]], "<u8") for p in first]
+
+    def dealt(sets: list[np.ndarray]):
+        """Distinct shingles, the place among them of each shingle of each set, their numbers, and their buckets."""
+        values, place, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        return values, place, count, *by_bucket(values, 40, n_buckets)
+
+    def send(t: pa.Table) -> pa.Table:
+        values, _, count, order, buckets = dealt(own(t)[1])
+        low, n = (values & _LOW)[order].astype("<u4"), np.minimum(count[order], 255).astype(np.uint8)
+        out = rows([(b, t.column("chunk")[0].as_py(), low[i:j].tobytes() + n[i:j].tobytes()) for b, i, j in buckets], "bucket", "chunk")
+        tidy()
+        return out
 
     def answer(t: pa.Table) -> pa.Table:
-        """For each signature the smallest node that has it, or -1 if no other has."""
-        parts = []
-        for data in t.column("data").to_pylist():
-            n = len(data) // 14
-            parts.append((np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32), np.frombuffer(data, np.uint8, n, 5 * n), np.frombuffer(data, "<i8", n, 6 * n)))
-        values, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        several, node = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        low, high, shared = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), -1), np.zeros(len(values), bool)
-        np.minimum.at(low, place, node)
-        np.maximum.at(high, place, node)
-        np.logical_or.at(shared, place, several > 0)
-        told = np.where(shared | (low != high), low, -1)[place]
-        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+        """For each shingle sent how often it occurs, in eighths of a doubling: 0 if once."""
+        parts = [np.frombuffer(x, np.uint8) for x in t.column("data").to_pylist()]
+        number = [len(p) // 5 for p in parts]
+        low, place = np.unique(np.concatenate([p[: 4 * n].view("<u4") for p, n in zip(parts, number, strict=True)]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([p[4 * n :] for p, n in zip(parts, number, strict=True)]), len(low))
+        rank = np.minimum(255, np.log2(total) * 8).astype(np.uint8)[place]
+        at = np.cumsum([0, *number])
         b = t.column("bucket")[0].as_py()
-        return rows([(c, b, told[i:j].astype("<i8").tobytes()) for c, i, j in zip(t.column("chunk").to_pylist(), cut[:-1], cut[1:], strict=True)], "chunk", "bucket")
+        told = ((c, rank[i:j]) for c, i, j in zip(t.column("chunk").to_pylist(), at[:-1], at[1:], strict=True))
+        out = rows([(c, b, np.packbits(x > 0).tobytes() + x[x > 0].tobytes()) for c, x in told], "chunk", "bucket")
+        tidy()
+        return out
 
     def candidates(t: pa.Table, r: pa.Table) -> pa.Table:
-        sets, node = own_sets(t, r)
-        values, place, doc, order, buckets = signed(sets, node)
-        known = {b: d for b, d in zip(r.column("bucket").to_pylist(), r.column("data").to_pylist(), strict=True) if b >= 0}
-        told = np.full(len(values), -1, np.int64)
+        """The texts' rows, the sets that have a key, and their keys."""
+        node, sets = own(t)
+        values, place, _, order, buckets = dealt(sets)
+        told = dict(zip(r.column("bucket").to_pylist(), r.column("data").to_pylist(), strict=True))
+        rank = np.zeros(len(values), np.uint8)
         for b, i, j in buckets:
-            told[order[i:j]] = np.frombuffer(known[b], "<i8")
-        low = told[place]
-        keep = low >= 0
-        # a set meets its smallest node; that one meets the set's others: few pairs, as most sets have those in common
-        pair = np.unique(np.stack([doc[keep], low[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-        at, first = np.unique(pair[:, 0], return_index=True)
-        head = np.repeat(pair[first, 1], np.diff(np.r_[first, len(pair)]))
-        more = np.unique(np.stack([head, pair[:, 1]], axis=1), axis=0)
-        more = more[more[:, 0] != more[:, 1]]
-        names, place_ = np.unique(more, return_inverse=True)
-        forest, extra = Union(len(names)), []
-        for (x, y), (i, j) in zip(more.tolist(), place_.reshape(-1, 2).tolist(), strict=True):
-            if forest.find(i) != forest.find(j):
-                forest.join(i, j)
-                extra.append((x, y))
-        return pa.table({
-            "node": pa.array([*node[at].tolist(), *(x for x, _ in extra)], pa.int64()), "near": pa.array([*pair[first, 1].tolist(), *(y for _, y in extra)], pa.int64()),
-            "shingles": pa.array([*(sets[i].astype("<u8").tobytes() for i in at), *[None] * len(extra)], pa.binary()),
-        })
-
-    sent = base.groupBy("chunk").cogroup(owner.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, data binary")
-    told = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, data binary").withColumn("node", F.lit(None).cast("long"))
-    known = owner.unionByName(told)
-    found = stored(base.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(candidates, "node long, near long, shingles binary"), "candidates")
-    group = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+            data, half = np.frombuffer(told[b], np.uint8), (j - i + 7) // 8
+            rank[order[i:j][np.unpackbits(data[:half], count=j - i) > 0]] = data[half:]
+        at = np.cumsum([0, *map(len, sets)])
+        key, doc = prefixes(sets, [rank[place[i:j]] for i, j in zip(at[:-1], at[1:], strict=True)], least)
+        kept = np.unique(doc)
+        texts = t.filter(pc.is_valid(t.column("n"))).select(["id", "n", "node"])
+
+        def part(**known) -> pa.Table:
+            length = max(map(len, known.values()))
+            return pa.table({k: known.get(k, pa.nulls(length, kind)) for k, kind in FOUND})
+
+        out = pa.concat_tables([part(**{k: texts.column(k) for k in texts.column_names}), part(node=pa.array(node[kept], pa.int64()), shingles=pa.array([sets[i].tobytes() for i in kept], pa.binary())), part(node=pa.array(node[doc], pa.int64()), key=pa.array(key.view(np.int64), pa.int64()))])
+        tidy()
+        return out
+
+    base = base.mapInArrow(cut, "chunk int, id long, n long, node long, shingles binary")
+    sent = base.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, data binary")
+    told = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, data binary")
+    found = stored(base.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(candidates, "id long, n long, node long, shingles binary, key long"), "candidates")
+    nodes = found.where("n IS NOT NULL").select("id", "n", "node")
+    keys = found.where("key IS NOT NULL").select("key", "node")
+    heads = keys.groupBy("key").agg(F.min("node").alias("near"), F.max("node").alias("last")).where("near <> last").select("key", "near")
+    group = components(keys.join(heads, "key").where("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b")))
     sets = stored(found.where("shingles IS NOT NULL").select("node", "shingles").join(group.withColumnRenamed("root", "group"), "node"), "sets")
     linked = components(links(sets, least))
     # sets to components, then components to their smallest ids
