@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 
-#: Distinct pre-tokens that a worker remembers; it forgets all of them beyond that. Longer ones are not remembered.
-CACHE, CACHED_LENGTH = 1_200_000, 64
+#: Distinct pre-tokens that a worker remembers: half of them the latest, half those before. Longer ones are not remembered.
+CACHE, CACHED_LENGTH = 400_000, 64
 CAPACITY, END_ID = 4096, 1
 #: Letters and numbers of the Latin blocks up to U+017F, and the tokenizer's pattern over them. On these
 #: characters Python's lower() does just what its normaliser (NFC, white space, lower case) does; a text with any other
@@ -48,8 +48,11 @@ class Tokens:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.find = re.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, parts: list[str]) -> dict[str, bytes]:
+        if not parts:
+            return {}
         texts = [" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         data, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
@@ -59,15 +62,15 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _OTHER.search(t) else self.find(t.lower()) for t in texts]
-        new = list(set().union(*(s for s in split if s)) - self.known.keys())
-        long = self.learn([w for w in new if len(w) > CACHED_LENGTH]) if any(len(w) > CACHED_LENGTH for w in new) else {}
-        short = [w for w in new if len(w) <= CACHED_LENGTH]
-        if short:
-            if len(self.known) + len(short) > CACHE:
-                self.known.clear()
-                short = list({w for s in split if s for w in s if len(w) <= CACHED_LENGTH})
-            self.known.update(self.learn(short))
-        known = {**self.known, **long} if long else self.known
+        new = set().union(*(s for s in split if s)) - self.known.keys()
+        if back := new & self.older.keys():
+            self.known.update({w: self.older[w] for w in back})
+            new -= back
+        long = [w for w in new if len(w) > CACHED_LENGTH]
+        self.known.update(self.learn([w for w in new if len(w) <= CACHED_LENGTH]))
+        known = {**self.known, **self.learn(long)} if long else self.known
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
@@ -95,6 +98,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array([j * capacity for j in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=[id_col, "piece", "start", "length", "ids_crc32"],
             )
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")

@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import int_ids, mix, rolling, text_bytes, word_hashes, words
+from .common import int_ids, mix, rolling, text_bytes, tidy, word_hashes, words
 
 #: Bytes of text of a chunk, at least and at most; between them, a CHUNKS-th of all.
-LEAST_CHUNK, MOST_CHUNK, CHUNKS = 1 << 20, 8 << 20, 256
+LEAST_CHUNK, MOST_CHUNK, CHUNKS = 1 << 20, 4 << 20, 256
 #: Documents beyond which a pick's windows are dealt one by one.
 HOT = 2000
+#: Pieces whose contents are copied at once.
+SLICE = 1 << 14
 #: Windows of a piece at most (the bits of an answer).
 MOST_WINDOWS = 32
 _LOW = np.uint64((1 << 40) - 1)
@@ -220,11 +222,13 @@ class Chunk:
         buf, a, b = unit.bounds(self.start, self.start + self.size + unit.window - 1)
         lens = b - a
         off = np.r_[0, np.cumsum(lens)]
-        if off[-1] >= 1 << 31:
-            raise ValueError("a chunk's pieces exceed 2 GB")
-        at = np.arange(off[-1]) - np.repeat(off[:-1], lens) + np.repeat(a, lens)
-        content = buf[at] if len(at) else np.zeros(0, np.uint8)
-        column = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(content)])
+        content = np.empty(off[-1], np.uint8)
+        for i in range(0, len(lens), SLICE):  # places take eight bytes for one of content
+            part = slice(i, i + SLICE)
+            base = off[i]
+            at = np.arange(off[min(i + SLICE, len(lens))] - base) + np.repeat(a[part] - (off[:-1][part] - base), lens[part])
+            content[base : base + len(at)] = buf[at]
+        column = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(content)])
         coded = column.dictionary_encode()
         self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.content = coded.dictionary
@@ -247,7 +251,7 @@ class Chunk:
         for b, i, j in self.buckets:
             at = self.order[i:j]
             content = self.content.take(pa.array(at))
-            off = np.frombuffer(content.buffers()[1], np.int32)[: len(at) + 1]
+            off = np.frombuffer(content.buffers()[1], np.int64)[: len(at) + 1]
             body = content.buffers()[2].to_pybytes()[off[0] : off[-1]]
             out.append((b, chunk, np.array([len(at)], "<u4").tobytes() + self.route[at].astype("<u8").tobytes() + self.least[at].astype("<i8").tobytes() + np.diff(off).astype("<u4").tobytes() + self.windows[at].astype(np.uint8).tobytes() + body))
         return rows(out, "bucket", "chunk")
@@ -329,6 +333,16 @@ def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, ou
     def unit_of(t: pa.Table) -> Unit:
         return kind(*text_bytes(t.column("__text").combine_chunks()))
 
+    def neat(f: Callable) -> Callable:
+        """f, after which its memory goes back to the system."""
+
+        def run(*tables: pa.Table) -> pa.Table:
+            out = f(*tables)
+            tidy()
+            return out
+
+        return (lambda t: run(t)) if f.__code__.co_argcount == 1 else (lambda t, r: run(t, r))
+
     def step1(t: pa.Table) -> pa.Table:
         return picks_of(unit_of(in_order(t)), t.column("chunk")[0].as_py(), n_buckets)
 
@@ -357,8 +371,8 @@ def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, ou
         return finish(t, unit, np.cumsum(step)[:n] > 0)
 
     row = "int, data binary"
-    picked = base.groupBy("chunk").applyInArrow(step1, f"bucket int, chunk {row}")
-    state = picked.groupBy("bucket").applyInArrow(lambda t: shared(t, hot), f"chunk int, bucket {row}").withColumn("step", F.lit(1))
-    sent = base.groupBy("chunk").cogroup(state.groupBy("chunk")).applyInArrow(step2, f"bucket int, chunk {row}")
-    told = sent.groupBy("bucket").applyInArrow(lambda t: answers(t, solver), f"chunk int, bucket {row}").withColumn("step", F.lit(2))
-    return base.groupBy("chunk").cogroup(state.unionByName(told).groupBy("chunk")).applyInArrow(step3, out_schema)
+    picked = base.groupBy("chunk").applyInArrow(neat(step1), f"bucket int, chunk {row}")
+    state = picked.groupBy("bucket").applyInArrow(neat(lambda t: shared(t, hot)), f"chunk int, bucket {row}").withColumn("step", F.lit(1))
+    sent = base.groupBy("chunk").cogroup(state.groupBy("chunk")).applyInArrow(neat(step2), f"bucket int, chunk {row}")
+    told = sent.groupBy("bucket").applyInArrow(neat(lambda t: answers(t, solver)), f"chunk int, bucket {row}").withColumn("step", F.lit(2))
+    return base.groupBy("chunk").cogroup(state.unionByName(told).groupBy("chunk")).applyInArrow(neat(step3), out_schema)

@@ -26,7 +26,7 @@ TOXIC_ROWS, CLEAN_ROWS, TEXT_BYTES = 4000, 20000, 32768
 #: Prefixes that stand for a word, the least documents of a feature, its least z-score and log-odds.
 PREFIXES, LEAST_DOCS, LEAST_Z, LEAST_ODDS = (4, 5, 6, 7, 8), 3, 3.0, 2.0
 COST, TOP, SIGNIFICANT = -1.0, 6.0, 0.05
-CACHE = 1_000_000
+CACHE = 200_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿–—"
 
 
