@@ -437,3 +437,22 @@ def test_empty_tables(spark):
         byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), segment_search.exact_top_k(vec, F.col("id") % 20 == 0, 20), hashing_search.nearest(vec, F.col("id") % 20 == 0, 20), warc.read_bundles(warc.write_bundles(pages)),
     ):
         assert df.count() == 0
+
+
+def test_sums_find_what_brute_force_finds():
+    import itertools
+
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        free = np.zeros(41, np.int64)
+        for x in rng.integers(1, 30, rng.integers(1, 9)):
+            free[x] += 1
+        sums = packing.Sums(free)
+        while free.any():
+            pieces = [x for x in range(41) for _ in range(free[x])]
+            for gap in rng.permutation(40)[:12] + 1:
+                there = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(pieces, n))
+                found = sums.exact(int(gap))
+                assert (found is not None) == there
+                assert not found or (sum(found) == gap and sums.left(*found))
+            free[rng.choice(pieces)] -= 1

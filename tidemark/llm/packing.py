@@ -104,30 +104,46 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap exactly; the longest first."""
-    if free[gap]:
-        return (gap,)
-
-    def pair(gap: int, most: int) -> tuple[int, int] | None:
-        a = np.arange(min(gap - 1, most), (gap + 1) // 2 - 1, -1)  # the longer one
-        if not len(a):
-            return None
-        b = gap - a
-        ok = (free[a] > 0) & (free[b] > (a == b))
-        return (int(a[i]), int(b[i])) if ok[i := int(ok.argmax())] else None
-
-    if found := pair(gap, gap):
-        return found
-    for a in np.flatnonzero(free[: gap - 1])[::-1]:
-        if 3 * a < gap:
-            break
-        free[a] -= 1
-        found = pair(int(gap - a), int(a))
-        free[a] += 1
-        if found:
-            return (int(a), *found)
-    return None
+class Sums:
+    """Sums of one, two and three lengths, each with the combinations that make it, the longest first.
+
+    The combinations of a sum are indexed when it is first asked for. Pieces are only ever used up, so a combination that
+    was found wanting is taken off its list for good, and all lookups together pass each combination once.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free = free  # pieces left of each length; whoever uses pieces counts them down here
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def left(self, *lengths: int) -> bool:
+        return all(self.free[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, *used: int) -> tuple[int, int] | None:
+        """Two lengths of this sum that are left when `used` are taken."""
+        if total not in self.pairs:
+            longer = np.arange((total + 1) // 2, total)
+            self.pairs[total] = longer[(self.free[longer] > 0) & (self.free[total - longer] > 0)].tolist()
+        known = self.pairs[total]
+        while known and not self.left(known[-1], total - known[-1]):
+            known.pop()
+        return next(((a, total - a) for a in reversed(known) if self.left(a, total - a, *used)), None)
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        if total not in self.triples:
+            longest = np.arange(-(-total // 3), max(total - 1, 0))
+            self.triples[total] = longest[self.free[longest] > 0].tolist()
+        known = self.triples[total]
+        while known:
+            a = known[-1]
+            if self.free[a] and (rest := self.pair(total - a, a)):
+                return a, *rest
+            known.pop()
+        return None
+
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are left and fill a gap of this size."""
+        return (total,) if self.free[total] else self.pair(total) or self.triple(total)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -135,7 +151,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     free = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
-    out = []
+    out, sums = [], Sums(free)
     top = capacity
     while True:
         while top and not free[top]:
@@ -145,7 +161,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         bin_, gap = [top], capacity - top
         free[top] -= 1
         while gap:
-            if found := _complement(free, gap):
+            if found := sums.exact(gap):
                 take = list(found)
             else:
                 fits = np.flatnonzero(free[1 : gap + 1])
@@ -211,12 +227,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFr
             part = batch.column("__part").to_numpy()
             rank = batch.column("__rank").to_numpy().astype(np.int64)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for i in range(len(rank)):
-                x = int(length[i])
-                lo, _, seq, _, off = at[x]
-                r = rank[i] + start[x, int(part[i])]
-                j = int(np.searchsorted(lo, r, "right")) - 1
-                sequence[i], offset[i] = seq[j] + r - lo[j], off[j]
+            order = np.lexsort((part, length))
+            x, p = length[order], part[order]
+            edge = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (p[1:] != p[:-1]), True]) if len(order) else []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):  # one length and part after the other
+                lo, _, seq, _, off = at[int(x[i])]
+                r = rank[order[i:j]] + start[int(x[i]), int(p[i])]
+                k = np.searchsorted(lo, r, "right") - 1
+                sequence[order[i:j]], offset[order[i:j]] = seq[k] + r - lo[k], off[k]
             yield pa.record_batch([*(batch.column(c) for c in cols), pa.array(sequence), pa.array(offset)], names=[*cols, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
