@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,20 +301,38 @@ def test_plan_uses_exact_complements():
 def test_warc(spark, tmp_path):
     rows = [(2, "u", "<p>é</p>"), (1, "u\r\nX: y", "<p>é</p>"), (3, None, None), (4, "v", ""), (4, "v", ""), (5, "w", "x" * 700000), (None, "n", "<p>é</p>"), (7, "z", "\r\n\r\nWARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
-    bundles = warc.write_bundles(pages, frame_bytes=1000, bundle_bytes=4000).cache()
-    got = collections.Counter((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_bundles(bundles).collect())
+    folder = f"{tmp_path}/warc"
+    index = warc.write_archives(pages, folder, frame_bytes=1000, bundle_bytes=4000)
+    got = collections.Counter((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index, folder).collect())
     first = {"<p>é</p>": 1, "": 3, "x" * 700000: 5, rows[-1][2]: 7}
     expected = collections.Counter()
     for i, _, h in rows:
         body, ref = (h or "").encode(), first[h or ""]
         sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
-        expected["" if i is None else str(i), len(body), sha, "response" if ref == i else "revisit", None if ref == i else str(ref)] += 1
+        expected[None if i is None else str(i), len(body), sha, "response" if ref == i else "revisit", None if ref == i else str(ref)] += 1
     assert got == expected
-    warc.save_bundles(bundles, str(tmp_path))
-    for row in bundles.collect():
-        assert (tmp_path / f"{row.bundle}.warc.zst").read_bytes() == bytes(row.content)
-        for name, frame, offset in zip(row.record_ids, row.frames, row.offsets, strict=True):
-            assert warc.read_record(bytes(row.content), frame, offset)[0]["warc-record-id"] == f"<urn:tidemark:{name}>"
+    # one record by its place alone, and every bundle as a plain Zstandard stream of WARC records
+    import io
+
+    import zstandard
+
+    place = index.where("record_id = '5'").first()
+    with pyarrow.OSFile(f"{folder}/{place.bundle}") as f:
+        head, block = warc.BundleReader(f).record(place.frame, place.offset)
+    assert head["warc-record-id"] == "<urn:tidemark:5>" and block == b"x" * 700000
+    names = collections.Counter()
+    for path in tmp_path.glob("warc/*.warc.zst"):
+        data = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(path.read_bytes()), read_across_frames=True).read()
+        at = 0
+        while at < len(data):
+            head, _, at = warc.parse(data, at)
+            names[head["warc-record-id"]] += 1
+    assert sum(names.values()) == len(rows) and names["<urn:tidemark:4>"] == 2 and sum(k.startswith("<urn:uuid:") for k in names) == 1
+    # any order of the index will do, and a wrong place is found out
+    assert warc.read_records(index.orderBy("offset", F.desc("record_id")), folder, blocks=False).where("block IS NOT NULL").count() == 0
+    wrong = index.where("record_id = '5'").withColumn("record_id", F.lit("1"))
+    with pytest.raises(Exception, match="the index has 1 where"):
+        warc.read_records(wrong, folder).collect()
 
 
 def vectors(spark, seed=5, n=300):
@@ -428,13 +447,13 @@ def test_marginals_are_those_of_all_labellings():
         assert np.allclose(crf.marginals(x, at)[a:b], total / z)
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (
         suffix_array_dedup.dedup(docs), suffix_tree_dedup.dedup(docs), jaccard_join.near_duplicates(docs), packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")),
-        byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), segment_search.exact_top_k(vec, F.col("id") % 20 == 0, 20), hashing_search.nearest(vec, F.col("id") % 20 == 0, 20), warc.read_bundles(warc.write_bundles(pages)),
+        byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), segment_search.exact_top_k(vec, F.col("id") % 20 == 0, 20), hashing_search.nearest(vec, F.col("id") % 20 == 0, 20), warc.read_records(warc.write_archives(pages, f"{tmp_path}/none"), f"{tmp_path}/none"),
     ):
         assert df.count() == 0
 

@@ -1,31 +1,34 @@
 """WARC records in seekable Zstandard bundles.
 
-A bundle is a row of independent Zstandard frames, each holding some records, then a skippable frame with the seek table
+A bundle is a file of independent Zstandard frames, each holding some records, then a skippable frame with the seek table
 (compressed and decompressed size of each frame; footer with their number and the magic number). An index maps a record's
-identifier to its frame and its offset in the decompressed frame, so one record is read by decompressing one frame.
+identifier to its bundle, its frame and its offset in the decompressed frame, so one record is read by decompressing one frame.
+Bundles lie in a folder that driver and executors share: any that pyarrow's file systems reach (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import shared_dir, table, tidy
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
 DATE = "2020-01-01T00:00:00Z"
-BUNDLE = "bundle long, content binary, record_ids array<string>, frames array<int>, offsets array<int>"
+INDEX = [("record_id", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())]
+RECORD = "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, block binary"
 
 
 def digest(payload: bytes) -> str:
@@ -37,12 +40,12 @@ def _header(value: str) -> str:
     return " ".join(value.split())
 
 
-def record(record_id: str, url: str, payload: bytes, payload_digest: str, kind: str, refers_to: int | None) -> bytes:
+def record(urn: str, url: str, payload: bytes, payload_digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no block and names the record whose payload equals its own."""
     block = b"" if kind == "revisit" else payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:tidemark:{record_id}>", f"WARC-Target-URI: {_header(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", f"WARC-Target-URI: {_header(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:tidemark:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     lines += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -67,9 +70,9 @@ class BundleWriter:
         self.frame_bytes, self.compress = frame_bytes, zstandard.ZstdCompressor(level=level).compress
         self.frames: list[tuple[int, int]] = []
         self.out, self.pending, self.size, self.written = [], [], 0, 0
-        self.index: list[tuple[str, int, int]] = []
+        self.index: list[tuple[str | None, int, int]] = []
 
-    def add(self, record_id: str, data: bytes) -> None:
+    def add(self, record_id: str | None, data: bytes) -> None:
         self.index.append((record_id, len(self.frames), self.size))
         self.pending.append(data)
         self.size += len(data)
@@ -91,30 +94,50 @@ class BundleWriter:
         return b"".join([*self.out, struct.pack("<II", _SKIPPABLE, len(entries) + len(footer)), entries, footer])
 
 
-def seek_table(content: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed size, decompressed size) of each frame, from the footer."""
-    n, flags, magic = struct.unpack("<IBI", content[-9:])
-    if magic != _SEEKABLE or flags & 0x80:
-        raise ValueError("no seek table")
-    at = len(content) - 9 - 8 * n
-    if struct.unpack("<II", content[at - 8 : at]) != (_SKIPPABLE, 8 * n + 9):
-        raise ValueError("a broken seek table")
-    out, start = [], 0
-    for i in range(n):
-        packed, size = struct.unpack_from("<II", content, at + 8 * i)
-        out.append((start, packed, size))
-        start += packed
-    return out
+class BundleReader:
+    """Reads single records of a bundle: its footer first, then only frames that are asked for, the last one is kept."""
 
+    def __init__(self, file):
+        self.file, self.last = file, (-1, b"")
+        size = file.size()
+        n, flags, magic = struct.unpack("<IBI", self._read(size - 9, 9))
+        if magic != _SEEKABLE or flags & 0x80:
+            raise ValueError("no seek table")
+        table_ = self._read(size - 17 - 8 * n, 8 * n + 8)
+        if struct.unpack_from("<II", table_) != (_SKIPPABLE, 8 * n + 9):
+            raise ValueError("a broken seek table")
+        self.frames, start = [], 0
+        for i in range(n):
+            packed, length = struct.unpack_from("<II", table_, 8 + 8 * i)
+            self.frames.append((start, packed, length))
+            start += packed
 
-def read_frame(content: bytes, frame: tuple[int, int, int]) -> bytes:
-    start, packed, size = frame
-    return zstandard.ZstdDecompressor().decompress(content[start : start + packed], max_output_size=size)
+    def _read(self, at: int, n: int) -> bytes:
+        if at < 0:
+            raise ValueError("no seek table")
+        self.file.seek(at)
+        return self.file.read(n)
 
+    def frame(self, number: int) -> bytes:
+        if self.last[0] != number:
+            start, packed, length = self.frames[number]
+            self.last = number, zstandard.ZstdDecompressor().decompress(self._read(start, packed), max_output_size=length)
+        return self.last[1]
 
-def read_record(content: bytes, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
-    """One record by its place in the index: only its frame is decompressed."""
-    return parse(read_frame(content, seek_table(content)[frame]), offset)[:2]
+    def record(self, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
+        """Headers and block of the record at its place in the index."""
+        return parse(self.frame(frame), offset)[:2]
+
+
+@lru_cache(maxsize=8)
+def _place(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A folder's file system and its path there."""
+    scheme, colon, rest = folder.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{dict(s3a='s3', s3n='s3').get(scheme, scheme)}://{rest}" if colon else folder)
+
+
+def _urn(record_id: str | None) -> str:
+    return f"<urn:tidemark:{record_id}>"
 
 
 def roles(pages: DataFrame, id_col: str, payload_col: str, least: int = 0) -> DataFrame:
@@ -127,12 +150,15 @@ def roles(pages: DataFrame, id_col: str, payload_col: str, least: int = 0) -> Da
     return keys.join(first, "sha").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "sha", "first").dropDuplicates(["id", "sha"])
 
 
-def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Bundles (see BUNDLE) of all rows' records.
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """Writes all rows' records to bundles <folder>/*.warc.zst; returns their index, kept in <folder> too: record_id,
+    bundle (a file name), frame, offset.
 
     Of equal payloads of at least `least` bytes the row with the smallest id is the response; rows that repeat it, id
     and payload alike, are responses too. Null payloads are empty, null urls blank; a row without an id revisits any
-    row with an id and its payload. An empty table gives no bundles; other columns are ignored.
+    row with an id and its payload, and its own record has a random identifier. An empty table gives no bundles; other
+    columns are ignored. A task that runs again writes bundles under new names, and the index holds only those of tasks
+    whose output was committed.
     """
     revisits = roles(pages, id_col, payload_col, least).select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), "first")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
@@ -140,71 +166,75 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     joined = rows.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left").select("id", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() << 20
+        task = TaskContext.get().partitionId()
+        files, base = _place(folder)
+        files.create_dir(base, recursive=True)
 
-        def done(number: int) -> pa.RecordBatch:
-            ids, frames, offsets = zip(*writer.index, strict=True)
+        def done() -> pa.RecordBatch:
+            name = f"{task:06d}-{uuid.uuid4().hex}.warc.zst"
             content = writer.close()
-            return pa.record_batch([pa.array([place + number], pa.int64()), pa.array([content], pa.binary()), pa.array([ids], pa.list_(pa.string())), pa.array([frames], pa.list_(pa.int32())), pa.array([offsets], pa.list_(pa.int32()))], names=["bundle", "content", "record_ids", "frames", "offsets"])
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:  # the bundle is compressed already
+                out.write(content)
+            ids, frames, offsets = zip(*writer.index, strict=True)
+            return pa.record_batch([pa.array(c, kind) for c, (_, kind) in zip((ids, [name] * len(ids), frames, offsets), INDEX, strict=True)], names=[k for k, _ in INDEX])
 
-        writer, number = BundleWriter(frame_bytes), 0
+        writer = BundleWriter(frame_bytes)
         for batch in batches:
             for i, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = "" if i is None else str(i)
-                writer.add(name, record(name, url, payload, digest(payload), "response" if first is None else "revisit", first))
+                name = None if i is None else str(i)
+                writer.add(name, record(f"<urn:uuid:{uuid.uuid4()}>" if name is None else _urn(name), url, payload, digest(payload), "response" if first is None else "revisit", first))
                 if writer.written >= bundle_bytes:
-                    yield done(number)
-                    writer, number = BundleWriter(frame_bytes), number + 1
+                    yield done()
+                    writer = BundleWriter(frame_bytes)
         if writer.index:
-            yield done(number)
+            yield done()
+        tidy()
 
-    return joined.mapInArrow(run, BUNDLE)
+    index = joined.mapInArrow(run, "record_id string, bundle string, frame int, offset int")
+    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.write.parquet(path)
+    return pages.sparkSession.read.schema(index.schema).parquet(path)
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """Per record: record_id, payload_bytes, payload_digest, record_type, refers_to, block, read back frame by frame by
-    the seek table. A response's block must have the digest and length in its header."""
+def read_records(index: DataFrame, folder: str, blocks: bool = True) -> DataFrame:
+    """Per row of the index: record_id, payload_bytes, payload_digest, record_type, refers_to, block (null unless blocks).
+
+    Each record is read at its place: the bundle's seek table gives its frame, the index its offset in it. It must be the
+    one that the index names, and a response's block must have the digest and length in its header. The index's rows lie
+    in the order of the bundles, so a task opens few bundles and each frame once; any other order is right too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block"]
+        files, base = _place(folder)
+        name = reader = None
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        names = ["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block"]
         for batch in batches:
-            for content in batch.column(0):
-                content = content.as_py()
-                for frame in seek_table(content):
-                    data, at, out = read_frame(content, frame), 0, []
-                    while at < len(data):
-                        head, block, at = parse(data, at)
-                        kind, sha, n = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
-                        if kind == "response" and (digest(block) != sha or len(block) != n):
-                            raise ValueError(f"record {head['warc-record-id']} does not match its digest")
-                        out.append((_bare(head["warc-record-id"]), n, sha, kind, _bare(head["warc-refers-to"]) if "warc-refers-to" in head else None, block))
+            out, held = [], 0
+            for record_id, bundle, frame, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bundle != name:
+                    name, reader = bundle, BundleReader(files.open_input_file(f"{base}/{bundle}"))
+                head, block = reader.record(frame, offset)
+                kind, sha, n = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
+                if record_id is not None and head["warc-record-id"] != _urn(record_id):
+                    raise ValueError(f"the index has {record_id} where {head['warc-record-id']} is")
+                if kind == "response" and (digest(block) != sha or len(block) != n):
+                    raise ValueError(f"record {head['warc-record-id']} does not match its digest")
+                to = head.get("warc-refers-to")
+                out.append((record_id, n, sha, kind, to and to.removeprefix("<urn:tidemark:").removesuffix(">"), block if blocks else None))
+                held += len(block) if blocks else 0
+                if held > BUNDLE_BYTES:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        tidy()
 
-    return bundles.select("content").mapInArrow(run, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, block binary")
-
-
-def _bare(uri: str) -> str:
-    return uri.removeprefix("<urn:tidemark:").removesuffix(">")
-
-
-def save_bundles(bundles: DataFrame, folder: str) -> None:
-    """Writes each bundle as <folder>/<bundle>.warc.zst and its index beside it. The folder must be one that all
-    executors mount; a file appears whole under its name, so a task that runs again just replaces it."""
-
-    def run(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            index = "".join(f"{i}\t{f}\t{o}\n" for i, f, o in zip(row.record_ids, row.frames, row.offsets, strict=True))
-            for name, data in ((f"{row.bundle}.warc.zst", bytes(row.content)), (f"{row.bundle}.index.tsv", index.encode())):
-                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(data)
-                os.replace(part, f"{folder}/{name}")
-
-    bundles.foreachPartition(run)
+    return index.select("record_id", "bundle", "frame", "offset").mapInArrow(run, RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = stored(write_bundles(table(spark, sf_dir, "pages")), "warc")
-    return read_bundles(bundles).select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    records = read_records(write_archives(pages, folder), folder, blocks=False)
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
