@@ -475,3 +475,49 @@ def test_sums_find_what_brute_force_finds():
                 assert (found is not None) == there
                 assert not found or (sum(found) == gap and sums.left(*found))
             free[rng.choice(pieces)] -= 1
+
+
+def test_messages_pass_between_blocks():
+    rng = np.random.default_rng(1)
+    u, at = np.exp(rng.standard_normal(1000) * 3), np.array([0, 0, 700, 701, 703, 1000])
+    crf = crf_quality.Crf(np.zeros(2), np.exp(rng.standard_normal((2, 2)) * 2))
+    forward, backward = crf.passes(u, crf_quality.chains(at))
+    assert np.allclose(crf.ratios(u, at), forward * backward)
+    for block in (1, 7, 256, 5000):
+        assert np.allclose(crf_quality.messages(u, at, crf.transitions, block), forward)
+
+
+def test_slices_of_a_long_text_have_the_whole_ones_features(monkeypatch):
+    rng = random.Random(3)
+    kinds = ["same line", "UPPER CASE!! 12", "a b b b c", "", "x" * 300, "é|| — 7"]
+    text = "\n".join(rng.choice(kinds) + rng.choice(["", str(rng.randint(0, 50))]) for _ in range(3000)).encode()
+    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    crf = crf_quality.Crf(np.random.default_rng(0).standard_normal(3 * crf_quality.OWN + 1), np.ones((2, 2)))
+    monkeypatch.setattr(crf_quality, "LINE_BYTES", 100)
+    whole = crf.line_odds(buf, off, len(text))
+    for step in (1, 50, 999, 20000):
+        assert all(np.allclose(a, b) for a, b in zip(whole, crf.line_odds(buf, off, step), strict=True))
+
+
+def test_a_very_long_text_of_short_lines():
+    import resource
+
+    import pyarrow as pa
+
+    text = "short line 1\nTHIS ONE IS BAD!!\n" * 700_000  # 21 MB
+    crf = crf_quality.Crf(np.random.default_rng(0).standard_normal(3 * crf_quality.OWN + 1) / 4, np.array([[2.0, 1.0], [1.0, 2.0]]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 <= crf_quality.Model(crf, np.array([0.0, 1.0, 1.0])).score(pa.array([text, None, "x" * 3_000_000]))[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
+
+
+def test_sample_is_bounded_and_settles_conflicts(spark):
+    from tidemark.llm import labelled as L
+
+    rows = [(i, f"text {i}") for i in range(40)] + [(1, "b text")] * 100 + [(None, "x"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (4, None), (1, 1)], "doc_id long, y int")
+    got = {r.doc_id: (r.text, r.y) for r in L.sample(docs, labels, "y", {0: 1000, 1: 1000}, 100).collect()}
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 3]
+    assert got == {i: ("" if i == 2 else "b text" if i == 1 else f"text {i}", i % 2) for i in kept}
+    assert L.sample(docs, labels, "y", {0: 3, 1: 2}, 100).count() == 5
