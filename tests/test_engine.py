@@ -164,7 +164,7 @@ def _zip(name, body):
     ("kind", "data", "expected"),
     [
         ("txt", b"  ", (None, "empty_file")), ("TXT", "ä".encode(), ("ä", None)), ("exe", b"x", (None, "unsupported_extension_exe")), ("pdf", b"x", (None, "pdf_header_missing")), ("pdf", b"%PDF-1", (None, "pdf_eof_missing_corrupt")),
-        ("pdf", b"%PDF-1 %%EOF" + b" " * (2 << 20), (None, "file_too_large_3_mb")), ("pdf", None, (None, "file_not_readable")), ("docx", b"x", (None, "zip_open_failed")), ("docx", _zip("word/document.xml", "<w:p>A&amp;b</w:p><w:p>c</w:p>"), ("A&b\nc", None)),
+        ("pdf", b"%PDF-1 %%EOF" + b" " * (2 << 20), (None, "file_too_large_3_mb")), ("pdf", None, (None, "file_not_readable")), ("docx", b"x", (None, "docx_zip_open_failed")), ("docx", _zip("word/document.xml", "<w:p>A&amp;b</w:p><w:p>c</w:p>"), ("A&b\nc", None)),
         ("odt", _zip("content.xml", "<text:p>hi</text:p>"), ("hi", None)), ("rtf", rb"{\rtf1 Gr\'fc\'df \u228?gern\par x}", ("Grüß ägern x", None)),
     ],
 )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -99,8 +100,33 @@ def cut_bytes(c: Column, n: int = CONTENT_BYTES) -> Column:
     return F.when(F.octet_length(c) <= n, c).otherwise(cut)
 
 
-def normalize(c: Column, keep_script_text: bool = False) -> Column:
-    return cut_bytes(squeeze(unescape(without_markup(F.make_valid_utf8(F.coalesce(c, F.lit(""))), keep_script_text))))
+def normalize(c: Column, keep_script_text: bool = False, most_bytes: int = CONTENT_BYTES) -> Column:
+    return cut_bytes(squeeze(unescape(without_markup(F.make_valid_utf8(F.coalesce(c, F.lit(""))), keep_script_text))), most_bytes)
+
+
+def headline_text(c: Column) -> Column:
+    """A headline without tags: of a serialised one (a:2:{s:5:"value";s:3:"...";...}) its value, of others all of it."""
+    raw = F.trim(F.coalesce(c, F.lit("")))
+    value = F.regexp_extract(raw, r's:5:"value";s:\d+:"(.*?)";(?:[sibdNa]|\})', 1)
+    return F.regexp_replace(F.when(raw.startswith("a:") & raw.contains('s:5:"value";s:'), value).otherwise(raw), "<[^>]*>", "")
+
+
+def serialised_ints(c: Column) -> Column:
+    """The positive integers of a serialised list of integers or of digits in strings, in order; of anything else none."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r'(?:i:\d+|s:\d+:"[^"]*");(?:i:|s:\d+:")(-?\d+)"?;'), 1)
+    numbers = F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x > 0)
+    return F.when(F.coalesce(c, F.lit("")).startswith("a:"), numbers).otherwise(F.array().cast("array<int>"))
+
+
+def parsed_date(c: Column) -> Column:
+    """A date written d.m.Y, or as an ISO date or timestamp, or as Unix seconds; null for others."""
+    iso = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
+    seconds = F.when(c.rlike(r"^\d{9,11}$"), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(c.cast("long") / 86400).cast("int")))
+    return F.coalesce(F.to_date(F.try_to_timestamp(c, F.lit("d.M.yyyy"))), iso, seconds)
+
+
+def shown_date(c: Column) -> Column:
+    return F.date_format(c, "dd.MM.yyyy")
 
 
 def highlight(text: Column, terms: list[str]) -> Column:
@@ -111,11 +137,21 @@ def highlight(text: Column, terms: list[str]) -> Column:
     return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", "<mark>$1</mark>")
 
 
-def crop(text: Column, terms: list[str], width: int = 30) -> Column:
-    """`width` words around the first of `terms` (else the first words), with … where words were left out."""
+def mark_words(text: Column, meant: Callable[[Column], Column]) -> Column:
+    """Words whose folded form is `meant` (a condition on a token), in <mark>: other spellings of a hit are marked too."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.when(F.coalesce(meant(fold(r)), F.lit(False)), F.concat(F.lit("<mark>"), r, F.lit("</mark>"))).otherwise(r)), "")
+
+
+def crop(text: Column, terms: list[str] | Callable[[Column], Column], width: int = 30) -> Column:
+    """`width` words around the first of `terms` (else the first words), with … where words were left out.
+
+    terms: folded words, or a condition on a folded word.
+    """
+    meant = terms if callable(terms) else lambda w: w.isin(terms)
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     folded = F.transform(words, lambda w: F.regexp_replace(fold(w), r"[^\p{L}\p{N}]+", ""))
-    at = F.coalesce(F.array_min(F.filter(F.transform(folded, lambda w, i: F.when(w.isin(terms), i)), lambda i: i.isNotNull())), F.lit(0))
+    at = F.coalesce(F.array_min(F.filter(F.transform(folded, lambda w, i: F.when(meant(w), i)), lambda i: i.isNotNull())), F.lit(0))
     start = F.greatest(at - width // 2, F.lit(0))
     body = F.array_join(F.slice(words, start + 1, width), " ")
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(F.size(words) > start + width, "…").otherwise(""))
@@ -126,3 +162,23 @@ def unmark(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("&lt;mark&gt;", "<mark>"), ("&lt;/mark&gt;", "</mark>")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
+
+
+#: SQL functions of this module: name -> parameter and body.
+SQL_FUNCTIONS = {
+    "fold_text": f"replace(translate(lower(s), '{ACCENTED}', '{FOLDED}'), 'ß', 'ss')",
+    "slugify": "rtrim('-', substring(trim(BOTH '-' FROM regexp_replace(translate({}, '{}', '{}'), '[^a-z0-9]+', '-')), 1, 64))",
+    "file_extension": r"lower(regexp_extract(s, r'\.([^./]+)$', 1))",
+    "plain_text": r"trim(regexp_replace(regexp_replace(s, '<[^>]*>', ' '), r'\s+', ' '))",
+}
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Makes the SQL functions known to the session, as expressions that the optimiser sees through; returns their names."""
+    lowered = "trim(lower(s))"
+    for a, b in UMLAUTS:
+        lowered = f"replace({lowered}, '{a}', '{b}')"
+    for name, body in SQL_FUNCTIONS.items():
+        body = body.format(lowered, ACCENTED, FOLDED) if name == "slugify" else body
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS STRING RETURN {body}")
+    return sorted(SQL_FUNCTIONS)

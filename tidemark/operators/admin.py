@@ -12,8 +12,8 @@ from tidemark.functions.text import slugify
 from .search import ATTRIBUTES, FILTERABLE, SORTABLE, TYPO_LENGTHS, facets, user_filter, visible
 from .site import EXTENSIONS
 
-#: Rows of a page of the index browser, shown items of a plan, seconds after which a run counts as over.
-PAGE_ROWS, PREVIEW, STALE_SECONDS = 50, 12, 3600
+#: Rows of a page of the index browser, shown items of a plan, seconds after which a run counts as over, rows of a list.
+PAGE_ROWS, PREVIEW, STALE_SECONDS, LIST_ROWS = 50, 12, 3600, 100
 #: Codes and names of failed requests.
 ERRORS = {401: "unauthorized", 402: "subscription_inactive", 403: "not_provisioned", 429: "rate_limited", 503: "platform_unreachable", 500: "search_failed"}
 #: The ranking's rules, first to last.
@@ -132,6 +132,16 @@ def browse(docs: DataFrame, page: int = 1, groups: tuple[int, ...] = (), filters
     return shown.orderBy(F.desc("indexed_at"), "id").offset((max(page, 1) - 1) * PAGE_ROWS).limit(PAGE_ROWS)
 
 
+def page_count(docs: DataFrame, rows: int = PAGE_ROWS) -> DataFrame:
+    """One row: documents and pages of the index browser, one at least."""
+    return docs.agg(F.count("*").alias("documents"), F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("long").alias("pages"))
+
+
+def latest(docs: DataFrame, n: int = LIST_ROWS) -> DataFrame:
+    """The back end's list: the first n documents, latest first."""
+    return docs.orderBy(F.desc("indexed_at"), "id").limit(n)
+
+
 def extension_choices(docs: DataFrame) -> DataFrame:
     """value, n of the tags that are file kinds, most first."""
     return facets(docs, ("tags",)).where(F.col("value").isin(*EXTENSIONS)).select("value", "n").orderBy(F.desc("n"), "value")

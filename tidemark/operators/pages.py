@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import doc_id, extension, humanize_filename, normalize, page_url
+from tidemark.functions.text import doc_id, extension, headline_text, humanize_filename, normalize, page_url
 
 from .site import closure, dominant, page_locales, page_permissions, url_suffixes
 
@@ -29,7 +29,7 @@ def page_texts(articles: DataFrame, elements: DataFrame) -> DataFrame:
     """page_id, body: texts of the published articles of the main column and their visible elements, in order."""
     shown = articles.where("published = '1' AND coalesce(inColumn, 'main') = 'main'").select(F.col("id").alias("article"), F.col("pid").alias("page_id"), "title", "teaser")
     heads = shown.select("page_id", "article", F.lit(-1).cast("long").alias("ord"), F.lit(0).cast("long").alias("element"), F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("teaser", F.lit(""))).alias("text"))
-    body = elements.where((F.coalesce("invisible", F.lit("")) != "1") & F.coalesce(column(elements, "ptable"), F.lit("article")).endswith("article")).select(F.col("pid").alias("article"), F.col("sorting").cast("long").alias("ord"), F.col("id").cast("long").alias("element"), F.concat_ws(" ", F.nullif("headline", F.lit("")), F.nullif("text", F.lit(""))).alias("text"))
+    body = elements.where((F.coalesce("invisible", F.lit("")) != "1") & F.coalesce(column(elements, "ptable"), F.lit("article")).endswith("article")).select(F.col("pid").alias("article"), F.col("sorting").cast("long").alias("ord"), F.col("id").cast("long").alias("element"), F.concat_ws(" ", F.nullif(headline_text(F.col("headline")), F.lit("")), F.nullif("text", F.lit(""))).alias("text"))
     parts = heads.unionByName(body.join(shown.select("article", "page_id"), "article"))
     return parts.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("article", "ord", "element", "text"))), lambda x: x["text"]), " ").alias("body"))
 
@@ -77,7 +77,8 @@ def embedded_locales(found: DataFrame, locales: DataFrame) -> DataFrame:
 def folders_above(path: Column) -> Column:
     """Every folder that holds a path: a/b/c.txt is in a and a/b."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))  # a file at the top is in no folder
 
 
 def file_permissions(files: DataFrame, folders: DataFrame, markers: DataFrame, found: DataFrame, page_rights: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import fold, tokens
+from tidemark.functions.text import crop, fold, mark_words, tokens
 
 #: Word lengths from which one and two typos are allowed, by strictness.
 TYPO_LENGTHS = {"strict": (8, 12), "balanced": (6, 10), "tolerant": (5, 9)}
@@ -22,6 +22,8 @@ ATTRIBUTES = ("title", "tags", "content")
 FILTERABLE = {"type", "locale", "tags", "published_at", "is_protected", "allowed_groups"}
 SORTABLE = {"published_at", "indexed_at", "weight"}
 SHORT, MOST_HITS, FAR = 3, 100, 8
+#: Synonyms of the German index.
+SYNONYMS = {"strasse": ["straße"], "straße": ["strasse"], "masse": ["maße", "mass"], "maße": ["masse"]}
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,15 @@ def postings(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return docs.select("id", *keep, F.explode(each).alias("a")).select("id", *keep, "a.attr", F.posexplode("a.toks").alias("pos", "tok"))
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """tok, n, docs: how often each word occurs and in how many documents. A document gives a row for each word and one for each
+    distinct word, so both numbers are sums that are made before the shuffle."""
+    every = F.concat(*(tokens(F.array_join(a, " ") if a == "tags" else F.col(a)) for a in ATTRIBUTES))
+    row = lambda n, d: lambda t: F.struct(t.alias("tok"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
+    each = alone(docs, "w", every).select(F.explode(F.concat(F.transform("w", row(1, 0)), F.transform(F.array_distinct("w"), row(0, 1)))).alias("r"))
+    return each.groupBy("r.tok").agg(F.sum("r.n").alias("n"), F.sum("r.docs").alias("docs"))
+
+
 def match_terms(vocabulary: DataFrame, phrases: list[list[Token]], strictness: str = "balanced", synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """qi, tok, typos, exact: the words of the vocabulary (tok) that stand for each query word; a few literals drive it."""
     out = None
@@ -107,8 +118,8 @@ def alone(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """id, indexed_at and what `hits` counts, of documents with a match and all phrases; each from its own row."""
+def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, indexed_at, keep and what `hits` counts, of documents with a match and all phrases; each from its own row."""
     like = likeness(phrases, strictness, synonyms)
     n = len(like)
 
@@ -118,7 +129,7 @@ def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synon
         each = lambda x: F.array(*(F.struct(F.lit(attr).alias("attr"), x["pos"].alias("pos"), F.lit(q).alias("qi"), typos(x["tok"]).alias("typos"), exact(x["tok"]).alias("exact")) for q, (typos, exact) in enumerate(like)))
         return F.filter(F.flatten(F.transform(some, each)), lambda y: y["typos"].isNotNull())
 
-    out = alone(docs, "m", F.concat(*(found(i, a) for i, a in enumerate(ATTRIBUTES)))).select("id", "indexed_at", "m").where(F.size("m") > 0)
+    out = alone(docs, "m", F.concat(*(found(i, a) for i, a in enumerate(ATTRIBUTES)))).select("id", "indexed_at", *keep, "m").where(F.size("m") > 0)
     of = [_of_words(q) for q in range(n)]
     best = lambda pick, field: [pick(F.transform(x, lambda y: y[field])) for x in of]
     total = lambda cols: sum((F.coalesce(c.cast("long"), F.lit(0)) for c in cols), F.lit(0).cast("long"))
@@ -135,7 +146,7 @@ def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synon
         words.alias("words"), total(best(F.array_min, "typos")).alias("typos"), F.array_min(F.transform("m", lambda y: y["attr"])).alias("attr"), total(best(F.array_max, "exact")).alias("exact"),
         F.array_min(F.transform("m", lambda y: y["qi"])).alias("first_qi"), (near + F.greatest((words - 1 - pairs) * FAR, F.lit(0))).alias("proximity"), _phrases_met(phrases).alias("met"),
     )
-    return alone(out, "v", value).select("id", "indexed_at", "v.*").where("met").drop("met")
+    return alone(out, "v", value).select("id", "indexed_at", *keep, "v.*").where("met").drop("met")
 
 
 def _of_words(*qi: int) -> Column:
@@ -222,31 +233,96 @@ def user_filter(filters: dict, tags_mode: str = "any") -> Column:
     return out
 
 
-def search(docs: DataFrame, request: Request, posted: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """The request's page of hits in rank order, with their score. Documents' filters run before the match.
+def gate(query: Column, limit: Column, shortest: int = SHORT) -> Column:
+    """struct<accepted, limit>: whether a client's query has enough characters, and the limit it gets."""
+    return F.struct((F.length(F.trim(F.coalesce(query, F.lit("")))) >= shortest).alias("accepted"), F.least(F.greatest(F.coalesce(limit, F.lit(10)), F.lit(1)), F.lit(MOST_HITS)).alias("limit"))
+
+
+def matched(docs: DataFrame, request: Request, posted: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All hits of a request, unordered: id, indexed_at, what ranks them, score, and the columns `keep` of the documents.
 
-    posted: postings of the documents, with indexed_at, where they are kept.
+    Documents' filters run before the match. posted: postings of the documents, with indexed_at and `keep`, where they are kept.
     """
     allowed = docs.where(visible(request.groups)).where(user_filter(request.filters, request.tags_mode))
     if request.locales:
         allowed = allowed.where(F.col("locale").isin(list(request.locales)))
-    limit, offset = min(max(request.limit, 1), MOST_HITS), max(request.offset, 0)
     phrases, strict = rewrite(request.query, request.strictness)
     if not phrases:  # browsing
-        out = allowed.select("id", "indexed_at", F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("typos"), F.lit(0).cast("long").alias("proximity"), F.lit(0).alias("attr"), F.lit(0).cast("long").alias("exact"), F.lit(0.0).alias("score"))
+        return allowed.select("id", "indexed_at", *keep, F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("typos"), F.lit(0).cast("long").alias("proximity"), F.lit(0).alias("attr"), F.lit(0).cast("long").alias("exact"), F.lit(0.0).alias("score"))
+    n = sum(map(len, phrases))
+    if posted is None:
+        found = row_hits(allowed, phrases, request.strictness, synonyms, keep)
     else:
-        n = sum(map(len, phrases))
-        if posted is None:
-            found = row_hits(allowed, phrases, request.strictness, synonyms)
-        else:
-            posted = posted.join(allowed.select("id"), "id", "left_semi")
-            found = hits(posted, match_terms(posted.select("tok").distinct(), phrases, request.strictness, synonyms), ["indexed_at"])
-            for p in phrases:
-                if len(p) > 1:
-                    found = found.join(phrase_docs(posted, [t.text for t in p]), "id", "left_semi")
-        found = found.where(F.col("words") == n) if strict else found.where("first_qi = 0")
-        out = found.withColumn("score", score(n)).select("id", "indexed_at", "words", "typos", "proximity", "attr", "exact", "score")
-    return out.orderBy(*ranking()).offset(offset).limit(limit)
+        posted = posted.join(allowed.select("id"), "id", "left_semi")
+        found = hits(posted, match_terms(posted.select("tok").distinct(), phrases, request.strictness, synonyms), ["indexed_at", *keep])
+        for p in phrases:
+            if len(p) > 1:
+                found = found.join(phrase_docs(posted, [t.text for t in p]), "id", "left_semi")
+    found = found.where(F.col("words") == n) if strict else found.where("first_qi = 0")
+    return found.withColumn("score", score(n)).select("id", "indexed_at", *keep, "words", "typos", "proximity", "attr", "exact", "score")
+
+
+def clamped(request: Request) -> tuple[int, int]:
+    return min(max(request.limit, 1), MOST_HITS), max(request.offset, 0)
+
+
+def search(docs: DataFrame, request: Request, posted: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """The request's page of hits in rank order, with their score."""
+    limit, offset = clamped(request)
+    return matched(docs, request, posted, synonyms).orderBy(*ranking()).offset(offset).limit(limit)
+
+
+def total_hits(docs: DataFrame, request: Request, posted: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row: total_hits, exact."""
+    return matched(docs, request, posted, synonyms).agg(F.count("*").alias("total_hits"))
+
+
+def matched_facets(docs: DataFrame, request: Request, synonyms: dict[str, list[str]] | None = None, fields: tuple[str, ...] = ("type", "locale", "tags")) -> DataFrame:
+    """facet, value, n over all documents that the request matches, whatever its limit; one scan."""
+    return facets(matched(docs, request, None, synonyms, fields), fields)
+
+
+#: Hits of each locale that are merged, at least.
+LEAST_MERGED = 50
+
+
+def merge_locales(docs: DataFrame, request: Request, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """locale, locale_rank and the request's page of hits of several locales: by score, then the locales' order, then rank.
+
+    Each locale gives its best limit + offset hits, LEAST_MERGED at least; all locales are matched in one scan.
+    """
+    limit, offset = clamped(request)
+    found = matched(docs, request, None, synonyms, ("locale",))
+    best = found.withColumn("locale_rank", F.row_number().over(Window.partitionBy("locale").orderBy(*ranking()))).where(F.col("locale_rank") <= max(limit + offset, LEAST_MERGED))
+    at = F.array_position(F.array(*map(F.lit, request.locales)), F.col("locale")) if request.locales else F.col("locale")
+    return best.orderBy(F.desc("score"), at, "locale_rank").offset(offset).limit(limit)
+
+
+def locale_totals(docs: DataFrame, request: Request, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """locale, hits of each locale, and the sum under the locale `all`."""
+    found = matched(docs, request, None, synonyms, ("locale",))
+    return found.select(F.explode(F.array("locale", F.lit("all"))).alias("locale")).groupBy("locale").agg(F.count("*").alias("hits"))
+
+
+def hit_view(docs: DataFrame, found: DataFrame, request: Request, synonyms: dict[str, list[str]] | None = None, width: int = 30) -> DataFrame:
+    """What a reader sees of hits (found: id, score and what ranks them): type, locale, marked title, url, marked snippet,
+    tags, score, is_protected. Words that stand for a query word are marked, in whatever spelling.
+
+    Only hits meet the documents, so texts are cropped for them alone.
+    """
+    like = likeness(rewrite(request.query, request.strictness)[0], request.strictness, synonyms)
+    meant = lambda tok: F.coalesce(*(typos(tok) for typos, _ in like)).isNotNull() if like else F.lit(False)
+    shown = docs.join(found.drop("indexed_at", "locale", "type", "tags"), "id")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return shown.select(
+        "id", F.coalesce("type", F.lit("unknown")).alias("type"), "locale", mark_words(text("title"), meant).alias("title"), text("url").alias("url"), mark_words(crop(text("content"), meant, width), meant).alias("snippet"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("is_protected", F.lit(False)).alias("is_protected"),
+    )
+
+
+def as_json(df: DataFrame, columns: list[str]) -> DataFrame:
+    """id and json: the row's answer as one JSON object."""
+    return df.select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def facets(matched: DataFrame, fields: tuple[str, ...] = ("type", "locale", "tags")) -> DataFrame:
@@ -256,3 +332,62 @@ def facets(matched: DataFrame, fields: tuple[str, ...] = ("type", "locale", "tag
 
     pairs = [pair(f) for f in fields]
     return matched.select(F.explode(F.concat(*pairs)).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+
+
+class PostingStore:
+    """Postings on disk, for searches that need not read the documents' texts: partitioned by locale, sorted by word, with
+    the distinct words beside them. A query's words are matched against the vocabulary first; only their postings are read,
+    as Parquet's statistics of the sorted words leave out all other row groups."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, docs: DataFrame) -> None:
+        posted = postings(docs, ["locale", "indexed_at"])
+        posted.repartitionByRange("locale", "tok").sortWithinPartitions("locale", "tok").write.partitionBy("locale").parquet(f"{self.path}/postings")
+        self.postings().groupBy("tok").agg(F.count("*").alias("n")).write.parquet(f"{self.path}/vocabulary")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("id string, indexed_at long, attr int, pos int, tok string, locale string").parquet(f"{self.path}/postings")
+
+    def vocabulary(self) -> DataFrame:
+        return self.spark.read.schema("tok string, n long").parquet(f"{self.path}/vocabulary")
+
+    #: Words of the vocabulary up to which they are named in the filter of the scan.
+    NAMED = 1000
+
+    def terms(self, phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+        return match_terms(self.vocabulary(), phrases, strictness, synonyms)
+
+    def search(self, docs: DataFrame, request: Request, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+        """The request's page of hits; of the documents only what filters need is read."""
+        limit, offset = clamped(request)
+        phrases, strict = rewrite(request.query, request.strictness)
+        if not phrases:
+            return search(docs, request)
+        allowed = docs.where(visible(request.groups)).where(user_filter(request.filters, request.tags_mode))
+        posted = self.postings()
+        if request.locales:
+            allowed, posted = (df.where(F.col("locale").isin(list(request.locales))) for df in (allowed, posted))
+        terms = self.terms(phrases, request.strictness, synonyms)
+        words = [r.tok for r in terms.select("tok").distinct().limit(self.NAMED + 1).collect()]
+        if len(words) <= self.NAMED:  # else the join alone picks them
+            posted = posted.where(F.col("tok").isin(words))
+        found = hits(posted.join(allowed.select("id"), "id", "left_semi"), terms, ["indexed_at"])
+        for p in phrases:
+            if len(p) > 1:
+                found = found.join(phrase_docs(posted, [t.text for t in p]), "id", "left_semi")
+        n = sum(map(len, phrases))
+        found = found.where(F.col("words") == n) if strict else found.where("first_qi = 0")
+        return found.withColumn("score", score(n)).select("id", "indexed_at", "words", "typos", "proximity", "attr", "exact", "score").orderBy(*ranking()).offset(offset).limit(limit)
+
+    def search_many(self, docs: DataFrame, requests: DataFrame, k: int = 10) -> DataFrame:
+        """query_id, rank, id, words, exact of many queries (query_id, query) at once: exact words, in one join.
+
+        Documents are ranked by how many of a query's distinct words they have, then by recency and id.
+        """
+        asked = requests.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("tok"))
+        posted = self.postings().select("tok", "id", "indexed_at").distinct().join(docs.where(visible()).select("id"), "id", "left_semi")
+        n = posted.join(asked, "tok").groupBy("query_id", "id", "indexed_at").agg(F.count("*").alias("words"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("words"), F.desc("indexed_at"), "id")
+        return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "words")

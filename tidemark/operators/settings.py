@@ -59,6 +59,11 @@ def request_locale(value: str | None, default: str = "de") -> str:
     return re.sub("[^a-z]", "", value or "") or default
 
 
+def locale_column(value, default: str = "de"):
+    """request_locale() on a column."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.coalesce(value, F.lit("")), "[^a-z]", ""), F.lit("")), F.lit(default))
+
+
 def request_tags(values: list[str]) -> list[str]:
     return [t for t in (re.sub("[^a-z0-9-]", "", v.lower())[:64] for v in values) if t]
 

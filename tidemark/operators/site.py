@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,16 +18,18 @@ DEFAULT_EXCLUDED = ("files/intern/**", "files/admin/**", "files/private/**")
 
 def closure(tree: DataFrame) -> DataFrame:
     """id, ancestor, depth (0: itself) of every node, at most MOST_DEPTH up; a cycle ends there."""
-    spark, view = tree.sparkSession, "tidemark_tree"
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a tree may have any number of rows; the depth is bounded below
+    spark, view = tree.sparkSession, f"tidemark_tree_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs: a tree may have any number of rows, the depth is bounded below
     tree.select("id", "pid").createOrReplaceTempView(view)
-    return spark.sql(f"""
+    out = spark.sql(f"""
         WITH RECURSIVE up(id, ancestor, depth) AS (
           SELECT id, id, 0 FROM {view}
           UNION ALL
           SELECT up.id, t.pid, up.depth + 1 FROM up JOIN {view} t ON t.id = up.ancestor
           WHERE t.pid <> 0 AND up.depth < {MOST_DEPTH}
         ) SELECT id, ancestor, depth FROM up""")
+    spark.catalog.dropTempView(view)
+    return out
 
 
 def page_permissions(tree: DataFrame) -> DataFrame:
@@ -93,7 +96,8 @@ def dominant(found: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def path_locale(path: Column, enabled: list[str]) -> Column:
-    parts = F.transform(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1))), lambda p: F.regexp_extract(F.lower(p), "^([a-z]{2})([_-][a-z]{2})?$", 1))
+    folders = F.filter(F.split(path, "/"), lambda p, i: i < F.size(F.split(path, "/")) - 1)
+    parts = F.transform(folders, lambda p: F.regexp_extract(F.lower(p), "^([a-z]{2})([_-][a-z]{2})?$", 1))
     return F.try_element_at(F.filter(parts, lambda p: p.isin(enabled)), F.lit(1))
 
 
@@ -134,9 +138,10 @@ def plan_stats(planned: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, changed: DataFrame, key: str = "id", order: str = "indexed_at") -> DataFrame:
-    """All rows, one a key: the one with the largest `order`."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return current.unionByName(changed, allowMissingColumns=True).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """All rows, one a key: the one with the largest `order`; of those a changed one, and among these the last in a fixed order."""
+    both = current.withColumn("__new", F.lit(0)).unionByName(changed.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__new"), F.desc(F.xxhash64(*(f"`{c}`" for c in both.columns))))
+    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
 
 
 def delete(current: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -161,3 +166,22 @@ def valid_events(events: DataFrame) -> DataFrame:
 
 def query_report(events: DataFrame, *by: Column | str) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("results") == 0).alias("zero"), F.sum("results").alias("results"))
+
+
+def both_lists(*lists: Column) -> Column:
+    """Lists of globs as one, each glob once."""
+    out = F.array().cast("array<string>")
+    for c in lists:
+        out = F.array_union(out, F.coalesce(c, F.array().cast("array<string>")))
+    return out
+
+
+def keyed_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All rows of the first, and those of the second whose key the first lacks."""
+    return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def index_stats(docs: DataFrame, expected: int | None = None) -> DataFrame:
+    """index_locale, documents, last_update, percent (of `expected` documents; null where none are given)."""
+    share = F.lit(None) if not expected else F.least(F.lit(100), F.round(F.count("*") * 100.0 / expected))
+    return docs.groupBy(F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0).alias("index_locale")).agg(F.count("*").alias("documents"), F.max("indexed_at").alias("last_update"), share.cast("long").alias("percent"))

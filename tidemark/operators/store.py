@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,8 +69,16 @@ class Store:
         if m is None:
             return None
         base, changes = self._table(*m["base"]), None
+        purged = {schema: n for n, (folder, schema) in enumerate(m["changes"]) if not folder}
+        if purged:  # whole partitions, which are not read at all
+            base = base.where(~F.coalesce(F.col("index_locale").isin(*purged), F.lit(False)))
         for n, (folder, schema) in enumerate(m["changes"]):
+            if not folder:
+                continue
             change = self._table(folder, schema).withColumn("__n", F.lit(n))
+            later = [k for k, at in purged.items() if at > n]
+            if later and "index_locale" in change.columns:  # what was put there before goes, deletions stay
+                change = change.withColumn("__gone", F.col("__gone") | F.coalesce(F.col("index_locale").isin(*later), F.lit(False)))
             changes = change if changes is None else changes.unionByName(change, allowMissingColumns=True)
         if changes is None:
             return base
@@ -97,8 +106,8 @@ class Store:
         return None
 
     def upsert(self, changed: DataFrame) -> None:
-        """The last write counts; of one id's rows within it, that with the largest indexed_at."""
-        w = Window.partitionBy("id").orderBy(F.desc("indexed_at"))
+        """The last write counts; of one id's rows within it, that with the largest indexed_at, then the last in a fixed order."""
+        w = Window.partitionBy("id").orderBy(F.desc("indexed_at"), F.desc(F.xxhash64(*(f"`{c}`" for c in changed.columns))))
         one = changed.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
         self.apply(routed(one).withColumn("__gone", F.lit(False)))
 
@@ -112,19 +121,38 @@ class Store:
         return 0 if current is None else self._drop(current.where("coalesce(is_protected, false)"))
 
     def purge(self, locale: str | None = None) -> int:
-        """Empties one locale or all; the rest is written anew."""
-        current = self.read()
-        if current is None:
+        """Empties one locale or all, by the manifest alone: no other locale is written anew. Returns how many rows went."""
+        m, current = self._manifest(), self.read()
+        if m is None:
             return 0
-        gone = F.lit(True) if locale is None else F.col("index_locale").eqNullSafe(locale)
-        n = current.where(gone).count()
-        self.write(current.where(~gone))
+        gone = current if locale is None else current.where(F.col("index_locale") == locale)
+        n = gone.count()
+        if locale is None:
+            self.write(current.limit(0))
+        else:
+            self._commit({**m, "changes": [*m["changes"], ["", locale]]})
         return n
 
+    def ensure(self, config) -> bool:
+        """Keeps an index's settings (IndexConfig) beside the store; whether they were written: equal ones are left alone."""
+        text = json.dumps(asdict(config), sort_keys=True, ensure_ascii=False)
+        at = self._at(f"config/{config.locale}.json")
+        if self.config(config.locale) == json.loads(text):
+            return False
+        out = self._fs.create(at, True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        return True
+
+    def config(self, locale: str) -> dict | None:
+        """The kept settings of a locale's index."""
+        at = self._at(f"config/{locale}.json")
+        return json.loads(self.spark.read.text(f"{self.path}/config/{locale}.json", wholetext=True).first()[0]) if self._fs.exists(at) else None
+
     def vacuum(self) -> int:
         """Removes the folders that the latest manifest does not name, for when nobody reads older ones; returns how many."""
         m = self._manifest()
-        used = {m["base"][0], *(c[0] for c in m["changes"])} if m else set()
+        used = {m["base"][0], *(c[0] for c in m["changes"] if c[0])} if m else set()
         gone = [n for n in self._names("") if n.startswith(("base-", "change-")) and n not in used]
         for n in gone:
             self._fs.delete(self._at(n), True)

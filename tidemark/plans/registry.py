@@ -10,6 +10,7 @@ from tidemark.operators import pages as P
 from tidemark.operators import search as S
 from tidemark.operators import settings as C
 from tidemark.operators import site as W
+from tidemark.operators import tagging as G
 from tidemark.plans import oracle as O
 from tidemark.sources import site as src
 from tidemark.streaming import feeds
@@ -18,9 +19,6 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 HIT = ["id", "words", "typos", "proximity", "attr", "exact", "score"]
 ENABLED = ["de", "en"]
-#: Synonyms of the German index.
-SYNONYMS = {"strasse": ["straße"], "straße": ["strasse"], "masse": ["maße", "mass"], "maße": ["masse"]}
-
 
 def query(sql: str | None):
     def keep(f):
@@ -48,12 +46,10 @@ def _search(name: str, sql: str, synonyms=None, **request):
 _search("search_all_terms", O.search([{"text": "the"}, {"text": "of"}], True), query="the of", strictness="strict", limit=20)
 _search("search_last_strategy", O.search([{"text": "the"}, {"text": "thanea", "k": 1, "prefix": True}], False), query="the thanea", limit=20)
 _search("search_short_token_exact", O.search([{"text": "de"}], False), query="de", limit=20)
-_search("search_typo_strict", O.search([{"text": "daseiten", "k": 1}], True), query="daseiten", strictness="strict", limit=20)
 _search("search_typo_balanced", O.search([{"text": "worthles", "k": 1, "prefix": True}], False), query="worthles", limit=20)
 _search("search_typo_tolerant", O.search([{"text": "pathetics", "k": 2, "prefix": True}], False), query="pathetics", strictness="tolerant", limit=20)
 _search("search_prefix", O.search([{"text": "idio", "prefix": True}], False), query="idio", limit=20)
 _search("search_phrase", O.search([{"text": "of"}, {"text": "the"}], False, phrase=["of", "the"]), query='"of the"', limit=20)
-_search("search_synonyms_de", O.search([{"text": "masse", "alts": ["masse", "mass"], "prefix": True}], False, limit=20), SYNONYMS, query="masse", limit=20)
 _search("search_ranked_topk", O.search([{"text": "and"}, {"text": "with"}, {"text": "clown", "prefix": True}], False, limit=50), query="and with clown", limit=50)
 _search("pagination_offset", O.search([{"text": "und", "prefix": True}], False, limit=10, offset=10), query="und ", strictness="tolerant", limit=10, offset=10)
 _search("multi_locale_merge", O.search([{"text": "des", "prefix": True}], False, where=O.PUBLIC + " AND locale IN ('de', 'fr')", limit=30), query="des", strictness="tolerant", locales=("de", "fr"), limit=30)
@@ -99,7 +95,7 @@ def tag_facets_canonical(spark, d):
 
 @query(f"WITH {O.DOCS}, {O.post('true')} SELECT tok, count(*) AS n, count(DISTINCT id) AS docs FROM post GROUP BY tok")
 def vocabulary(spark, d):
-    return S.postings(src.search_docs(spark, d)).groupBy("tok").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    return S.vocabulary(src.search_docs(spark, d))
 
 
 @query(f"WITH {O.DOCS} SELECT id, array_to_string(list_transform(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'), lambda x: CASE WHEN lower(x) IN ('the', 'of') THEN '<mark>' || x || '</mark>' ELSE x END), '') AS marked FROM docs")
@@ -203,7 +199,7 @@ def plan_orphans(spark, d):
 
 @query(f"WITH {O.DOCS} SELECT locale AS index_locale, count(*) AS documents, max(indexed_at) AS last_update, CAST(least(100, round(count(*) / 10.0)) AS BIGINT) AS percent FROM docs GROUP BY locale")
 def progress(spark, d):
-    return src.search_docs(spark, d).groupBy(F.col("locale").alias("index_locale")).agg(F.count("*").alias("documents"), F.max("indexed_at").alias("last_update"), F.least(F.lit(100), F.round(F.count("*") / 10.0)).cast("long").alias("percent"))
+    return W.index_stats(src.search_docs(spark, d), 1000)
 
 
 _GOOD, _BAD, _TOXIC = "doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)", "doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
@@ -229,12 +225,6 @@ def delete_by_ids(spark, d):
     return W.delete(docs, _labelled(spark, d, "quality = 0")).select("id", "locale")
 
 
-@query(f"WITH {O.DOCS} SELECT id, locale FROM docs WHERE {O.PUBLIC}")
-def delete_protected(spark, d):
-    docs = src.search_docs(spark, d)
-    return docs.where(~F.coalesce("is_protected", F.lit(False))).select("id", "locale")
-
-
 @query(f"WITH {O.TAGS} SELECT t.tag_id, t.label, count(a.tag_id) AS n FROM tags t LEFT JOIN assigned a USING (tag_id) GROUP BY ALL")
 def tag_counts(spark, d):
     return W.tag_counts(src.tags(spark, d), src.tag_assignments(spark, d))
@@ -248,8 +238,8 @@ def tag_suggest(spark, d):
 
 @query(f"WITH {O.TAGS} SELECT a.target_id, string_agg(t.label, '|' ORDER BY t.label) AS labels FROM assigned a JOIN tags t USING (tag_id) GROUP BY a.target_id")
 def tag_bulk_lookup(spark, d):
-    found = src.tag_assignments(spark, d).join(src.tags(spark, d), "tag_id")
-    return found.groupBy("target_id").agg(F.array_join(F.sort_array(F.collect_list("label")), "|").alias("labels"))
+    found = G.of_targets(src.tags(spark, d).withColumn("slug", F.col("label")), src.tag_assignments(spark, d))
+    return found.select("target_id", F.array_join(F.transform("tags", lambda t: t["label"]), "|").alias("labels"))
 
 
 @query(f"WITH {O.TAGS} SELECT a.tag_id, t.label, a.target_id FROM assigned a JOIN tags t USING (tag_id) JOIN orders o ON o.o_orderkey = a.target_id")

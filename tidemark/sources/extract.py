@@ -6,9 +6,11 @@ Every file gives a text or a reason, never an error; bytes come from Spark's bin
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 
 EDGE, COMPLEX_FROM, MOST_STREAMS, MEMORY_FACTOR, MOST_MEMORY = 65536, 2 << 20, 1500, 120, 1280
 _BREAKS = re.compile(rb"</(?:w:p|w:tr|text:p|text:h|table:table-row)>|<(?:w:br|text:line-break)[^>]*/>")
+_TABS = re.compile(rb"<(?:w:tab|text:tab|text:s)\b[^>]*/>")
 _TAGS = re.compile("<[^>]*>")
+#: Bytes that the parts of a packed file may unpack to.
+MOST_UNPACKED = 256 << 20
 #: The parts of a docx file that hold text.
 DOCX_PARTS = ("word/document.xml", *(f"word/{kind}{i}.xml" for kind in ("header", "footer") for i in (1, 2, 3)))
 
@@ -24,20 +29,28 @@ DOCX_PARTS = ("word/document.xml", *(f"word/{kind}{i}.xml" for kind in ("header"
 def _text_of_xml(data: bytes) -> str:
     import html
 
-    return html.unescape(_TAGS.sub("", _BREAKS.sub(b"\n", data).decode("utf-8", "replace"))).strip()
+    return html.unescape(_TAGS.sub("", _TABS.sub(b" ", _BREAKS.sub(b"\n", data)).decode("utf-8", "replace"))).strip()
 
 
-def from_zip(data: bytes, parts: tuple[str, ...]) -> tuple[str | None, str | None]:
+def from_zip(data: bytes, parts: tuple[str, ...], kind: str) -> tuple[str | None, str | None]:
+    """Text of a packed file's parts. An encrypted, damaged or endless one has a reason instead."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            names = set(z.namelist())
-            found = [_text_of_xml(z.read(p)) for p in parts if p in names]
-    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
-        return None, "zip_open_failed"
-    if not found:
-        return None, "document_part_missing"
+            names, found, left = set(z.namelist()), [], MOST_UNPACKED
+            for p in parts:
+                if p in names:
+                    with z.open(p) as f:
+                        part = f.read(left + 1)
+                    left -= len(part)
+                    if left < 0:
+                        return None, f"{kind}_unpacks_too_large"
+                    found.append(_text_of_xml(part))
+    except Exception:  # a damaged file may raise anything, and one file must not end the job
+        return None, f"{kind}_zip_open_failed"
+    if not found and kind == "odt":
+        return None, "odt_no_content"
     text = "\n".join(t for t in found if t)
-    return (text, None) if text else (None, "empty_document")
+    return (text, None) if text else (None, f"{kind}_empty")
 
 
 def from_rtf(data: bytes) -> tuple[str | None, str | None]:
@@ -48,7 +61,7 @@ def from_rtf(data: bytes) -> tuple[str | None, str | None]:
     raw = re.sub(r"\\[a-zA-Z]+-?\d* ?|\\.", "", raw)
     text = " ".join(re.sub(r"[{}]", "", raw).split())
     text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    return (text, None) if text else (None, "empty_document")
+    return (text, None) if text else (None, "rtf_empty_after_strip")
 
 
 def preflight(data: bytes | None, most_mb: int) -> str | None:
@@ -92,15 +105,27 @@ def extract(kind: str, data: bytes | None, most_mb: int = 50, parse_pdf: Callabl
         text = data.decode("utf-8", "replace")
         return (text, None) if text.strip() else (None, "empty_file")
     if kind == "docx":
-        return from_zip(data, DOCX_PARTS)
+        return from_zip(data, DOCX_PARTS, kind)
     if kind == "odt":
-        return from_zip(data, ("content.xml",))
+        return from_zip(data, ("content.xml",), kind)
     if kind == "rtf":
-        return from_rtf(data)
+        return from_rtf(data) if data else (None, "rtf_empty_file")
     return None, f"unsupported_extension_{kind}"
 
 
+def _reachable() -> None:
+    """Puts this package on the path of a local session's Python workers; on a cluster it is installed or shipped."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+        path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in path:
+            env["PYTHONPATH"] = os.pathsep.join([root, *path])
+
+
 def extracted(kind: Column, content: Column, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None) -> Column:
+    _reachable()
+
     @F.pandas_udf("struct<text string, reason string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for kinds, contents in batches:
@@ -116,7 +141,7 @@ def read_files(spark: SparkSession, folder: str, most_mb: int = 50, parse_pdf: C
     return files.withColumn("e", extracted(kind, F.col("content"), most_mb, parse_pdf)).select("path", F.col("length").alias("size"), "e.text", "e.reason")
 
 
-REASONS = (("file_too_large_", "The file is too large"), ("pdf_too_big_for_memory_", "The PDF needs too much memory"), ("parse_failed", "The PDF could not be parsed"), ("unsupported_extension_", "This kind of file is not indexed"), ("empty_", "The file has no text"), ("pdf_", "The PDF is damaged or too complex"))
+REASONS = (("file_too_large_", "The file is too large"), ("pdf_too_big_for_memory_", "The PDF needs too much memory"), ("parse_failed", "The PDF could not be parsed"), ("unsupported_extension_", "This kind of file is not indexed"), ("empty_", "The file has no text"), ("docx_", "The document is empty or damaged"), ("odt_", "The document is empty or damaged"), ("rtf_", "The document is empty or damaged"), ("pdf_", "The PDF is damaged or too complex"))
 
 
 def humanized(reason: Column) -> Column:

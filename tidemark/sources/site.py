@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a scan below which its rows are dealt anew.
+#: Bytes of a scan below which its rows are dealt anew; the rows are the same either way.
 SMALL = 1 << 30
 
 
@@ -79,3 +79,50 @@ def search_events(spark: SparkSession, sf_dir: str, streaming: bool = False) ->
     e = (stream if streaming else read)(spark, sf_dir, "events")
     locale = F.element_at(F.array(*map(F.lit, ("de", "en", "fr", "es"))), (F.col("user_id") % 4).cast("int") + 1)
     return e.select(F.col("event_type").alias("q"), locale.alias("locale"), F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("results"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("ts") if streaming else "ts")
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page tree with what makes a page indexable and how it is shown."""
+    i = F.col("id")
+    return page_tree(spark, sf_dir).select(
+        "id", "pid", "title", "language", "type", F.when(F.col("protected"), "1").otherwise("").alias("protected"), "grp", F.col("url_suffix").alias("urlSuffix"),
+        F.when(i % 50 == 0, "index").otherwise(F.concat(F.lit("p"), i)).alias("alias"), F.when(i % 17 == 0, "").otherwise("1").alias("published"), F.when(i % 13 == 0, "noindex,follow").otherwise("index").alias("robots"),
+        F.when(i % 19 == 0, "1").otherwise("").alias("noSearch"), F.concat(F.lit("k"), i % 5, F.lit(", k"), i % 3).alias("keywords"), F.when(i % 2 == 0, F.concat(F.lit("About "), "title")).alias("description"),
+        F.when(i % 4 == 0, F.concat(F.lit("Page "), i)).alias("pageTitle"), (F.lit(1_600_000_000) + i).alias("tstamp"),
+    )
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as articles of their customers' pages."""
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        k.alias("id"), (F.col("o_custkey") + 1000).alias("pid"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("teaser"),
+        F.when(k % 9 == 0, "left").otherwise("main").alias("inColumn"), F.when(k % 8 == 0, "").otherwise("1").alias("published"),
+    )
+
+
+def picture(number) -> Column:
+    """The uuid of the file that a number stands for."""
+    return F.unhex(F.md5(F.concat(F.lit("picture"), number)))
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as content elements: some headlines are serialised, some show a file, some a list of two."""
+    n, p, text = F.col("l_linenumber"), F.col("l_partkey"), lambda s: F.lit(s).cast("binary")
+    headline = F.when(n % 3 == 0, F.concat(F.lit('a:2:{s:5:"value";s:6:"Line '), n, F.lit('";s:4:"unit";s:2:"h2";}'))).when(n % 3 == 1, F.concat(F.lit("<i>"), "l_returnflag", F.lit("</i>")))
+    several = F.concat(text('a:2:{i:0;s:16:"'), picture(p), text('";i:1;s:16:"'), picture(p + 1), text('";}'))
+    return read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_orderkey").alias("pid"), headline.alias("headline"), F.concat(F.lit("<p>"), "l_linestatus", F.lit(" "), "l_partkey", F.lit("</p>")).alias("text"),
+        F.when(F.col("l_suppkey") % 6 == 0, "1").otherwise("").alias("invisible"), n.cast("long").alias("sorting"), F.when(p % 10 == 0, picture(p)).alias("singleSRC"), F.when(p % 10 == 1, several).alias("multiSRC"),
+    )
+
+
+def slugged_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag_id, slug, label of the parts, a slug for each."""
+    return tags(spark, sf_dir).select("tag_id", F.concat(F.lit("part-"), "tag_id").alias("slug"), "label")
+
+
+def typed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag_id, target_type, target_id: to pages for odd orders, to files for even ones."""
+    a = tag_assignments(spark, sf_dir)
+    return a.select("tag_id", F.when(F.col("target_id") % 2 == 1, "page").otherwise("file").alias("target_type"), F.col("target_id").cast("string").alias("target_id"))

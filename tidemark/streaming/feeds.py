@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.site import valid_events
 from tidemark.operators.store import Store, routed
@@ -36,9 +37,11 @@ def follow(changes: DataFrame, store: Store, checkpoint: str):
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where driver and executors are one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,16 +54,34 @@ def scratch_store(spark: SparkSession) -> Store:
 def run_windowed(events: DataFrame, size: str = "1 day") -> DataFrame:
     """Drains a stream of events and returns its windowed analytics, all windows included.
 
-    Each micro-batch writes all groups under its own number, so one that runs again writes the same; the last one counts.
+    Each micro-batch writes the groups that changed under its own number, so one that runs again writes the same; of a group
+    the last batch counts. The state holds only windows that the watermark has not passed.
     """
     out, spark = f"{scratch(events.sparkSession)}/windows-{uuid.uuid4().hex}", events.sparkSession
     windows = windowed_analytics(events, size=size)
-    last = ["none"]
-    spark.createDataFrame([], windows.schema).write.parquet(f"{out}/none")
+    schema = windows.schema
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{n}")
-        last[0] = str(n)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(windows.schema).parquet(f"{out}/{last[0]}")
+    windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+    last = found.groupBy("day", "q", "locale").agg(F.max_by(F.struct("n", "zero", "results"), "batch").alias("last"))
+    return last.select("day", "q", "locale", "last.*")
+
+
+def record_events(events: DataFrame, folder: str) -> None:
+    """Appends search events (q, locale, results, ts) that are valid to a sink, a folder a day; nothing is read back."""
+    valid_events(events).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def heartbeat(query) -> dict:
+    """What a running stream says of itself: batch, rows so far in it, rows a second, whether it is at work."""
+    p = query.lastProgress
+    rate = (p or {}).get("processedRowsPerSecond") or 0.0
+    return {"batch": (p or {}).get("batchId", -1), "rows": (p or {}).get("numInputRows", 0), "rate": rate, "active": bool(query.isActive)}
