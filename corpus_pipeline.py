@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,25 +13,41 @@ from tidemark.llm import packing as best_fit
 from tidemark.llm.common import prepare, shared_dir, stored, table
 
 
+def _judged(docs: DataFrame, score: Callable[[DataFrame], DataFrame], kept: str) -> DataFrame:
+    """The rows of docs that `score` keeps, as they are: it sees their texts, and its own columns replace none of theirs."""
+    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return score(docs.select(columns.alias("__doc"), F.col("text").alias("__text"))).where(kept).select("__doc.*")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts have no bad line and are accepted. Rows are judged one by one, so rows that repeat an id or a text
+    and null ids stay or go each on its own; columns of any name stay as they are; an empty table stays empty. Where the
+    labels show one class only, or none, nothing can be told apart and all stay.
+    """
     prepare(spark)
     model = crf_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return crf_quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    if model.crf is None:
+        return docs
+    return _judged(docs, lambda df: crf_quality.score(df, model, text_col="__text"), "predicted = 1")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without toxic passages."""
+    """Documents without toxic passages.
+
+    Null and empty texts have none. Rows are judged one by one, as in the stage before; without toxic labels all stay.
+    """
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return _judged(docs, lambda df: toxicity.score(df, model, text_col="__text"), "predicted = 0")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, similarity of 0.8): the one with the smallest id.
 
     Ids may repeat or be null: a null id comes after all others, and of rows with the same id the first one read stays.
-    Texts without words all stay.
+    Null texts and those without words all stay; columns of any name stay as they are; an empty table stays empty.
     """
     prepare(spark)
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
@@ -38,18 +55,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = stored(groups.join(rows.select("__row", "doc_id"), "__row"), "groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
     gone = groups.select("__row").join(first.select("first.__row"), "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    return rows.join(gone, "__row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings of 50 or more that an earlier document has."""
+    """All documents, without the byte strings of 50 or more that an earlier document has.
+
+    A null text stays null. Rows that repeat an id are not earlier than each other, null ids come after all others; n_chars, if
+    there is one, is counted anew, other columns stay as they are; an empty table stays empty.
+    """
     prepare(spark)
     kept = suffix_array_dedup.kept_texts(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 4096 tokens."""
+    """The documents' pieces in sequences of 4096 tokens; null and empty texts are one piece of one token."""
     import public_tokenizers
 
     prepare(spark)
