@@ -1,7 +1,8 @@
 """Toxic passages as maximum-scoring segments.
 
-A token's score is its log-odds of toxic against clean documents under an informative Dirichlet prior, taken from the
-best-supported of the token and its prefixes, so unseen endings of a known stem count too; other tokens cost a little. A
+A token's score is its signed log-odds of toxic against clean documents under an informative Dirichlet prior: as it is for
+words and prefixes that speak clearly for toxic texts (a prefix stands for words not seen, whose ending is new), else shrunk by
+its standard error, less a drift; a token of which nothing is known has the drift alone. A
 linear scan (Ruzzo and Tompa) finds every maximal segment. Segments of clean texts follow an extreme-value law: one of
 score s in a text of n tokens is expected K * n * exp(-rate * s) times by chance. A document's segments are aggregated
 by the sum statistics of that law, whose surprise a logistic curve turns into a probability.
@@ -23,9 +24,12 @@ from .labelled import sample
 
 #: Bounds of the sample: documents of each class, and bytes of a text.
 TOXIC_ROWS, CLEAN_ROWS, TEXT_BYTES = 4000, 20000, 32768
-#: Prefixes that stand for a word, the least documents of a feature, its least z-score and log-odds.
-PREFIXES, LEAST_DOCS, LEAST_Z, LEAST_ODDS = (4, 5, 6, 7, 8), 3, 3.0, 2.0
-COST, TOP, SIGNIFICANT = -1.0, 6.0, 0.05
+#: Prefixes that stand for a word, the least documents of a feature (toxic ones, or clean ones for a word of clean texts only),
+#: the least z-score and log-odds of what speaks clearly for toxic texts.
+PREFIXES, LEAST_DOCS, LEAST_CLEAN, LEAST_Z, LEAST_ODDS = (4, 5, 6, 7, 8), 3, 20, 3.0, 2.0
+#: Drift of tokens that do not speak clearly, and what they fall by at least; bound of the log-odds, squared z-score at which
+#: log-odds count half, expectation of a significant passage.
+DRIFT, LEAST_FALL, TOP, HALF, SIGNIFICANT = -1.0, -0.2, 6.0, 1.0, 0.05
 CACHE = 200_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿–—"
 
@@ -89,7 +93,7 @@ class Scorer(dict):
 
     def __missing__(self, token: str) -> float:
         known = [w for f in features(token) if (w := self.weights.get(f))]
-        out = max(known)[1] if known else COST
+        out = max(known)[1] if known else DRIFT  # the best-supported: a word's own, unless a prefix says more
         if len(self) >= CACHE:
             self.clear()
         self[token] = out
@@ -202,23 +206,34 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     learnt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) != 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, rows = place.value, np.zeros(len(place.value), np.int64), 0
+        """In how many clean texts each feature is, by its place, and each other word, by itself; their number at -1."""
+        at, n, rows, others = place.value, np.zeros(len(place.value), np.int64), 0, Counter()
         for batch in batches:
             for text in batch.column(0):
                 rows += 1
-                for i in {at[f] for f in document_features(text.as_py()) if f in at}:
+                found = document_features(text.as_py())
+                for i in {at[f] for f in found if f in at}:
                     n[i] += 1
+                others.update(f for f in found if f.endswith("\0") and f not in at)
         here = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(np.r_[here, -1]), pa.array(np.r_[n[here], rows])], names=["i", "n"])
+        words = list(others)
+        yield pa.record_batch([pa.array([*here.tolist(), -1, *[None] * len(words)], pa.int64()), pa.array([None] * (len(here) + 1) + words, pa.string()), pa.array([*n[here].tolist(), rows, *(others[w] for w in words)], pa.int64())], names=["i", "f", "n"])
 
-    counted = {r.i: r.n for r in clean.where(learnt).select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    counts = clean.where(learnt).select("text").mapInArrow(count, "i long, f string, n long").groupBy("i", "f").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("i").isNotNull() | (F.col("n") >= LEAST_CLEAN)).collect()  # bounded by the sample's words
+    counted = {r.i: r.n for r in found if r.i is not None}
+    only_clean = {r.f: r.n for r in found if r.i is None}
     n_clean = max(1, counted.pop(-1, 0))
-    a = np.array([toxic[f] for f in names], float)
-    b = np.array([counted.get(i, 0) for i in range(len(names))], float)
+    names += sorted(only_clean)
+    a = np.array([toxic.get(f, 0) for f in names], float)
+    b = np.array([counted.get(i, 0) if f not in only_clean else only_clean[f] for i, f in enumerate(names)], float)
     odds, z = log_odds(a, b, len(learn), n_clean)
-    keep = np.flatnonzero((z >= LEAST_Z) & (odds >= LEAST_ODDS))
-    kept = productive([names[i] for i in keep], learn)
-    model = Model({names[i]: (float(z[i]), float(min(odds[i], TOP))) for i in keep if names[i] in kept})
+    odds = np.clip(odds, -TOP, TOP)
+    clear = np.flatnonzero((z >= LEAST_Z) & (odds >= LEAST_ODDS))
+    kept = productive([names[i] for i in clear], learn)
+    # what doesn't speak clearly is shrunk by its standard error and drifts down, clean-leaning words more than others
+    own = np.minimum(DRIFT + odds * z**2 / (z**2 + HALF), LEAST_FALL)
+    model = Model({f: (float(z[i]), float(odds[i] if f in kept else own[i])) for i, f in enumerate(names) if f in kept or f.endswith("\0")})
     known = spark.sparkContext.broadcast(model.weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     # the law of chance: from clean texts that did not help to find the features
     seen = clean.where(~learnt).select("text").mapInArrow(measure, "n long, scores array<double>").toPandas()
     scores = np.array([x for row in seen.scores for x in row], float)
-    model.rate, model.k = chance_law(scores, float(seen.n.sum()), min((w for _, w in model.weights.values()), default=LEAST_ODDS))
+    model.rate, model.k = chance_law(scores, float(seen.n.sum()), LEAST_ODDS)
     scorer = Scorer(model.weights)
     ones = np.array([model.judge(t, scorer)[:2] for t in rest]).reshape(-1, 2)
     zeros = []
