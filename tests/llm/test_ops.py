@@ -94,6 +94,19 @@ def test_shards_merge_and_prefix_groups_split():
         assert suffix_tree_dedup.earliest(pa.array(spaced, pa.large_binary()), windows, ids, most=most).tolist() == expected
 
 
+def test_prefix_groups_hold_every_suffix_with_its_equals():
+    rng = np.random.default_rng(4)
+    token = np.r_[rng.integers(0, 3, 3000), np.zeros(400, np.int64)]
+    at = rng.integers(0, 3300, 5000)
+    for most in (10, 300, 1 << 20):
+        groups = suffix_tree_dedup.prefix_groups(token, at, 12, most)
+        assert sorted(np.concatenate([g for g, _ in groups]).tolist()) == list(range(5000))
+        of = {}
+        for i, (g, length) in enumerate(groups):
+            assert len({tuple(token[at[p] : at[p] + length]) for p in g}) == 1 and (len(g) <= most or length == 12)
+            assert all(of.setdefault(tuple(token[at[p] : at[p] + 12]), i) == i for p in g)
+
+
 def test_suffix_tree_nodes():
     assert set(suffix_tree_dedup.internal_nodes(np.array([0, 3, 5, 1, 5]), 3)) == {(5, 1, 3), (3, 0, 3), (5, 3, 5)}
 
@@ -379,8 +392,37 @@ def test_index_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     code = rng.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
     code[1] = code[0] ^ np.array([1, 3, 0, 0], np.uint16)
-    for radius in (0, 3, 5, 24, 64):
-        assert (hashing_search.Index(code).within(code[:9], np.full(9, radius)) == (hashing_search.distances(code[:9], code) <= radius)).all()
+    near = [code[i] ^ rng.choice([0, 1, 16, 4096, 4097], 4).astype(np.uint16) for i in range(300)]
+    code = np.concatenate([code, near])
+    far = hashing_search.distances(code[:9], code)
+    for bits in (0, 1, 2, 3):
+        flips = hashing_search.probes(bits)
+        got = hashing_search.Index(code).retrieve(code[:9], flips)
+        least = np.bitwise_count(code[:9][:, None] ^ code[None]).min(axis=2)
+        assert (got == (least <= bits)).all()  # exactly the codes with a substring that near
+        assert got[far <= 4 * (bits + 1) - 1].all()  # and so all within the pigeonhole radius
+        for radius in (0, 5, 20):
+            q, x = hashing_search.Index(code).near(code[:9], flips, radius)
+            assert set(zip(q.tolist(), x.tolist(), strict=True)) == set(zip(*(a.tolist() for a in np.nonzero(got & (far <= radius))), strict=True))
+
+
+def test_search_finds_all_where_few_are_near_and_splits_wide_blocks(spark, monkeypatch):
+    from tidemark.llm import vectors as V
+
+    rows, df = vectors(spark)
+    monkeypatch.setattr(hashing_search, "fit_radii", lambda *_: (0, 0))  # nothing but equal codes is found at first
+    monkeypatch.setattr(V, "BLOCK_BYTES", 3000)
+    assert grouped(hashing_search.nearest(df, F.col("id") % 20 == 0, 20)).keys() == brute(rows, 20, float, False).keys()
+    got = grouped(hashing_search.nearest(df, F.col("id") % 20 == 0, 20))
+    for q, found in brute(rows, 20, float, False).items():
+        assert [i for i, _ in got[q]] == [i for i, _ in found] and np.allclose([s for _, s in got[q]], [s for _, s in found])
+
+
+def test_repeated_ids_are_candidates_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert grouped(hashing_search.nearest(df, F.col("id") % 20 == 0, 20)) == {20: [(1, 2.0), (1, 2.0), (1, 1.0), (2, 0.5)]}
+    assert grouped(segment_search.exact_top_k(df, F.col("id") % 20 == 0, 3)) == {20: [(1, 8192), (1, 8192), (1, 4096)]}
 
 
 def test_maximal_segments():
@@ -521,3 +563,29 @@ def test_sample_is_bounded_and_settles_conflicts(spark):
     kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 3]
     assert got == {i: ("" if i == 2 else "b text" if i == 1 else f"text {i}", i % 2) for i in kept}
     assert L.sample(docs, labels, "y", {0: 3, 1: 2}, 100).count() == 5
+
+
+def test_segments_have_the_bounds_of_brute_force():
+    """Maximal segments: every proper part scores less, and no longer such segment holds them (Ruzzo and Tompa)."""
+    for seed in range(60):
+        s = np.random.default_rng(seed).choice([-3.0, -2.0, -1.0, 1.0, 2.0, 3.5], 24)
+        total = np.r_[0.0, np.cumsum(s)]
+
+        def good(i, j, total=total):
+            """All proper prefixes and suffixes of i..j have a sum above zero."""
+            return all(total[k] > total[i] and total[j] > total[k] for k in range(i + 1, j)) and total[j] > total[i]
+
+        found = [(i, j) for i in range(24) for j in range(i + 1, 25) if good(i, j)]
+        expected = sorted((i, j) for i, j in found if not any((a, b) != (i, j) and a <= i and j <= b for a, b in found))
+        got = toxicity.maximal_segments(s)
+        assert sorted((a, b) for a, b, _ in got) == expected
+        assert all(abs(x - (total[b] - total[a])) < 1e-9 for a, b, x in got)
+
+
+def test_tokens_have_signed_scores(spark):
+    docs, labels, _ = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    words = {f: w for f, (_, w) in model.weights.items() if f.endswith("\0")}
+    assert any(w > 0 for f, w in words.items() if f.startswith("grumblish")) and min(words.values()) < toxicity.DRIFT < max(w for w in words.values() if w < 0)
+    scorer = toxicity.Scorer(model.weights)
+    assert scorer["grumblishz"] > 0 and scorer["neverseen"] == toxicity.DRIFT

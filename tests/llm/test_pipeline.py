@@ -77,3 +77,63 @@ def test_near_duplicates_by_row(spark):
     assert {(1, a, "kept"), (2, b, "kept")} <= set(kept)
     again = docs.where("lang = 'null'").union(spark.createDataFrame([(7, d, "seven")], docs.schema))
     assert [r.lang for r in corpus_pipeline.near_duplicates(spark, again, "").collect()] == ["seven"]
+
+
+def test_stages_keep_columns_nulls_and_repeats(spark, folder):
+    columns = "doc_id long, text string, score double, predicted int, n_passages string, `odd.name` string, rest string"
+    clean = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IN (1, 2, 3)").collect()
+    rows = [(r.doc_id, r.text, 42.0, 7, "own", "odd", "rest") for r in clean]
+    rows += [rows[0], (None, rows[1][1], None, None, None, None, None), (None, None, 1.0, 1, "", "", ""), (9, "", 0.0, 0, "x", "x", "x"), (9, None, 0.0, 0, "x", "x", "x")]
+    docs = spark.createDataFrame(rows, columns).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: tuple(map(repr, r))
+    for name in ("quality", "toxicity"):
+        train = spark.read.parquet(f"{folder}/documents.parquet")
+        everything = docs.unionByName(train.select("doc_id", "text").where("doc_id > 9"), allowMissingColumns=True)
+        out = stages[name](spark, everything, folder)
+        assert out.columns == docs.columns
+        assert sorted(map(key, out.where("doc_id IS NULL OR doc_id < 10").where("doc_id IS NULL OR doc_id IN (1, 2, 3, 9)").collect())) == sorted(map(key, rows))
+    near = stages["near duplicates"](spark, docs, folder)
+    assert near.columns == docs.columns and sorted(repr(r.doc_id) for r in near.collect()) == sorted(map(repr, [1, 2, 3, None, 9, 9]))
+    kept = stages["repeated strings"](spark, docs, folder)
+    assert kept.columns == docs.columns and kept.count() == len(rows) and kept.where("text IS NULL").count() == 2
+    assert kept.where("doc_id IS NULL AND text IS NOT NULL").first().text == ""  # an earlier one has it all
+    assert kept.where("predicted = 7 AND score = 42.0 AND rest = 'rest'").count() == 4
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_pipeline_against_brute_force(spark, folder):
+    """Near duplicates, repeated strings and packing of what the classifiers kept, by plain loops over all rows."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, folder)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    grams = {i: {tuple(t.lower().split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and root[i] != root[j] and 10 * len(grams[i] & grams[j]) >= 8 * len(grams[i] | grams[j]):
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: b if r == a else r for k, r in root.items()}
+    left = {i: t.encode() for i, t in texts.items() if root[i] == i}
+    first, cut = {}, {}
+    for i in sorted(left):
+        for p in range(len(left[i]) - 49):
+            first.setdefault(left[i][p : p + 50], i)
+    for i, t in left.items():
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        cut[i] = bytes(b for b, g in zip(t, gone, strict=True) if not g).decode()
+    import numpy as np
+    import public_tokenizers
+    import zlib
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = {(i, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in cut.items() for ids in [[*tokenizer.encode(t, add_special_tokens=False).ids, 1]]}
+    assert all(n <= 4096 for _, _, n, _ in expected)
+    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()} == expected

@@ -10,7 +10,8 @@ windows pick equal ones; neighbouring windows with one pick form a piece. Texts
 3. each chunk marks its tokens and makes its rows.
 
 All of it is one plan over one exchange of the texts, which Spark reuses. Equal pieces are merged before they are sent, so
-neither copies nor common passages make a bucket grow with their number; nothing is capped, and every answer is exact.
+neither copies nor common passages make a bucket grow with their number; nothing is capped, every answer is exact, and the
+solver decides every window of every piece, however it was dealt.
 """
 
 from __future__ import annotations
@@ -281,13 +282,7 @@ def answers(t: pa.Table, solver: Solver) -> pa.Table:
     np.minimum.at(smallest_id, code, least)
     n = windows[first].astype(np.int64)
     place = np.r_[0, np.cumsum(n)]
-    have = np.repeat(smallest_id, n)
-    # pieces whose pick has one content only meet nothing else
-    _, group, number = np.unique(route[first], return_inverse=True, return_counts=True)
-    many = np.flatnonzero(number[group] > 1)
-    if len(many):
-        inner = np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-        have[np.repeat(place[many], n[many]) + inner] = solver(content.take(pa.array(many)), n[many], smallest_id[many])
+    have = solver(content, n, smallest_id)
     size = windows.astype(np.int64)
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     hit = have[np.repeat(place[code], size) + inner] < np.repeat(least, size)

@@ -173,12 +173,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
 
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed bytes gone from text_col; characters that lost some of their bytes go whole. All rows stay."""
+    """docs with the removed bytes gone from text_col; characters that lost some of their bytes go whole. All rows stay,
+    null texts as nulls."""
     rest = [c for c in docs.columns if c != text_col]
     out_schema = StructType([StructField("rest", nullable(docs.select(*(f"`{c}`" for c in rest)).schema)), StructField("text", StringType())])
 
     def finish(t: pa.Table, unit: Unit, gone: np.ndarray) -> pa.Table:
-        kept = [unit.buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(unit.at[:-1], unit.at[1:], strict=True)]
+        known = t.column("__text").is_valid().to_pylist()
+        kept = [unit.buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if k else None for a, b, k in zip(unit.at[:-1], unit.at[1:], known, strict=True)]
         return pa.table({"rest": t.column("__rest"), "text": pa.array(kept, pa.string())})
 
     out = mark(docs, Bytes, earliest, finish, out_schema, id_col, text_col, rest)

@@ -1,6 +1,6 @@
 """Removal of word windows that an earlier document has, by prefix-partitioned suffix trees.
 
-Within a bucket of repeats.py, suffixes are split by prefixes of growing length until each group fits its bound. Each
+Within a bucket of repeats.py, suffixes are split by prefixes of varying length into groups that fit a bound. Each
 group's subtree is made as ERA does: suffixes are sorted by reading a few more words at a time for those not yet told
 apart, which gives their order and the depths at which neighbours branch. Subtrees end at depth 50, a window's length, so
 an internal node that deep is a run of leaves alike, and the smallest id below it is the earliest document of its window.
@@ -18,11 +18,15 @@ from .common import table, words
 from .repeats import Unit, Words, mark
 
 #: Suffixes of a group, and the words read at a time.
-GROUP_SUFFIXES, RANGE = 1 << 16, 8
+GROUP_SUFFIXES, RANGE = 1 << 13, 8
 
 
 def prefix_groups(token: np.ndarray, at: np.ndarray, depth: int, most: int = GROUP_SUFFIXES) -> list[tuple[np.ndarray, int]]:
-    """(places in `at`, length of their common prefix): groups of at most `most` suffixes unless alike up to depth."""
+    """(places in `at`, length of their common prefix): groups of at most `most` suffixes unless alike up to depth.
+
+    A prefix that more suffixes have is made longer by a word; those that fewer have share a group with their neighbours
+    in order, so that no group is much smaller than it may be. Equal suffixes are always in one group.
+    """
     out, waiting = [], [(np.arange(len(at)), 0)]
     while waiting:
         group, length = waiting.pop()
@@ -31,8 +35,20 @@ def prefix_groups(token: np.ndarray, at: np.ndarray, depth: int, most: int = GRO
             continue
         word = token[at[group] + length]
         order = np.argsort(word, kind="stable")
-        cut = np.flatnonzero(np.diff(word[order])) + 1
-        waiting += [(part, length + 1) for part in np.split(group[order], cut)]
+        cut = np.r_[0, np.flatnonzero(np.diff(word[order])) + 1, len(order)]
+        size = np.diff(cut)
+        first = 0
+        for i, n in enumerate(size):
+            if n > most:
+                if cut[i] > cut[first]:
+                    out.append((group[order[cut[first] : cut[i]]], length))
+                waiting.append((group[order[cut[i] : cut[i + 1]]], length + 1))
+                first = i + 1
+            elif cut[i + 1] - cut[first] > most:
+                out.append((group[order[cut[first] : cut[i]]], length))
+                first = i
+        if cut[-1] > cut[first]:
+            out.append((group[order[cut[first] :]], length))
     return out
 
 
