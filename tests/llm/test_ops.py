@@ -181,6 +181,24 @@ def test_links_between_blocks(spark, make):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    """Revision chains, a hub and unrelated texts with common passages, dealt to blocks of a few sets, by brute force."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    chain, common, hub = [word() for _ in range(260)], [word() for _ in range(12)], [word() for _ in range(60)]
+    texts = [chain[2 * i : 2 * i + 60] for i in range(100)]
+    for i in range(60):
+        w = list(hub)
+        for at in rng.sample(range(60), 1 if i % 3 else 2):
+            w[at] = word()
+        texts.append(w)
+    texts += [[word() for _ in range(20)] + common + [word() for _ in range(rng.randint(0, 20))] for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = collections.Counter(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == linked(rows) and len({c for _, _, c in got}) < 200
+
+
 def keys_of(sets, least):
     """The prefix keys of each set, with ranks as counted over all of them."""
     count = collections.Counter(x for s in sets for x in s.tolist())

@@ -7,7 +7,7 @@ with such a shingle and a size class in common are connected, and each connected
 bitmaps, leaves of a tree whose nodes hold OR-ed bitmaps and ranges of sizes, are compared by a dual traversal that skips pairs of nodes whose largest possible
 overlap is too small (or whose sets are all connected already); pairs of leaves are compared exactly. A group beyond a
 bound is dealt to blocks; representatives of the blocks' components are joined first, and what is still apart after that
-is compared block by block.
+is compared block by block, for blocks that have a rare shingle in common.
 """
 
 from __future__ import annotations
@@ -235,8 +235,11 @@ def _sizes(sets: DataFrame) -> DataFrame:
     return sets.join(dealt.select("node", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block")), "node")
 
 
-def links(sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """a, b: edges that connect the linked sets (node, group, shingles) of each group, and no others."""
+def links(sets: DataFrame, least: int = LEAST, keys: DataFrame | None = None) -> DataFrame:
+    """a, b: edges that connect the linked sets (node, group, shingles) of each group, and no others.
+
+    keys (key, node): linked sets have one in common, so blocks of a group without a common key need not meet.
+    """
 
     def inside(t: pa.Table) -> pa.Table:
         sets_, node = decode(t.column("shingles")), t.column("node").to_numpy()
@@ -258,13 +261,14 @@ def links(sets: DataFrame, least: int = LEAST) -> DataFrame:
         if not n or n == before or n * 2 > before:  # the last ones fit into a block, or few were connected: go on with whole blocks
             break
         level = stored(fewer, "heads")
-    return _across(sets, edges, least)
+    return _across(sets, edges, least, keys)
 
 
-def _across(sets: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+def _across(sets: DataFrame, edges: DataFrame, least: int, keys: DataFrame | None) -> DataFrame:
     """The edges with those between the blocks of groups that are not one component yet.
 
-    Sets outside a group's largest component meet all blocks of it, in blocks of their own.
+    Sets outside a group's largest component meet the blocks of it in which some set has a key of theirs, in blocks of
+    their own: a group may be large because rare shingles chain it together, but few of its blocks then share one.
     """
     edges = stored(edges.where("a <> b"), "edges")
     known = components(edges)
@@ -276,8 +280,16 @@ def _across(sets: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     rest = by_label.join(main.where("labels > 1").select("group", "main"), "group").where("label <> main").groupBy("group").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("others"))
     plan = main.where("labels > 1").select("group", "main").join(rest, "group")
     todo = open_.join(_by_group(open_.select("node", "group"), plan).where("main IS NOT NULL").drop("group"), "node")
-    left = todo.select("node", "group", "shingles", "label", "block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"))
-    right = todo.where("label <> main").select("node", "group", "shingles", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("others")).cast("int").alias("other"), F.lit(1).alias("side"))
+    todo = stored(todo, "todo")
+    apart = todo.where("label <> main").withColumn("other", F.pmod(F.xxhash64("node", F.lit(5)), F.col("others")).cast("int"))
+    if keys is None:
+        right = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        places = keys.join(todo.select("node", "group", "block"), "node").select("key", "group", "block").distinct()
+        wanted = keys.join(apart.select("node", "group"), "node").join(places, ["key", "group"]).select("node", "block").distinct()
+        right = apart.drop("block").join(wanted, "node")
+    right = stored(right.select("node", "group", "shingles", "label", "block", "other", F.lit(1).alias("side")), "right")
+    left = todo.select("node", "group", "shingles", "label", "block").join(right.select("group", "block", "other").distinct(), ["group", "block"]).select("node", "group", "shingles", "label", "block", "other", F.lit(0).alias("side"))
     pairs = left.unionByName(right)
 
     def between(t: pa.Table) -> pa.Table:
@@ -392,7 +404,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, size: int = SHINGLE, id
     heads = keys.groupBy("key").agg(F.min("node").alias("near"), F.max("node").alias("last")).where("near <> last").select("key", "near")
     group = components(keys.join(heads, "key").where("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b")))
     sets = stored(found.where("shingles IS NOT NULL").select("node", "shingles").join(group.withColumnRenamed("root", "group"), "node"), "sets")
-    linked = components(links(sets, least))
+    linked = components(links(sets, least, keys))
     # sets to components, then components to their smallest ids
     of = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least_id = of.groupBy("root").agg(F.min("id").alias("component_id"))
