@@ -319,7 +319,8 @@ def mark(docs: DataFrame, kind: type[Unit], solver: Solver, finish: Callable, ou
     size = chunk_bytes or min(MOST_CHUNK, max(LEAST_CHUNK, total // CHUNKS))
     n_chunks = max(1, -(-total // size))
     n_buckets = min(n_chunks, 64 + n_chunks // 4)
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(n_chunks)).cast("int"))
+    # rows that repeat an id and a text would fill one chunk: their place in the scan deals them too
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("__id", F.octet_length("__text"), F.monotonically_increasing_id()), F.lit(n_chunks)).cast("int"))
 
     def in_order(t: pa.Table) -> pa.Table:
         """Rows of a shuffle come in any order; each step must see the same one."""
