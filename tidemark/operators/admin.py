@@ -52,6 +52,20 @@ def index_config(locale: str, strictness: str = "balanced", synonyms: dict[str,
     return IndexConfig(locale, strictness, ATTRIBUTES, tuple(sorted(FILTERABLE)), tuple(sorted(SORTABLE)), RULES, *TYPO_LENGTHS[strictness], strictness != "strict", words)
 
 
+def error_names(code: Column) -> Column:
+    """The names of failed requests by their codes; unknown ones are 500's."""
+    out = F.lit(ERRORS[500])
+    for k, v in ERRORS.items():
+        out = F.when(code == k, v).otherwise(out)
+    return out
+
+
+def module_locales(explicit: Column, page: Column, default: str = "de") -> Column:
+    """module_locale() on columns."""
+    some = lambda c: F.nullif(F.substring(F.lower(F.coalesce(c, F.lit(""))), 1, 2), F.lit(""))
+    return F.coalesce(some(explicit), some(page), F.lit(default[:2].lower()))
+
+
 def module_locale(explicit: str | None, page: str | None, default: str = "de") -> str:
     """The first of them that is set, cut to two letters."""
     return next((v[:2].lower() for v in (explicit, page, default) if v), "de")
@@ -99,12 +113,14 @@ def tag_details(tags: DataFrame, assignments: DataFrame, crumbs: DataFrame) -> D
 
 
 def decorate(tree: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Rows of a tree (id, pid, type, title) with label, has_children, assigned and locked (roots and assigned pages)."""
+    """Rows of a tree (id, pid, type, title, and alias if there is one) with label, has_children, assigned and locked (roots and
+    assigned pages). A row without a title is shown by its alias, one without either by its id."""
     parents = tree.where("pid <> 0").select(F.col("pid").alias("id")).distinct().withColumn("has_children", F.lit(True))
     chosen = assigned.select("id").distinct().withColumn("assigned", F.lit(True))
     out = tree.join(parents, "id", "left").join(chosen, "id", "left")
     no = F.lit(False)
-    return out.select("id", "pid", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("#"), "id")).alias("label"), F.coalesce("has_children", no).alias("has_children"), F.coalesce("assigned", no).alias("assigned"), ((F.col("type") == "root") | F.coalesce("assigned", no)).alias("locked"))
+    alias = F.concat(F.lit("/"), F.nullif("alias", F.lit(""))) if "alias" in tree.columns else F.lit(None).cast("string")
+    return out.select("id", "pid", F.coalesce(F.nullif("title", F.lit("")), alias, F.concat(F.lit("#"), "id")).alias("label"), F.coalesce("has_children", no).alias("has_children"), F.coalesce("assigned", no).alias("assigned"), ((F.col("type") == "root") | F.coalesce("assigned", no)).alias("locked"))
 
 
 def resume(items: DataFrame, done: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import doc_id, extension, headline_text, humanize_filename, normalize, page_url
 
-from .site import closure, dominant, page_locales, page_permissions, url_suffixes
+from .site import EXTENSIONS, closure, dominant, page_locales, page_permissions, url_suffixes
 
 #: The page types that are indexed.
 PAGE_TYPES = ("regular", "forward", "redirect")
@@ -25,6 +25,16 @@ def indexable_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("type").isin(*PAGE_TYPES) & (F.col("published") == "1") & ~robots.contains("noindex") & ~hidden)
 
 
+def crawled_pages(pages: DataFrame) -> DataFrame:
+    """Pages that a crawl queues: published and of the indexed types, whatever robots are told."""
+    return pages.where(F.col("type").isin(*PAGE_TYPES) & (F.col("published") == "1"))
+
+
+def crawled_files(files: DataFrame) -> DataFrame:
+    """Files that a crawl queues: all rows of the kinds that are indexed, repeated paths too."""
+    return files.where(extension(F.col("path")).isin(*EXTENSIONS))
+
+
 def page_texts(articles: DataFrame, elements: DataFrame) -> DataFrame:
     """page_id, body: texts of the published articles of the main column and their visible elements, in order."""
     shown = articles.where("published = '1' AND coalesce(inColumn, 'main') = 'main'").select(F.col("id").alias("article"), F.col("pid").alias("page_id"), "title", "teaser")

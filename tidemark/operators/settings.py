@@ -87,6 +87,54 @@ def resolve_hit_tags(hits: DataFrame, tags: DataFrame) -> DataFrame:
     return first.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "slug", "label"))), lambda x: F.struct(x["slug"].alias("slug"), x["label"].alias("label"))).alias("tags"))
 
 
+def csv_column(text):
+    """csv() on a column."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def lines_column(text):
+    """lines() on a column."""
+    every = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), lambda x: F.trim(x))
+    return F.filter(every, lambda x: (x != "") & ~x.startswith("#"))
+
+
+def overrides_column(text, enabled: list[str]):
+    """overrides() on a column: a map of paths to enabled locales; what is no JSON object gives none."""
+    found = F.from_json(text, "map<string,string>")
+    lowered = F.transform_values(found, lambda k, v: F.lower(v))
+    return F.coalesce(F.map_filter(lowered, lambda k, v: v.isin(enabled)), F.create_map().cast("map<string,string>"))
+
+
+def globs_column(path):
+    """folder_globs() on a column."""
+    bare = F.btrim(path, F.lit("/"))
+    return F.array(bare, F.concat(bare, F.lit("/**")))
+
+
+def settings_table(rows: DataFrame) -> DataFrame:
+    """Settings of many sites (id, locales, mode, strictness, excluded): what is missing or unknown has its default."""
+    locales, excluded = csv_column(F.col("locales")), lines_column(F.col("excluded"))
+    return rows.select(
+        "id", F.when(F.size(locales) > 0, locales).otherwise(F.array(F.lit("de"))).alias("locales"), F.when(F.col("mode").isin(*MODES), F.col("mode")).otherwise("public_only").alias("mode"),
+        F.when(F.col("strictness").isin("strict", "balanced", "tolerant"), F.col("strictness")).otherwise("balanced").alias("strictness"), F.when(F.size(excluded) > 0, excluded).otherwise(F.array(*map(F.lit, DEFAULT_EXCLUDED))).alias("excluded"),
+    )
+
+
+def point(rows: DataFrame, key: str, name: str):
+    """One setting of one site, or None."""
+    found = rows.where(F.col("id") == key).select(name).first()
+    return found[0] if found else None
+
+
+def eta_column(done, total, seconds):
+    """Pace and time left, as a run shows them; empty before half a second, the first item, or at a crawl."""
+    pace = done / seconds
+    left = F.ceil(F.greatest(total - done, F.lit(0)) / pace).cast("int")
+    shown = F.when(left < 60, F.format_string("%.1f/s · ETA %ds", pace, left)).when(left < 3600, F.format_string("%.1f/s · ETA %dm %ds", pace, F.floor(left / 60).cast("int"), left % 60))
+    shown = shown.otherwise(F.format_string("%.1f/s · ETA %dh %dm", pace, F.floor(left / 3600).cast("int"), F.floor(left % 3600 / 60).cast("int")))
+    return F.when((seconds < 0.5) | (done <= 0) | (pace < 0.01), "").otherwise(shown)
+
+
 def eta(done: int, total: int, seconds: float) -> str:
     """Time left at the pace so far."""
     if done <= 0 or total <= done:

@@ -542,3 +542,126 @@ def request_locales(spark, d):
     said = F.element_at(F.array(*map(F.lit, ("DE!", "e-n", "", "fr1"))), (F.col("user_id") % 4).cast("int") + 1)
     clean = C.locale_column(said)
     return src.read(spark, d, "events").select("user_id").distinct().select("user_id", F.regexp_replace(said, "[^a-z]", "").alias("raw"), clean.alias("locale"))
+
+
+# --- scans of a crawl, settings, and small functions on columns
+
+
+@query(f"WITH RECURSIVE {_PAGES} SELECT id FROM sp WHERE type = 'regular' AND published")
+def crawl_pages(spark, d):
+    return P.crawled_pages(src.site_pages(spark, d)).select("id")
+
+
+@query(f"WITH {O.FILES} SELECT id, path FROM files WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('pdf','txt','md','docx','odt','rtf')")
+def crawl_files(spark, d):
+    return P.crawled_files(src.files(spark, d)).select("id", "path")
+
+
+@query(f"WITH RECURSIVE {_PAGES} SELECT id, CASE WHEN id % 3 = 0 THEN title WHEN id % 3 = 1 THEN '/' || alias ELSE '#' || id END AS label FROM sp")
+def tree_labels(spark, d):
+    """Labels of a tree whose rows lack titles or aliases."""
+    tree = src.site_pages(spark, d).withColumns({"title": F.when(F.col("id") % 3 == 0, F.col("title")), "alias": F.when(F.col("id") % 3 < 2, F.col("alias")).otherwise("")})
+    return A.decorate(tree, tree.select("id").limit(0)).select("id", "label")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'de' ELSE 'en|fr' END AS locales, CASE WHEN p_partkey % 4 = 1 THEN 'whitelist' ELSE 'public_only' END AS mode, CASE WHEN p_partkey % 2 = 0 THEN 'strict' ELSE 'balanced' END AS strictness, CASE WHEN p_partkey % 5 = 0 THEN 'files/intern/**|files/admin/**|files/private/**' ELSE p_brand END AS excluded FROM part")
+def settings_loaded(spark, d):
+    """Settings with defaults for what is missing or unknown."""
+    k = F.col("p_partkey")
+    rows = src.read(spark, d, "part").select(k.alias("id"), F.when(k % 3 != 0, " en, ,fr").alias("locales"), F.when(k % 4 == 1, "whitelist").otherwise("odd").alias("mode"), F.when(k % 2 == 0, "strict").alias("strictness"), F.when(k % 5 == 0, "# none\n").otherwise(F.concat(F.lit("# one\r\n "), "p_brand", F.lit(" \n"))).alias("excluded"))
+    return C.settings_table(rows).select("id", F.array_join("locales", "|").alias("locales"), "mode", "strictness", F.array_join("excluded", "|").alias("excluded"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'a=de' END AS overrides, p_name || '|' || p_name || '/**' AS globs FROM part")
+def overrides_and_globs(spark, d):
+    """Overrides read from JSON, broken ones too, and folders as globs."""
+    text = F.when(F.col("p_partkey") % 3 == 0, '["no object"').otherwise('{"a": "DE", "b": "xx"}')
+    shown = F.transform(F.map_entries(C.overrides_column(text, ENABLED)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return src.read(spark, d, "part").select("p_partkey", F.array_join(shown, ",").alias("overrides"), F.array_join(C.globs_column(F.concat(F.lit("/"), "p_name", F.lit("/"))), "|").alias("globs"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey = 0 THEN '' WHEN l < 60 THEN printf('%.1f/s · ETA %ds', p, l) WHEN l < 3600 THEN printf('%.1f/s · ETA %dm %ds', p, l // 60, l % 60) ELSE printf('%.1f/s · ETA %dh %dm', p, l // 3600, l % 3600 // 60) END AS eta
+ FROM (SELECT o_orderkey, o_custkey, o_custkey / 7.0::DOUBLE AS p, CASE WHEN o_custkey > 0 THEN CAST(ceil(greatest(o_orderkey - o_custkey, 0) / (o_custkey / 7.0::DOUBLE)) AS INTEGER) END AS l FROM orders)""")
+def eta_shown(spark, d):
+    return src.read(spark, d, "orders").select("o_orderkey", C.eta_column(F.col("o_custkey"), F.col("o_orderkey"), F.lit(7.0)).alias("eta"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unauthorized' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'search_failed' ELSE 'search_failed' END AS error, CASE doc_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN lang ELSE 'de' END AS locale FROM documents")
+def errors_and_module_locales(spark, d):
+    i = F.col("doc_id") % 4
+    code = F.element_at(F.array(*map(F.lit, (401, 429, 500, 777))), i.cast("int") + 1)
+    return src.read(spark, d, "documents").select("doc_id", A.error_names(code).alias("error"), A.module_locales(F.when(i == 0, "EN_us").otherwise(""), F.when(i == 1, F.col("lang"))).alias("locale"))
+
+
+@query(f"SELECT page_id, replace(replace(replace(replace(replace(u, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') AS shown, regexp_replace(u, 'https?', '<mark>\\0</mark>', 'g') AS marked FROM (SELECT page_id, url || '?a=1&b=<c>' AS u FROM pages)".replace("SELECT page_id, replace", "SELECT page_id, replace", 1))
+def unmarked_urls(spark, d):
+    """Marked texts made safe for display, their marks kept."""
+    url = F.concat("url", F.lit("?a=1&b=<c>"))
+    return src.read(spark, d, "pages").select("page_id", T.unmark(url).alias("shown"), F.regexp_replace(url, "https?", "<mark>$0</mark>").alias("marked"))
+
+
+@query("SELECT page_id, 'x  y' AS plain, 'file ' || page_id || ' ä+b.pdf' AS file FROM pages".replace("'x  y'", "'x y'"))
+def plain_and_file_names(spark, d):
+    """Serialised blocks leave texts; files are shown by the last part of their URL."""
+    i = F.col("page_id")
+    text = F.concat(F.lit('x a:2:{s:5:"value";s:1:"'), i, F.lit('";s:4:"unit";a:1:{i:0;i:1;}} y'))
+    url = F.concat(F.lit("/files/a%20b/file%20"), i, F.lit("%20%C3%A4+b.pdf"))
+    return src.read(spark, d, "pages").select("page_id", T.normalize(text).alias("plain"), T.pretty_url(url, F.lit("file")).alias("file"))
+
+
+@query(f"WITH {O.DOCS} SELECT id, CASE WHEN {_GOOD} THEN 'extra ' || id END AS extra FROM docs")
+def additive_schema(spark, d):
+    """A store whose documents got a column later: older rows have none."""
+    store = _store(spark, d)
+    store.upsert(_labelled(spark, d, "quality = 1").drop("doc_id").withColumn("extra", F.concat(F.lit("extra "), "id")))
+    return store.read().select("id", "extra")
+
+
+@query(f"WITH {O.DOCS} SELECT id, title FROM docs")
+def stream_uploads(spark, d):
+    """Uploaded files as a stream of changes into an empty store."""
+    changes = src.search_docs(spark, d, streaming=True).withColumns({"op": F.lit("upsert"), "ts": F.col("indexed_at")}).drop("doc_id")
+    store = feeds.scratch_store(spark)
+    feeds.follow(changes, store, f"{store.path}-progress").awaitTermination()
+    return store.read().select("id", "title")
+
+
+@query("SELECT 'pages' AS off, 'ignore' AS action, count(DISTINCT c_custkey) AS n FROM customer UNION ALL SELECT 'files', 'ignore', count(DISTINCT p_name) FROM part")
+def live_off(spark, d):
+    """What saves and uploads do while live indexing is off."""
+    changed = src.read(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("page_id"))
+    pages = L.page_changes(changed, src.site_pages(spark, d), W.page_permissions(src.page_tree(spark, d)), L.Live(pages=False))
+    files = src.read(spark, d, "part").select(F.concat("p_name", F.lit(".txt")).alias("path"), F.lit(None).cast("binary").alias("uuid"))
+    none = files.select("path", F.lit(False).alias("is_protected"), F.lit(None).cast("string").alias("reason"))
+    told = pages.select(F.lit("pages").alias("off"), "action").unionByName(L.file_changes(files, none, none, L.Live(files=False)).select(F.lit("files").alias("off"), "action"))
+    return told.groupBy("off", "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 0::BIGINT AS batch, count(*) AS rows, false AS active FROM documents")
+def stream_heartbeat(spark, d):
+    """What a drained stream says of its last batch."""
+    changes = src.search_docs(spark, d, streaming=True).withColumns({"op": F.lit("upsert"), "ts": F.col("indexed_at")}).drop("doc_id")
+    store = feeds.scratch_store(spark)
+    q = feeds.follow(changes, store, f"{store.path}-progress")
+    q.awaitTermination()
+    told = feeds.heartbeat(q)
+    return spark.createDataFrame([(told["batch"], told["rows"], told["active"])], "batch long, rows long, active boolean")
+
+
+@query(f"WITH {O.DOCS} SELECT id, {'{}'} AS reason FROM docs".format("CASE WHEN doc_id % 5 = 0 THEN 'pattern_excluded' END"))
+def default_exclusions(spark, d):
+    """Documents in the folders that are left out by default."""
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 5 == 0, F.element_at(F.array(*map(F.lit, ("files/intern", "FILES/Admin", "files/private"))), (i % 3).cast("int") + 1)).otherwise("files/open"), F.lit("/a/b.txt"))
+    told = W.decision("with_protected", path, F.lit(False))
+    return src.search_docs(spark, d).select("id", told["reason"].alias("reason"))
+
+
+@query("SELECT count(*) > 0 AS there, false AS missing FROM documents")
+def tables_probed(spark, d):
+    """Whether tables are there before they are asked."""
+    name = f"probe_{uuid.uuid4().hex}"
+    src.read(spark, d, "documents").createOrReplaceTempView(name)
+    there, missing = (spark.catalog.tableExists(x) for x in (name, f"{name}_no"))
+    spark.catalog.dropTempView(name)
+    return spark.createDataFrame([(there, missing)], "there boolean, missing boolean")

@@ -8,6 +8,8 @@ from __future__ import annotations
 import io
 import os
 import re
+import signal
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bounds of what is parsed, and the seconds that one file may take.
+PARSE_SECONDS = 20
 EDGE, COMPLEX_FROM, MOST_STREAMS, MEMORY_FACTOR, MOST_MEMORY = 65536, 2 << 20, 1500, 120, 1280
 _BREAKS = re.compile(rb"</(?:w:p|w:tr|text:p|text:h|table:table-row)>|<(?:w:br|text:line-break)[^>]*/>")
 _TABS = re.compile(rb"<(?:w:tab|text:tab|text:s)\b[^>]*/>")
@@ -86,6 +90,27 @@ def preflight(data: bytes | None, most_mb: int) -> str | None:
     return None
 
 
+class ParseTimeout(Exception):
+    pass
+
+
+def _within(seconds: int, parse: Callable[[bytes], str], data: bytes) -> str:
+    """parse(data), ended after so many seconds; without a limit where signals cannot be had (off the main thread)."""
+    if threading.current_thread() is not threading.main_thread():
+        return parse(data)
+
+    def stop(*_):
+        raise ParseTimeout
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return parse(data)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def extract(kind: str, data: bytes | None, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None) -> tuple[str | None, str | None]:
     """(text, reason): one of them is None."""
     kind = kind.lower()
@@ -95,9 +120,11 @@ def extract(kind: str, data: bytes | None, most_mb: int = 50, parse_pdf: Callabl
         if parse_pdf is None:
             return None, "pdf_parser_missing"
         try:
-            text = parse_pdf(data)
+            text = _within(PARSE_SECONDS, parse_pdf, data)
+        except ParseTimeout:
+            return None, f"parse_timeout_after_{PARSE_SECONDS}s"
         except Exception as e:  # a parser may raise anything, and one file must not end the job
-            return None, f"parse_failed:{e}"[:200]
+            return None, "pdf_encrypted_or_restricted" if "secured pdf" in str(e).lower() or "encrypted" in str(e).lower() else f"parse_failed:{e}"[:200]
         return (text, None) if text.strip() else (None, "empty_textlayer_image_only")
     if data is None:
         return None, "file_not_readable"
@@ -141,7 +168,14 @@ def read_files(spark: SparkSession, folder: str, most_mb: int = 50, parse_pdf: C
     return files.withColumn("e", extracted(kind, F.col("content"), most_mb, parse_pdf)).select("path", F.col("length").alias("size"), "e.text", "e.reason")
 
 
-REASONS = (("file_too_large_", "The file is too large"), ("pdf_too_big_for_memory_", "The PDF needs too much memory"), ("parse_failed", "The PDF could not be parsed"), ("unsupported_extension_", "This kind of file is not indexed"), ("empty_", "The file has no text"), ("docx_", "The document is empty or damaged"), ("odt_", "The document is empty or damaged"), ("rtf_", "The document is empty or damaged"), ("pdf_", "The PDF is damaged or too complex"))
+def public_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder) of every folder that holds a file named .public; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".public").load(folder).select("path")
+    root = folder.split("://")[-1].rstrip("/")
+    return found.select(F.regexp_replace(F.regexp_replace("path", "/\\.public$", ""), f"^.*{re.escape(root)}/?", "").alias("path"))
+
+
+REASONS = (("file_too_large_", "The file is too large"), ("pdf_too_big_for_memory_", "The PDF needs too much memory"), ("parse_failed", "The PDF could not be parsed"), ("parse_timeout_", "The PDF took too long"), ("unsupported_extension_", "This kind of file is not indexed"), ("empty_", "The file has no text"), ("docx_", "The document is empty or damaged"), ("odt_", "The document is empty or damaged"), ("rtf_", "The document is empty or damaged"), ("pdf_", "The PDF is damaged or too complex"))
 
 
 def humanized(reason: Column) -> Column:
