@@ -53,7 +53,8 @@ def page_changes(changed: DataFrame, pages: DataFrame, rights: DataFrame, live:
     exist and, while live indexing is off, all changes are ignored.
     """
     p = pages.select(F.col("id").alias("page_id"), "type", "alias", F.coalesce("published", F.lit("")).alias("published"), F.coalesce(F.lower(column(pages, "robots")), F.lit("")).alias("robots"), F.coalesce(column(pages, "noSearch"), F.lit("")).alias("no_search"), F.lit(True).alias("there"))
-    met = changed.select("page_id").distinct().join(p, "page_id", "left").join(rights.select(F.col("id").alias("page_id"), "is_protected"), "page_id", "left")
+    closed = rights.groupBy(F.col("id").alias("page_id")).agg(F.bool_or("is_protected").alias("is_protected"))
+    met = changed.select("page_id").distinct().join(p, "page_id", "left").join(closed, "page_id", "left")
     path = F.concat(F.lit("page/"), F.coalesce(F.nullif("alias", F.lit("")), F.col("page_id").cast("string")))
     allowed = decision(live.mode, path, F.col("is_protected"), live.excluded, live.whitelist)["include"]
     rules = (
@@ -68,8 +69,9 @@ def file_changes(changed: DataFrame, rights: DataFrame, texts: DataFrame, live:
 
     What the mode leaves out is deleted; kinds that are not indexed and files without a text are ignored.
     """
-    readable = texts.where("reason IS NULL").select("path", F.lit(True).alias("readable"))
-    met = changed.select("path", "uuid").dropDuplicates(["path"]).join(rights.select("path", "is_protected"), "path", "left").join(readable, "path", "left")
+    readable = texts.where("reason IS NULL").select("path", F.lit(True).alias("readable")).distinct()
+    closed = rights.groupBy("path").agg(F.bool_or("is_protected").alias("is_protected"))  # rows that repeat a path protect it together
+    met = changed.groupBy("path").agg(F.max("uuid").alias("uuid")).join(closed, "path", "left").join(readable, "path", "left")
     allowed = decision(live.mode, F.col("path"), F.col("is_protected"), live.excluded, live.whitelist)["include"]
     rules = ((F.lit(not live.files) | ~extension(F.col("path")).isin(*EXTENSIONS), "ignore"), (~allowed, "delete"), (F.col("readable").isNull(), "ignore"))
     return met.select("path", doc_id(F.col("uuid"), F.col("path")).alias("id"), _action(*rules).alias("action"))
