@@ -20,7 +20,7 @@ from .common import table
 from .repeats import Bytes, Unit, mark, nullable
 
 #: Bytes of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
