@@ -51,6 +51,29 @@ def test_store_purges_partitions_and_breaks_ties(spark, tmp_path):
     assert store.config("de")["strictness"] == "strict" and store.config("en") is None
 
 
+def test_store_merges_only_the_locales_that_changed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.write(documents(spark, [("a", "de", "A", "", 1), ("b", "en", "B", "", 1), ("c", "fr", "C", "", 1), ("n", "", "N", "", 1)]))
+    store.upsert(documents(spark, [("d", "de", "D", "", 2)]))
+    store.upsert(documents(spark, [("b", "de", "B2", "", 2)]))  # moves from one locale to another
+    store.delete(spark.createDataFrame([("zzz",)], "id string"))
+    expected = {("a", "de", "A"), ("b", "de", "B2"), ("c", "fr", "C"), ("d", "de", "D"), ("n", "", "N")}
+    assert held(store) == expected
+    store.merge()
+    assert held(store) == expected
+    m = store._manifest()
+    assert not m["changes"] and [sorted(b[2]) for b in m["base"]] == [["", "fr"], ["de"]]
+    store.purge("fr")
+    store.upsert(documents(spark, [("n", "fr", "N2", "", 3)]))
+    expected = {("a", "de", "A"), ("b", "de", "B2"), ("d", "de", "D"), ("n", "fr", "N2")}
+    assert held(store) == expected
+    store.merge()
+    assert held(store) == expected and store.vacuum() > 0 and held(store) == expected
+    for i in range(17):
+        store.upsert(documents(spark, [(f"x{i}", "it", f"X{i}", "", i)]))
+    assert len(held(store)) == 21 and len(store._manifest()["base"]) >= 2
+
+
 def test_live_changes(spark, tmp_path):
     rows = [(1, "root", "r", "1", "", ""), (2, "regular", "a", "1", "", ""), (3, "regular", "b", "", "", ""), (4, "regular", "c", "1", "NoIndex,follow", ""), (5, "regular", "d", "1", "", "1"), (6, "regular", "e", "1", "", ""), (7, "regular", "", "1", "", "")]
     pages = spark.createDataFrame(rows, "id long, type string, alias string, published string, robots string, noSearch string")

@@ -1,7 +1,8 @@
 """The document store: Parquet partitioned by index_locale, with small folders of changes over it.
 
 A change writes only itself, so its cost does not grow with the store; readers lay the changes over the base, and once there
-are MOST_CHANGES of them they are merged into a new base. A manifest names the folders that count. It is written
+are MOST_CHANGES of them the locales that they touch are written anew, each base folder keeping the others. A manifest names
+the folders that count, and which locales of them. It is written
 after them, so readers see the old rows or the new ones, and a run that fails leaves the store as it was. One writer at a time.
 """
 
@@ -63,15 +64,22 @@ class Store:
     def _table(self, folder: str, schema: str) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{folder}")
 
+    def _base(self, m: dict, but: set[str] | frozenset = frozenset()) -> DataFrame:
+        """The base's rows, of each folder its locales without `but`: other partitions are not read."""
+        out = None
+        for folder, schema, locales in m["base"]:
+            part = self._table(folder, schema).where(F.coalesce("index_locale", F.lit("")).isin([x for x in locales if x not in but]))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
     def read(self) -> DataFrame | None:
         """All rows: those of the base that no change names, and the last change of each other id, unless it is gone."""
         m = self._manifest()
-        if m is None:
-            return None
-        base, changes = self._table(*m["base"]), None
+        return None if m is None else self._read(m)
+
+    def _read(self, m: dict) -> DataFrame:
         purged = {schema: n for n, (folder, schema) in enumerate(m["changes"]) if not folder}
-        if purged:  # whole partitions, which are not read at all
-            base = base.where(~F.coalesce(F.col("index_locale").isin(*purged), F.lit(False)))
+        base, changes = self._base(m, set(purged)), None
         for n, (folder, schema) in enumerate(m["changes"]):
             if not folder:
                 continue
@@ -86,12 +94,36 @@ class Store:
         fresh = last.where("NOT __gone").drop("__n", "__k", "__gone")
         return base.join(changes.select("id").distinct(), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
+    def _written(self, docs: DataFrame) -> list:
+        """A new base folder: its name, schema and locales."""
+        folder = f"base-{uuid.uuid4().hex}"
+        docs.write.partitionBy("index_locale").parquet(f"{self.path}/{folder}")
+        names = [n.partition("=")[2] for n in self._names(folder) if n.startswith("index_locale=")]
+        return [folder, docs.schema.json(), ["" if n == "__HIVE_DEFAULT_PARTITION__" else n for n in names]]
+
     def write(self, docs: DataFrame) -> None:
         """All rows of the store from now on."""
-        folder = f"base-{uuid.uuid4().hex}"
         docs = docs if "index_locale" in docs.columns else routed(docs)
-        docs.write.partitionBy("index_locale").parquet(f"{self.path}/{folder}")
-        self._commit({"base": [folder, docs.schema.json()], "changes": []})
+        self._commit({"base": [self._written(docs)], "changes": []})
+
+    def merge(self) -> None:
+        """Takes the changes into the base: only locales that they name, or whose rows they replace, are written anew."""
+        m = self._manifest()
+        if m is None or not m["changes"]:
+            return
+        touched, ids = {schema for folder, schema in m["changes"] if not folder}, None
+        for folder, schema in m["changes"]:
+            if folder:
+                change = self._table(folder, schema)
+                if "index_locale" in change.columns:
+                    touched |= {r[0] or "" for r in change.select("index_locale").distinct().collect()}
+                ids = change.select("id") if ids is None else ids.unionByName(change.select("id"))
+        if ids is not None:
+            touched |= {r[0] or "" for r in self._base(m).join(ids.distinct(), "id", "left_semi").select("index_locale").distinct().collect()}
+        kept = [[folder, schema, [x for x in locales if x not in touched]] for folder, schema, locales in m["base"]]
+        fresh = self._written(self._read(m).where(F.coalesce("index_locale", F.lit("")).isin(sorted(touched))))
+        base = [b for b in [*kept, fresh] if b[2]]
+        self._commit({"base": base or [fresh], "changes": []})
 
     def apply(self, changes: DataFrame) -> None:
         """Rows with a column __gone: true deletes the id, false puts the row in. Ids are distinct."""
@@ -102,7 +134,7 @@ class Store:
         changes.write.parquet(f"{self.path}/{folder}")
         self._commit({**m, "changes": [*m["changes"], [folder, changes.schema.json()]]})
         if len(m["changes"]) + 1 >= MOST_CHANGES:
-            self.write(self.read())
+            self.merge()
         return None
 
     def upsert(self, changed: DataFrame) -> None:
@@ -152,7 +184,7 @@ class Store:
     def vacuum(self) -> int:
         """Removes the folders that the latest manifest does not name, for when nobody reads older ones; returns how many."""
         m = self._manifest()
-        used = {m["base"][0], *(c[0] for c in m["changes"] if c[0])} if m else set()
+        used = {*(b[0] for b in m["base"]), *(c[0] for c in m["changes"] if c[0])} if m else set()
         gone = [n for n in self._names("") if n.startswith(("base-", "change-")) and n not in used]
         for n in gone:
             self._fs.delete(self._at(n), True)
