@@ -267,8 +267,8 @@ def links(sets: DataFrame, least: int = LEAST, keys: DataFrame | None = None) ->
 def _across(sets: DataFrame, edges: DataFrame, least: int, keys: DataFrame | None) -> DataFrame:
     """The edges with those between the blocks of groups that are not one component yet.
 
-    Sets outside a group's largest component meet the blocks of it in which some set has a key of theirs, in blocks of
-    their own: a group may be large because rare shingles chain it together, but few of its blocks then share one.
+    Sets outside a group's largest component form blocks of their own, each of which meets the group's blocks that have a key
+    in common with it: a group may be large because rare shingles chain it together, but few of its blocks then share one.
     """
     edges = stored(edges.where("a <> b"), "edges")
     known = components(edges)
@@ -284,10 +284,11 @@ def _across(sets: DataFrame, edges: DataFrame, least: int, keys: DataFrame | Non
     apart = todo.where("label <> main").withColumn("other", F.pmod(F.xxhash64("node", F.lit(5)), F.col("others")).cast("int"))
     if keys is None:
         right = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    else:
-        places = keys.join(todo.select("node", "group", "block"), "node").select("key", "group", "block").distinct()
-        wanted = keys.join(apart.select("node", "group"), "node").join(places, ["key", "group"]).select("node", "block").distinct()
-        right = apart.drop("block").join(wanted, "node")
+    else:  # keys of blocks and of the others, each once: the pairs of them that must meet
+        there = keys.join(todo.select("node", "group", "block"), "node").groupBy("key", "group").agg(F.collect_set("block").alias("there"))
+        asked = keys.join(apart.select("node", "group", "other"), "node").select("key", "group", "other").distinct()
+        meet = asked.join(there, ["key", "group"]).select("group", "other", F.explode("there").alias("block")).distinct()
+        right = apart.drop("block").join(meet, ["group", "other"])
     right = stored(right.select("node", "group", "shingles", "label", "block", "other", F.lit(1).alias("side")), "right")
     left = todo.select("node", "group", "shingles", "label", "block").join(right.select("group", "block", "other").distinct(), ["group", "block"]).select("node", "group", "shingles", "label", "block", "other", F.lit(0).alias("side"))
     pairs = left.unionByName(right)
