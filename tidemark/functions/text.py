@@ -26,6 +26,11 @@ def fold(c: Column) -> Column:
     return F.replace(F.translate(F.lower(c), ACCENTED, FOLDED), F.lit("ß"), F.lit("ss"))
 
 
+def folded(word: str) -> str:
+    """What fold() makes of a word that the driver holds."""
+    return word.lower().translate(str.maketrans(ACCENTED, FOLDED)).replace("ß", "ss")
+
+
 def tokens(c: Column) -> Column:
     """Folded runs of letters and digits, in order."""
     return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")

@@ -1,9 +1,7 @@
 """Full-text search: postings, candidate terms, ranking, filters and facets.
 
 A search over documents is one scan without a shuffle: each document's words are matched and weighed inside its row, and
-only the best rows leave a task. Over postings that were built before, with one row a word, a query's words are matched
-against the distinct vocabulary first (equal, prefix, or within an edit distance), and only matching words meet the
-postings, in one equi-join.
+only the best rows leave a task. Searches that need not read the texts again are those of index.py.
 """
 
 from __future__ import annotations
@@ -121,7 +119,6 @@ def alone(df: DataFrame, name: str, value: Column) -> DataFrame:
 def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, indexed_at, keep and what `hits` counts, of documents with a match and all phrases; each from its own row."""
     like = likeness(phrases, strictness, synonyms)
-    n = len(like)
 
     def found(attr: int, name: str) -> Column:
         toks = tokens(F.array_join(name, " ") if name == "tags" else F.col(name))
@@ -129,48 +126,41 @@ def row_hits(docs: DataFrame, phrases: list[list[Token]], strictness: str, synon
         each = lambda x: F.array(*(F.struct(F.lit(attr).alias("attr"), x["pos"].alias("pos"), F.lit(q).alias("qi"), typos(x["tok"]).alias("typos"), exact(x["tok"]).alias("exact")) for q, (typos, exact) in enumerate(like)))
         return F.filter(F.flatten(F.transform(some, each)), lambda y: y["typos"].isNotNull())
 
-    out = alone(docs, "m", F.concat(*(found(i, a) for i, a in enumerate(ATTRIBUTES)))).select("id", "indexed_at", *keep, "m").where(F.size("m") > 0)
-    of = [_of_words(q) for q in range(n)]
-    best = lambda pick, field: [pick(F.transform(x, lambda y: y[field])) for x in of]
-    total = lambda cols: sum((F.coalesce(c.cast("long"), F.lit(0)) for c in cols), F.lit(0).cast("long"))
-    gaps = []
-    for p in range(1, n):
-        pair = _of_words(p - 1, p)
-        later = F.slice(pair, 2, F.greatest(F.size(pair) - 1, F.lit(0)))
-        gap = F.zip_with(pair, later, lambda a, b: F.when((a["attr"] == b["attr"]) & (a["qi"] != b["qi"]), b["pos"] - a["pos"]))
-        least = F.array_min(gap)
-        gaps.append(F.when(least.isNotNull(), F.least(least, F.lit(FAR))))
-    words = total([(F.size(x) > 0).cast("int") for x in of])
-    near, pairs = total(gaps), total([g.isNotNull().cast("int") for g in gaps])
-    value = F.struct(
-        words.alias("words"), total(best(F.array_min, "typos")).alias("typos"), F.array_min(F.transform("m", lambda y: y["attr"])).alias("attr"), total(best(F.array_max, "exact")).alias("exact"),
-        F.array_min(F.transform("m", lambda y: y["qi"])).alias("first_qi"), (near + F.greatest((words - 1 - pairs) * FAR, F.lit(0))).alias("proximity"), _phrases_met(phrases).alias("met"),
-    )
-    return alone(out, "v", value).select("id", "indexed_at", *keep, "v.*").where("met").drop("met")
-
+    return weighed(alone(docs, "m", F.concat(*(found(i, a) for i, a in enumerate(ATTRIBUTES)))).select("id", "indexed_at", *keep, "m"), phrases, ("id", "indexed_at", *keep))
 
-def _of_words(*qi: int) -> Column:
-    return F.filter("m", lambda y: y["qi"].isin(*qi))
 
+def weighed(found: DataFrame, phrases: list[list[Token]], keep: tuple[str, ...]) -> DataFrame:
+    """keep and what `hits` counts, of rows whose matches (m: attr, pos, qi, typos, exact in order) hold all phrases.
 
-def _starts(qi: int, i: int) -> Column:
-    """Where a phrase would start whose i-th word is this query word."""
-    same = F.filter(_of_words(qi), lambda y: y["exact"] == 1)
-    return F.transform(same, lambda y: F.struct(y["attr"].alias("attr"), (y["pos"] - i).alias("start")))
+    One SQL text, as hundreds of Column objects take longer to make than the query takes to run.
+    """
+    n = sum(map(len, phrases))
+    of = lambda *qi: f"filter(m, y -> y.qi IN ({', '.join(map(str, qi))}))"
+    total = lambda terms: " + ".join(["0L", *(f"coalesce(CAST({t} AS BIGINT), 0L)" for t in terms)])
+    field = lambda pick, name: [f"{pick}(transform({of(q)}, y -> y.{name}))" for q in range(n)]
+    # neighbours of a pair of query words: nearest positions are next to each other in the pair's own order
+    gap = "CASE WHEN a.attr = b.attr AND a.qi <> b.qi THEN b.pos - a.pos END"
+    gaps = [f"array_min(zip_with({of(p - 1, p)}, slice({of(p - 1, p)}, 2, greatest(size({of(p - 1, p)}) - 1, 0)), (a, b) -> {gap}))" for p in range(1, n)]
+    value = {
+        "words": total(f"size({of(q)}) > 0" for q in range(n)), "typos": total(field("array_min", "typos")), "attr": "array_min(transform(m, y -> y.attr))", "exact": total(field("array_max", "exact")),
+        "first_qi": "array_min(transform(m, y -> y.qi))", "near": total(f"CASE WHEN {g} IS NOT NULL THEN least({g}, {FAR}) END" for g in gaps), "pairs": total(f"{g} IS NOT NULL" for g in gaps), "met": _phrases_met(phrases),
+    }
+    out = alone(found.where(F.size("m") > 0), "v", F.expr(f"named_struct({', '.join(f"'{k}', {v}" for k, v in value.items())})")).where("v.met")
+    return out.select(*keep, "v.words", "v.typos", "v.attr", "v.exact", "v.first_qi", F.expr(f"v.near + greatest((v.words - 1 - v.pairs) * {FAR}, 0)").alias("proximity"))
 
 
-def _phrases_met(phrases: list[list[Token]]) -> Column:
+def _phrases_met(phrases: list[list[Token]]) -> str:
     """Whether m has each phrase's words next to each other in one attribute."""
-    out, at = F.lit(True), 0
+    out, at = ["true"], 0
     for p in phrases:
         if len(p) > 1:
-            starts = None
-            for i in range(len(p)):
-                here = _starts(at + i, i)
-                starts = here if starts is None else F.array_intersect(starts, here)
-            out = out & (F.size(starts) > 0)
+            starts = [f"transform(filter(m, y -> y.qi = {at + i} AND y.exact = 1), y -> named_struct('attr', y.attr, 'start', y.pos - {i}))" for i in range(len(p))]
+            both = starts[0]
+            for s in starts[1:]:
+                both = f"array_intersect({both}, {s})"
+            out.append(f"size({both}) > 0")
         at += len(p)
-    return out
+    return " AND ".join(out)
 
 
 def hits(posted: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
@@ -188,7 +178,7 @@ def hits(posted: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumn("proximity", (F.coalesce("near", F.lit(0)) + F.greatest(far, F.lit(0))).cast("long")).drop("near", "pairs")
 
 
-def score(n: int) -> Column:
+def score(n: int | Column) -> Column:
     """From 0 to 1: matched words, less typos, distance and attribute, plus exactness."""
     raw = F.col("words") / n - 0.1 * F.col("typos") / n - 0.01 * F.col("proximity") / (8.0 * n) - 0.001 * F.col("attr") / 2 + 0.0001 * F.col("exact") / n
     return F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 6)
@@ -332,62 +322,3 @@ def facets(matched: DataFrame, fields: tuple[str, ...] = ("type", "locale", "tag
 
     pairs = [pair(f) for f in fields]
     return matched.select(F.explode(F.concat(*pairs)).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
-
-
-class PostingStore:
-    """Postings on disk, for searches that need not read the documents' texts: partitioned by locale, sorted by word, with
-    the distinct words beside them. A query's words are matched against the vocabulary first; only their postings are read,
-    as Parquet's statistics of the sorted words leave out all other row groups."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def write(self, docs: DataFrame) -> None:
-        posted = postings(docs, ["locale", "indexed_at"])
-        posted.repartitionByRange("locale", "tok").sortWithinPartitions("locale", "tok").write.partitionBy("locale").parquet(f"{self.path}/postings")
-        self.postings().groupBy("tok").agg(F.count("*").alias("n")).write.parquet(f"{self.path}/vocabulary")
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema("id string, indexed_at long, attr int, pos int, tok string, locale string").parquet(f"{self.path}/postings")
-
-    def vocabulary(self) -> DataFrame:
-        return self.spark.read.schema("tok string, n long").parquet(f"{self.path}/vocabulary")
-
-    #: Words of the vocabulary up to which they are named in the filter of the scan.
-    NAMED = 1000
-
-    def terms(self, phrases: list[list[Token]], strictness: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-        return match_terms(self.vocabulary(), phrases, strictness, synonyms)
-
-    def search(self, docs: DataFrame, request: Request, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-        """The request's page of hits; of the documents only what filters need is read."""
-        limit, offset = clamped(request)
-        phrases, strict = rewrite(request.query, request.strictness)
-        if not phrases:
-            return search(docs, request)
-        allowed = docs.where(visible(request.groups)).where(user_filter(request.filters, request.tags_mode))
-        posted = self.postings()
-        if request.locales:
-            allowed, posted = (df.where(F.col("locale").isin(list(request.locales))) for df in (allowed, posted))
-        terms = self.terms(phrases, request.strictness, synonyms)
-        words = [r.tok for r in terms.select("tok").distinct().limit(self.NAMED + 1).collect()]
-        if len(words) <= self.NAMED:  # else the join alone picks them
-            posted = posted.where(F.col("tok").isin(words))
-        found = hits(posted.join(allowed.select("id"), "id", "left_semi"), terms, ["indexed_at"])
-        for p in phrases:
-            if len(p) > 1:
-                found = found.join(phrase_docs(posted, [t.text for t in p]), "id", "left_semi")
-        n = sum(map(len, phrases))
-        found = found.where(F.col("words") == n) if strict else found.where("first_qi = 0")
-        return found.withColumn("score", score(n)).select("id", "indexed_at", "words", "typos", "proximity", "attr", "exact", "score").orderBy(*ranking()).offset(offset).limit(limit)
-
-    def search_many(self, docs: DataFrame, requests: DataFrame, k: int = 10) -> DataFrame:
-        """query_id, rank, id, words, exact of many queries (query_id, query) at once: exact words, in one join.
-
-        Documents are ranked by how many of a query's distinct words they have, then by recency and id.
-        """
-        asked = requests.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("tok"))
-        posted = self.postings().select("tok", "id", "indexed_at").distinct().join(docs.where(visible()).select("id"), "id", "left_semi")
-        n = posted.join(asked, "tok").groupBy("query_id", "id", "indexed_at").agg(F.count("*").alias("words"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("words"), F.desc("indexed_at"), "id")
-        return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "words")

@@ -32,11 +32,14 @@ def routed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("index_locale", F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0))
 
 
-class Store:
+class Versioned:
+    """A folder whose state is its latest manifest: written last, under the next number, so readers see all of a change or nothing."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._known: tuple[int, str] = (0, "")
 
     def _at(self, name: str):
         return self._hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -51,7 +54,9 @@ class Store:
 
     def _manifest(self) -> dict | None:
         n = self.version()
-        return json.loads(self.spark.read.text(f"{self.path}/log/{n}", wholetext=True).first()[0]) if n else None
+        if n and n != self._known[0]:  # a number's manifest never changes
+            self._known = n, self.spark.read.text(f"{self.path}/log/{n}", wholetext=True).first()[0]
+        return json.loads(self._known[1]) if n else None
 
     def _commit(self, manifest: dict) -> None:
         target, draft = self._at(f"log/{self.version() + 1}"), self._at(f"log/draft-{uuid.uuid4().hex}")
@@ -61,6 +66,8 @@ class Store:
         if self._fs.exists(target) or not self._fs.rename(draft, target):
             raise RuntimeError(f"{self.path} has another writer")
 
+
+class Store(Versioned):
     def _table(self, folder: str, schema: str) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{folder}")
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from tidemark.functions import text as T
 from tidemark.operators import admin as A
+from tidemark.operators import index as I
 from tidemark.operators import live as L
 from tidemark.operators import pages as P
 from tidemark.operators import search as S
@@ -111,15 +112,65 @@ def search_strict_typo(spark, d):
     return _typed(S.search(src.search_docs(spark, d), S.Request(query="worthles", strictness="strict", limit=20)))
 
 
+def _indexed(spark, d, docs=None):
+    """The search documents in an index that was written before."""
+    kept = I.SearchIndex(spark, f"{feeds.scratch(spark)}/index-{uuid.uuid4().hex}")
+    kept.write((src.search_docs(spark, d) if docs is None else docs).drop("doc_id"))
+    return kept
+
+
 @query(O.search([{"text": "and"}, {"text": "with"}, {"text": "clown", "prefix": True}], False, limit=50))
 def search_over_postings(spark, d):
-    """The same as search_ranked_topk over postings that were written before."""
+    """The same as search_ranked_topk from an index."""
     from tidemark.plans.registry import _typed
 
-    docs = src.search_docs(spark, d)
-    kept = S.PostingStore(spark, f"{feeds.scratch(spark)}/postings-{uuid.uuid4().hex}")
-    kept.write(docs)
-    return _typed(kept.search(docs, S.Request(query="and with clown", limit=50)))
+    return _typed(_indexed(spark, d).search(S.Request(query="and with clown", limit=50)))
+
+
+@query(O.search([{"text": "pathetics", "k": 2, "prefix": True}, ], False, limit=20))
+def index_typo_search(spark, d):
+    """A mistyped word, found under what is left of it without a letter or two."""
+    from tidemark.plans.registry import _typed
+
+    return _typed(_indexed(spark, d).search(S.Request(query="pathetics", strictness="tolerant", limit=20)))
+
+
+@query(O.search([{"text": "of"}, {"text": "the"}], False, phrase=["of", "the"]))
+def index_phrase_search(spark, d):
+    from tidemark.plans.registry import _typed
+
+    return _typed(_indexed(spark, d).search(S.Request(query='"of the"', limit=20)))
+
+
+@query(f"WITH hit AS ({_ALL}), {O.DOCS}, m AS (SELECT * FROM docs WHERE id IN (SELECT id FROM hit)) SELECT 'type' AS facet, type AS value, count(*) AS n FROM m GROUP BY type UNION ALL SELECT 'locale', locale, count(*) FROM m GROUP BY locale UNION ALL SELECT 'tags', t, count(*) FROM (SELECT unnest(tags) AS t FROM m) GROUP BY t UNION ALL SELECT 'total', 'hits', count(*) FROM m")
+def index_facets(spark, d):
+    """Facets and the total of all that a search matches, from an index: no texts are read."""
+    kept = _indexed(spark, d)
+    return kept.facets(_ASKED).unionByName(kept.total_hits(_ASKED).select(F.lit("total").alias("facet"), F.lit("hits").alias("value"), F.col("total_hits").alias("n")))
+
+
+#: Documents with good labels have a new text, those with bad ones are gone.
+_CHANGED_DOCS = f"{O.DOCS.replace('docs AS (', 'docs0 AS (')}, docs AS (SELECT id, type, locale, title, url, CASE WHEN {_GOOD} THEN 'worthless clown and ' || lang0 ELSE content END AS content, tags, is_protected, allowed_groups, CASE WHEN {_GOOD} THEN indexed_at + 5 ELSE indexed_at END AS indexed_at, doc_id FROM (SELECT *, locale AS lang0 FROM docs0) WHERE NOT {_BAD})"
+
+
+@query(_HITS.replace(O.DOCS, _CHANGED_DOCS))
+def index_changed_search(spark, d):
+    """A search once an index has followed changes and deletions, its segments merged on the way."""
+    from tidemark.plans.registry import _typed
+
+    kept = _indexed(spark, d)
+    changed = _labelled(spark, d, "quality = 1").drop("doc_id").withColumns({"content": F.concat(F.lit("worthless clown and "), "locale"), "indexed_at": F.col("indexed_at") + 5})
+    for part in range(4):
+        kept.upsert(changed.where(F.pmod(F.crc32("id"), F.lit(4)) == part))
+    kept.delete(_labelled(spark, d, "quality = 0"))
+    return _typed(kept.search(_ASKED))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS query_id, * FROM ({O.search(words, False, limit=10)})" for i, words in enumerate(([{"text": "and"}, {"text": "worthles", "k": 1, "prefix": True}], [{"text": "des", "prefix": False}], [{"text": "pathetic", "k": 1}, {"text": "idio", "prefix": True}]))))
+def index_many_searches(spark, d):
+    """Several queries at once."""
+    asked = spark.createDataFrame([(0, "and worthles"), (1, "des"), (2, "pathetic idio")], "query_id int, query string")
+    return _indexed(spark, d).search_many(asked, S.Request()).drop("rank")
 
 
 # --- documents of pages and files
