@@ -220,18 +220,19 @@ class Chunk:
         self.start = np.r_[start[keep], np.repeat(start[hot], n) + inner]
         self.size = np.r_[size[keep], np.ones(len(inner), np.int64)]
         self.doc = np.r_[docs[keep], np.repeat(docs[hot], n)]
-        buf, a, b = unit.bounds(self.start, self.start + self.size + unit.window - 1)
-        lens = b - a
-        off = np.r_[0, np.cumsum(lens)]
-        content = np.empty(off[-1], np.uint8)
-        for i in range(0, len(lens), SLICE):  # places take eight bytes for one of content
+        # a slice of contents at a time, equal ones merged at once: windows of hot picks hold each byte fifty times
+        codes, found, known = [], [], 0
+        for i in range(0, len(self.start), SLICE):
             part = slice(i, i + SLICE)
-            base = off[i]
-            at = np.arange(off[min(i + SLICE, len(lens))] - base) + np.repeat(a[part] - (off[:-1][part] - base), lens[part])
-            content[base : base + len(at)] = buf[at]
-        column = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(content)])
-        coded = column.dictionary_encode()
-        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            buf, a, b = unit.bounds(self.start[part], self.start[part] + self.size[part] + unit.window - 1)
+            off = np.r_[0, np.cumsum(b - a)]
+            at = np.arange(off[-1]) + np.repeat(a - off[:-1], b - a)
+            coded = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(off), pa.py_buffer(buf[at])]).dictionary_encode()
+            codes.append(coded.indices.to_numpy(zero_copy_only=False) + known)
+            found.append(coded.dictionary)
+            known += len(coded.dictionary)
+        coded = pa.chunked_array(found, pa.large_binary()).combine_chunks().dictionary_encode()
+        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[np.concatenate(codes) if codes else np.zeros(0, np.int64)]
         self.content = coded.dictionary
         m = len(self.content)
         first = np.full(m, len(self.code), np.int64)
@@ -241,7 +242,8 @@ class Chunk:
         single = first >= keep.sum()
         route = np.where(single, 0, np.r_[picks[keep], np.zeros(len(inner), np.uint64)][first] if m else 0).astype(np.uint64)
         if single.any():
-            route[single] = word_hashes(content, off[:-1][first[single]], off[1:][first[single]])
+            content, off = text_bytes(self.content)
+            route[single] = word_hashes(content, off[:-1][single], off[1:][single])
         self.windows = self.size[first] if m else np.zeros(0, np.int64)
         self.order, self.buckets = by_bucket(route, 20, n_buckets)
         self.route = route
