@@ -76,7 +76,7 @@ def prefixes(sets: list[np.ndarray], ranks: list[np.ndarray], least: int = LEAST
 
     ranks[i] orders the shingles of sets[i] by how many sets have them, 0 for those that no other set has. Linked sets
     share one of the first n - ceil(least * n / 100) + 1 shingles in that order, the rarest ones; those of rank 0 come
-    first and are shared by none. Keys hold the class of the set's size, and the next one if a linked larger set may be there.
+    first and are shared by none. Keys hold the class of the set's size, and each up to that of the largest set which may be linked.
     """
     keys, docs = [], []
     for i, (s, rank) in enumerate(zip(sets, ranks, strict=True)):
@@ -86,7 +86,8 @@ def prefixes(sets: list[np.ndarray], ranks: list[np.ndarray], least: int = LEAST
             continue
         known = np.flatnonzero(rank)
         chosen = s[known[np.lexsort((s[known], rank[known]))[:first]]]
-        for size in sorted({*np.searchsorted(_CLASSES, [n, n * 100 // least]).tolist()}):
+        low, high = np.searchsorted(_CLASSES, [n, n * 100 // least]).tolist()
+        for size in range(low, high + 1):
             keys.append(mix(chosen ^ mix(np.full(1, size, np.uint64))))
             docs.append(np.full(len(chosen), i))
     return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
