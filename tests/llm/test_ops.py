@@ -607,3 +607,61 @@ def test_tokens_have_signed_scores(spark):
     assert any(w > 0 for f, w in words.items() if f.startswith("grumblish")) and min(words.values()) < toxicity.DRIFT < max(w for w in words.values() if w < 0)
     scorer = toxicity.Scorer(model.weights)
     assert scorer["grumblishz"] > 0 and scorer["neverseen"] == toxicity.DRIFT
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    from tidemark.llm import labelled as L
+
+    docs = spark.createDataFrame([(i, f"text {i}" if i else "long " * 100) for i in range(60)], "doc_id long, text string")
+    own = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y int")
+    others = spark.range(1000, 401_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("y"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for rows in ({0: 1000, 1: 1000}, {0: 5, 1: 7}):
+        alone = key(L.sample(docs, own, "y", rows, 100))
+        assert alone == key(L.sample(docs, own.unionByName(others), "y", rows, 100))
+        assert len(alone) == 12 or len(alone) > 30 and all(i for i, _, _ in alone)
+
+
+@pytest.mark.parametrize("least", [50, 60, 70])
+def test_no_link_is_lost_at_other_thresholds(spark, least):
+    rng = random.Random(least)
+    texts = []
+    for n in range(5, 40):
+        whole = [f"w{n}x{i}" for i in range(n)]
+        texts += [whole, whole[: rng.randint(n // 2, n)], [*whole[n // 4 :], *(f"new{n}x{i}" for i in range(rng.randint(0, n // 3)))]]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= least * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df, least=least).collect()} == dict(enumerate(root))
+
+
+def test_scores_keep_columns_of_any_name(spark):
+    docs, labels, _ = labelled(spark)
+    out = toxicity.score(docs.limit(20).withColumns({"__judged": F.lit("mine"), "row": F.lit(1)}), toxicity.fit(docs, labels))
+    assert out.count() == 20 and {(r["__judged"], r["row"]) for r in out.collect()} == {("mine", 1)}
+
+
+def test_hot_windows_are_merged_in_slices(monkeypatch):
+    """A chunk of copies whose every window is hot takes memory for its distinct windows."""
+    import resource
+
+    from tidemark.llm import repeats
+
+    rng = np.random.default_rng(0)
+    one = rng.integers(97, 123, 40_000, dtype=np.uint8)
+    buf, off = np.tile(one, 50), np.arange(51) * len(one)
+    unit = repeats.Bytes(buf, off)
+    picked = repeats.picks_of(unit, 0, 4)
+    told = {}
+    for b, data in zip(picked.column("bucket").to_pylist(), picked.column("data").to_pylist(), strict=True):
+        t = pyarrow.table({"bucket": pyarrow.array([b], pyarrow.int32()), "chunk": pyarrow.array([0], pyarrow.int32()), "data": pyarrow.array([data], pyarrow.binary())})
+        told[b] = repeats.shared(t, 2).column("data")[0].as_py()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    chunk = repeats.Chunk(unit, np.arange(50), 4, told)
+    assert len(chunk.code) == 50 * (len(one) - 49) and len(chunk.content) == len(one) - 49
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700 << 10  # KB

@@ -72,6 +72,9 @@ def test_near_duplicates_by_row(spark):
         (4, "", "kept"), (4, None, "kept"), (None, None, "kept"), (None, " ", "kept"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clashing = docs.withColumns({c: F.lit("mine") for c in ("__row", "row", "doc", "component_id", "last")})
+    found = corpus_pipeline.near_duplicates(spark, clashing, "")
+    assert found.columns == clashing.columns and {r["__row"] + r["row"] + r["doc"] for r in found.collect()} == {"mine" * 3}
     kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(r[2] for r in kept) == ["kept"] * 6 + ["null", "one"]
     assert {(1, a, "kept"), (2, b, "kept")} <= set(kept)

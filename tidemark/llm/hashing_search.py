@@ -183,7 +183,9 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
     if short.isEmpty():
         return found
     short = stored(short, "short")
-    rest = search(rows.join(short.withColumn("short", F.lit(True)), "id", "left"), F.col("short"), k, lambda ids, x: {"x": x.astype("<f8").tobytes()}, exact, "double", "id", "v", zero=False, keep=["short"])
+    # written before it is dealt to blocks: a task that runs again must see the rows in the same order
+    again = stored(rows.join(short.withColumn("short", F.lit(True)), "id", "left"), "again")
+    rest = search(again, F.col("short"), k, lambda ids, x: {"x": x.astype("<f8").tobytes()}, exact, "double", "id", "v", zero=False, keep=["short"])
     return found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
 
 

@@ -276,8 +276,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
                 out.append((model.probability(together, best), n))
             yield pd.DataFrame(out, columns=["score", "n_passages"])
 
-    out = docs.withColumn("__judged", judged(F.col(text_col)))
-    return out.withColumns({"score": F.col("__judged.score"), "n_passages": F.col("__judged.n_passages")}).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__judged")
+    # the input's columns travel as one, so that none of theirs is replaced but the three results
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "n_passages", "predicted")))
+    out = docs.select(kept.alias("row"), judged(F.col(f"`{text_col}`")).alias("judged"))
+    return out.select("row.*", "judged.score", "judged.n_passages", (F.col("judged.score") >= threshold).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
