@@ -50,12 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts and those without words all stay; columns of any name stay as they are; an empty table stays empty.
     """
     prepare(spark)
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard_join.near_duplicates(rows, least=80, size=5, id_col="__row").select("__row", "component_id")
-    groups = stored(groups.join(rows.select("__row", "doc_id"), "__row"), "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
-    gone = groups.select("__row").join(first.select("first.__row"), "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = stored(docs.select(columns.alias("doc"), "text", F.monotonically_increasing_id().alias("row")), "rows")
+    groups = jaccard_join.near_duplicates(rows, least=80, size=5, id_col="row").select("row", "component_id")
+    groups = stored(groups.join(rows.select("row", "doc.doc_id"), "row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    gone = groups.select("row").join(first.select("first.row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
