@@ -1,3 +1,5 @@
+import random
+
 import datetime
 import io
 import zipfile
@@ -91,6 +93,26 @@ def test_tree(spark):
     assert {r.id: (r.is_protected, r.allowed_groups) for r in W.page_permissions(tree).collect()} == {1: (False, []), 2: (True, [3]), 3: (True, [3, 7]), 4: (False, []), 5: (False, [])}
     assert {r.id: r.locale for r in W.page_locales(tree, ["de", "en"]).collect()} == {1: "de", 2: "de", 3: "de", 4: "de", 5: "en"}
     assert {r.id: r.breadcrumb for r in W.breadcrumbs(tree).collect()}[3] == "Root › A › B"
+    all_of = {r.id: tuple(r)[1:] for r in W.inherited(tree, ["de", "en"]).collect()}
+    assert all_of[3] == (True, [3, 7], "de", "Root › A › B", ".html") and all_of[5] == (False, [], "en", "Root › D", ".html")
+
+
+def test_lineages_of_deep_broken_and_cyclic_trees(spark):
+    rng = random.Random(3)
+    pid = {i: rng.randint(0, i - 1) for i in range(1, 150)}
+    pid |= {200 + i: 199 + i if i else 0 for i in range(70)}  # deeper than what is followed
+    pid |= {300: 301, 301: 302, 302: 300, 303: 301, 400: 999, 401: 400, 500: 500}  # cycles, a parent that is not there
+    tree = spark.createDataFrame([(i, p, f"t{i}") for i, p in pid.items()], "id long, pid long, title string")
+    expected = set()
+    for i in pid:
+        at, depth = i, 0
+        while at and depth <= W.MOST_DEPTH:
+            expected.add((i, at, depth))
+            at, depth = pid.get(at, 0), depth + 1
+    assert {tuple(r) for r in W.closure(tree).collect()} == expected
+    shown = {r.id: r.breadcrumb for r in W.breadcrumbs(tree).collect()}
+    assert shown[401] == "t400 › t401" and len(shown) == len(pid)
+    assert W.closure(tree.limit(0)).collect() == [] and W.inherited(tree.limit(0).withColumns({"protected": F.lit(True), "grp": F.lit(1), "language": F.lit("de"), "url_suffix": F.lit("")}), ["de"]).collect() == []
 
 
 @pytest.mark.parametrize(("pattern", "path", "match"), [("files/intern/*", "files/intern/a.pdf", True), ("files/intern/*", "files/intern/x/a.pdf", False), ("files/intern/**", "files/intern/x/a.pdf", True), ("files/_*", "files/_tmp", True), ("FILES/a?.md", "files/ab.md", True)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import doc_id, extension, headline_text, humanize_filename, normalize, page_url
 
-from .site import EXTENSIONS, closure, dominant, page_locales, page_permissions, url_suffixes
+from .site import EXTENSIONS, dominant, inherited, lineage
 
 #: The page types that are indexed.
 PAGE_TYPES = ("regular", "forward", "redirect")
@@ -54,7 +54,7 @@ def page_documents(pages: DataFrame, articles: DataFrame, elements: DataFrame, t
     tagged = tags.groupBy(F.col("target_id").alias("id")).agg(F.sort_array(labels).alias("found"))
     keywords = F.filter(F.transform(F.split(F.coalesce(column(pages, "keywords"), F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
     p = indexable_pages(pages).select("id", "alias", "title", column(pages, "pageTitle").alias("page_title"), column(pages, "description").alias("description"), keywords.alias("keywords"), column(pages, "tstamp", "long").alias("tstamp"))
-    p = p.join(page_texts(articles, elements), p["id"] == F.col("page_id"), "left").join(page_locales(tree, enabled), "id").join(page_permissions(tree), "id").join(url_suffixes(tree), "id", "left").join(tagged, "id", "left")
+    p = p.join(page_texts(articles, elements), p["id"] == F.col("page_id"), "left").join(inherited(tree, enabled), "id").join(tagged, "id", "left")
     title = F.coalesce(F.nullif("page_title", F.lit("")), F.nullif("title", F.lit("")), F.concat(F.lit("#"), "id"))
     content = normalize(F.concat_ws(" ", title, F.nullif("description", F.lit("")), F.array_join("keywords", " "), "body"))
     return p.select(
@@ -122,9 +122,9 @@ def file_documents(files: DataFrame, texts: DataFrame, locales: DataFrame, right
 
 def depth_first(tree: DataFrame) -> DataFrame:
     """id, depth, at: rows of tree (id, pid, sorting) in the order in which a tree view shows them."""
-    up = closure(tree).join(tree.select(F.col("id").alias("ancestor"), "sorting"), "ancestor")
-    path = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "sorting", "ancestor"))), lambda x: F.concat(F.lpad(x["sorting"].cast("string"), 12, "0"), F.lpad(x["ancestor"].cast("string"), 12, "0")))
-    return up.groupBy("id").agg(F.max("depth").alias("depth"), F.array_join(path, "/").alias("at"))
+    own = F.filter("up", lambda x: x["there"])
+    path = F.transform(F.reverse(own), lambda x: F.concat(F.lpad(x["sorting"].cast("string"), 12, "0"), F.lpad(x["id"].cast("string"), 12, "0")))
+    return lineage(tree, "sorting").select("id", (F.size(own) - 1).alias("depth"), F.array_join(path, "/").alias("at"))
 
 
 def owning_pages(changes: DataFrame, articles: DataFrame, elements: DataFrame) -> DataFrame:

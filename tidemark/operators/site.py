@@ -3,57 +3,97 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import basename, extension
 
+from .scratch import written
+
 MOST_DEPTH = 50
 #: File kinds that are indexed, and folders left out by default.
 EXTENSIONS = ("pdf", "txt", "md", "docx", "odt", "rtf")
 DEFAULT_EXCLUDED = ("files/intern/**", "files/admin/**", "files/private/**")
 
 
+def lineage(tree: DataFrame, *columns: str) -> DataFrame:
+    """id, up: of every node of a tree (id, pid, ...) itself and its ancestors, nearest first, each with its id, `there` and columns.
+
+    At most MOST_DEPTH ancestors, so a cycle ends; a parent that the tree lacks is the last, without `there`. Made by
+    doubling: each round puts behind a node's ancestors those of the last of them, so a tree of depth n takes log2(n)
+    joins, and a row a node whatever its depth. Children of one node meet its one row: Spark splits such a join where it is skewed.
+    """
+    entry = lambda i, there, values: F.struct(i.alias("id"), F.lit(there).alias("there"), *values)
+    none = [F.lit(None).cast(tree.schema[c].dataType).alias(c) for c in columns]
+    state = tree.select("id", F.array(entry(F.col("id"), True, columns)).alias("up"), F.when(F.col("pid") != 0, F.col("pid")).alias("next"))
+    while True:
+        state = written(state, "lineage")
+        if state.where("next IS NOT NULL").isEmpty():
+            return state.select("id", "up")
+        above = state.select(F.col("id").alias("__id"), F.col("up").alias("more"), F.col("next").alias("then"))
+        met = state.join(above, F.col("next") == F.col("__id"), "left")
+        more = F.coalesce("more", F.array(entry(F.col("next"), False, none)))
+        up = F.when(F.col("next").isNull(), F.col("up")).otherwise(F.slice(F.concat("up", more), 1, MOST_DEPTH + 1))
+        state = met.select("id", up.alias("up"), "next", "then").select("id", "up", F.when(F.col("next").isNotNull() & (F.size("up") <= MOST_DEPTH), F.col("then")).alias("next"))
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """id, ancestor, depth (0: itself) of every node, at most MOST_DEPTH up; a cycle ends there."""
-    spark, view = tree.sparkSession, f"tidemark_tree_{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs: a tree may have any number of rows, the depth is bounded below
-    tree.select("id", "pid").createOrReplaceTempView(view)
-    out = spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, depth) AS (
-          SELECT id, id, 0 FROM {view}
-          UNION ALL
-          SELECT up.id, t.pid, up.depth + 1 FROM up JOIN {view} t ON t.id = up.ancestor
-          WHERE t.pid <> 0 AND up.depth < {MOST_DEPTH}
-        ) SELECT id, ancestor, depth FROM up""")
-    spark.catalog.dropTempView(view)
-    return out
+    return lineage(tree).select("id", F.posexplode("up").alias("depth", "a")).select("id", F.col("a.id").alias("ancestor"), "depth")
+
+
+def _above(test) -> Column:
+    """The nodes on the way up, of those that are there, that satisfy a test."""
+    return F.filter("up", lambda x: x["there"] & F.coalesce(test(x), F.lit(False)))
+
+
+#: Columns of a tree that say what a page takes from its ancestors.
+INHERITED = ("protected", "grp", "language", "title", "url_suffix", "pid")
+
+
+def inherited(tree: DataFrame, enabled: list[str], suffix: str = ".html") -> DataFrame:
+    """id, is_protected, allowed_groups, locale, breadcrumb, suffix (null: under no root) of every page, from one lineage."""
+    return lineage(tree, *INHERITED).select("id", *_rights(), _locale(enabled), _breadcrumb(), _suffix(suffix))
+
+
+def _rights() -> list[Column]:
+    closed = _above(lambda x: x["protected"])
+    groups = F.array_compact(F.array_distinct(F.transform(closed, lambda x: x["grp"])))
+    return [(F.size(closed) > 0).alias("is_protected"), F.sort_array(groups).alias("allowed_groups")]
+
+
+def _locale(enabled: list[str]) -> Column:
+    near = F.try_element_at(_above(lambda x: x["language"] != ""), F.lit(1))["language"]
+    return F.when(near.isin(enabled), near).otherwise(enabled[0]).alias("locale")
+
+
+def _breadcrumb() -> Column:
+    return F.array_join(F.reverse(F.transform(_above(lambda x: F.lit(True)), lambda x: x["title"])), " › ").alias("breadcrumb")
+
+
+def _suffix(default: str) -> Column:
+    root = F.try_element_at(_above(lambda x: x["pid"] == 0), F.lit(1))
+    return F.when(root.isNotNull(), F.coalesce(F.nullif(root["url_suffix"], F.lit("")), F.lit(default))).alias("suffix")
 
 
 def page_permissions(tree: DataFrame) -> DataFrame:
     """id, is_protected, allowed_groups: protected if any ancestor is; only protected ancestors give groups."""
-    up = closure(tree).join(tree.select(F.col("id").alias("ancestor"), "protected", "grp"), "ancestor")
-    return up.groupBy("id").agg(F.bool_or("protected").alias("is_protected"), F.sort_array(F.collect_set(F.when(F.col("protected"), F.col("grp")))).alias("allowed_groups"))
+    return lineage(tree, "protected", "grp").select("id", *_rights())
 
 
 def page_locales(tree: DataFrame, enabled: list[str]) -> DataFrame:
     """id, locale: the nearest language on the way up, if enabled, else the first enabled one."""
-    up = closure(tree).join(tree.select(F.col("id").alias("ancestor"), "language"), "ancestor").where("language IS NOT NULL AND language <> ''")
-    near = up.groupBy("id").agg(F.min_by("language", "depth").alias("found"))
-    return tree.select("id").join(near, "id", "left").select("id", F.when(F.col("found").isin(enabled), F.col("found")).otherwise(enabled[0]).alias("locale"))
+    return lineage(tree, "language").select("id", _locale(enabled))
 
 
 def breadcrumbs(tree: DataFrame) -> DataFrame:
-    up = closure(tree).join(tree.select(F.col("id").alias("ancestor"), "title"), "ancestor")
-    return up.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "title"))), lambda x: x["title"]), " › ").alias("breadcrumb"))
+    return lineage(tree, "title").select("id", _breadcrumb())
 
 
 def url_suffixes(tree: DataFrame, default: str = ".html") -> DataFrame:
-    """id, suffix: the root's own, else the site's."""
-    up = closure(tree).join(tree.select(F.col("id").alias("ancestor"), "url_suffix", "pid"), "ancestor").where("pid = 0")
-    return up.select("id", F.coalesce(F.nullif("url_suffix", F.lit("")), F.lit(default)).alias("suffix"))
+    """id, suffix: the root's own, else the site's; pages under no root have none."""
+    return lineage(tree, "url_suffix", "pid").select("id", _suffix(default)).where("suffix IS NOT NULL")
 
 
 def glob(pattern: str) -> str:

@@ -48,6 +48,11 @@ class Versioned:
         at = self._at(folder)
         return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def _names_of(self, folder: str) -> list[str]:
+        """What a folder anywhere holds; nothing if it is not there."""
+        at = self._hadoop.fs.Path(folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def version(self) -> int:
         """The number of the latest manifest; 0 before the first write."""
         return max((int(n) for n in self._names("log") if n.isdigit()), default=0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import uuid
 import zipfile
 from dataclasses import replace
@@ -22,7 +23,7 @@ from tidemark.operators import site as W
 from tidemark.operators import tagging as G
 from tidemark.plans import oracle as O
 from tidemark.plans.registry import ENABLED, _labelled, query
-from tidemark.plans.registry import _BAD, _GOOD, _INDEXABLE, _ITEMS, _MEMBER, _R, _SQUEEZE, _items
+from tidemark.plans.registry import _BAD, _GOOD, _INDEXABLE, _ITEMS, _MEMBER, _R, _SQUEEZE, _TOXIC, _items
 from tidemark.sources import extract as X
 from tidemark.sources import site as src
 from tidemark.streaming import feeds
@@ -690,13 +691,38 @@ def live_off(spark, d):
 
 @query("SELECT 0::BIGINT AS batch, count(*) AS rows, false AS active FROM documents")
 def stream_heartbeat(spark, d):
-    """What a drained stream says of its last batch."""
+    """What a run told of itself while it was on, from the rows that a listener wrote."""
     changes = src.search_docs(spark, d, streaming=True).withColumns({"op": F.lit("upsert"), "ts": F.col("indexed_at")}).drop("doc_id")
     store = feeds.scratch_store(spark)
-    q = feeds.follow(changes, store, f"{store.path}-progress")
-    q.awaitTermination()
-    told = feeds.heartbeat(q)
-    return spark.createDataFrame([(told["batch"], told["rows"], told["active"])], "batch long, rows long, active boolean")
+    listener = feeds.Progress(spark, f"{store.path}-told")
+    spark.streams.addListener(listener)
+    try:
+        q = feeds.follow(changes, store, f"{store.path}-progress")
+        q.awaitTermination()
+        told = lambda: feeds.run_progress(spark.read.schema(feeds.PROGRESS).parquet(listener.folder))
+        for _ in range(100):  # the last event comes a moment after the end
+            if store._names_of(listener.folder) and not told().where("state IN ('ended', 'failed')").isEmpty():
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    return told().select(F.col("last_batch").alias("batch"), "rows", (~F.col("state").isin("ended", "failed")).alias("active"))
+
+
+_OLDER = f"{O.DOCS} SELECT id, locale, CASE WHEN {_GOOD} AND NOT ({_TOXIC}) THEN 'newer' ELSE title END AS title FROM docs WHERE NOT ({_TOXIC})"
+
+
+@query(f"WITH {_OLDER}")
+def stream_out_of_order(spark, d):
+    """Changes that come late: documents with good labels have a newer title, toxic ones are deleted, and then older changes of all come."""
+    store = feeds.scratch_store(spark)
+    old = src.search_docs(spark, d, streaming=True).withColumns({"op": F.lit("upsert"), "ts": F.col("indexed_at")})
+    newer = _labelled(spark, d, "quality = 1 OR toxic = 1").join(src.read(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+    newer = newer.withColumns({"title": F.lit("newer"), "ts": F.col("indexed_at") + 5, "op": F.when(F.col("toxic") == 1, "delete").otherwise("upsert")}).drop("toxic", "doc_id")
+    feeds.apply_changes(newer, store, "first")
+    feeds.follow(old.drop("doc_id"), store, f"{store.path}-progress").awaitTermination()
+    feeds.apply_changes(newer.withColumns({"title": F.lit("oldest"), "ts": F.col("ts") - 9, "op": F.lit("upsert")}), store, "late")
+    return store.read().select("id", "locale", "title")
 
 
 @query(f"WITH {O.DOCS} SELECT id, {'{}'} AS reason FROM docs".format("CASE WHEN doc_id % 5 = 0 THEN 'pattern_excluded' END"))

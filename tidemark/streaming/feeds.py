@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidemark.operators.scratch import scratch, written
 from tidemark.operators.site import valid_events
 from tidemark.operators.store import Store, routed
 
@@ -21,30 +24,108 @@ def windowed_analytics(events: DataFrame, late: str = "1 hour", size: str = "1 d
     return out.select(F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz"))).alias("day"), "q", "locale", "n", "zero", "results")
 
 
-def apply_changes(batch: DataFrame, store: Store) -> None:
+def last_of_batch(batch: DataFrame) -> DataFrame:
+    """One change an id: that with the largest ts, of those a deletion last."""
+    w = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("op"))
+    return batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+class Ledger:
+    """Which version (ts) of an id a store has seen last, deletions too: Parquet beside the store, a folder for each batch.
+
+    A batch writes its ids before the store takes them and leaves its own folder out when it reads, so one that runs
+    again decides as before. Once there are MOST of them, folders become one with a row an id.
+    """
+
+    MOST = 16
+
+    def __init__(self, store: Store):
+        self.store, self.path = store, f"{store.path}/versions"
+
+    def _folders(self) -> list[str]:
+        return self.store._names("versions")
+
+    def _read(self, names: list[str]) -> DataFrame | None:
+        return self.store.spark.read.schema("id string, ts long").parquet(*(f"{self.path}/{n}" for n in names)) if names else None
+
+    def newer(self, changes: DataFrame, batch: str) -> DataFrame:
+        """The changes that are not older than what was seen of their id; what is left is noted under the batch's name."""
+        known = self._read([n for n in self._folders() if n != f"batch-{batch}"])
+        if known is not None:
+            seen = known.join(changes.select("id"), "id", "left_semi").groupBy("id").agg(F.max("ts").alias("__seen"))
+            changes = changes.join(seen, "id", "left").where("__seen IS NULL OR ts >= __seen").drop("__seen")
+        changes = written(changes, "changes")
+        changes.select("id", F.col("ts").cast("long").alias("ts")).write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
+        return changes
+
+    def compact(self) -> None:
+        """Many folders into one. The new one is written before the old ones go; seeing both for a while changes nothing."""
+        names = self._folders()
+        if len(names) >= self.MOST:
+            one = self._read(names).groupBy("id").agg(F.max("ts").alias("ts"))
+            one.write.parquet(f"{self.path}/all-{uuid.uuid4().hex}")
+            for n in names:
+                self.store._fs.delete(self.store._at(f"versions/{n}"), True)
+
+
+def apply_changes(batch: DataFrame, store: Store, name: str | None = None) -> None:
     """One micro-batch of documents with op (upsert or delete) and ts: the last change of an id counts.
 
-    Running a batch again gives the same store, so a restart is safe.
+    An older change that comes in a later batch counts for nothing, also where the newer one was a deletion; of equal ts the
+    later batch counts. name is the batch's own: running it again gives the same store, so a restart is safe.
     """
-    w = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("op"))
-    last = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    ledger = Ledger(store)
+    last = ledger.newer(last_of_batch(batch), name or uuid.uuid4().hex)
     store.apply(routed(last).withColumn("__gone", F.col("op") == "delete").drop("op", "ts"))
+    ledger.compact()
 
 
 def follow(changes: DataFrame, store: Store, checkpoint: str):
     """A streaming query that keeps the store up to date with a stream of changes."""
-    return changes.writeStream.foreachBatch(lambda batch, _: apply_changes(batch, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    feed = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+    return changes.writeStream.foreachBatch(lambda batch, n: apply_changes(batch, store, f"{feed}-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+class Progress(StreamingQueryListener):
+    """Writes what streams say of themselves to a folder as it happens: a row at the start, for each batch, and at the end.
+
+    Events of several streams may come at a time, and a folder takes one writer: they wait for each other.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._one = spark, folder, threading.Lock()
+
+    def _keep(self, run, state: str, batch: int = -1, rows: int = 0, rate: float = 0.0, error: str | None = None) -> None:
+        values = (str(run), state, batch, rows, float(rate or 0.0), error)
+        with self._one:
+            self.spark.createDataFrame([values], "run string, state string, batch long, rows long, rate double, error string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def onQueryStarted(self, event) -> None:
+        self._keep(event.runId, "started")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._keep(p.runId, "running", p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        self._keep(event.runId, "idle")
+
+    def onQueryTerminated(self, event) -> None:
+        self._keep(event.runId, "failed" if event.exception else "ended", error=event.exception)
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where driver and executors are one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+PROGRESS = "run string, state string, batch long, rows long, rate double, error string, at timestamp"
+
+
+def run_progress(rows: DataFrame) -> DataFrame:
+    """run, state, batches, rows, last_batch, seen of every run, from rows of Progress: what a reader of a running one sees.
+
+    A state is the last that was told: started, running, idle, then ended or failed. A batch that ran again counts once.
+    """
+    rank = F.when(F.col("state").isin("ended", "failed"), 2).when(F.col("state") == "started", 0).otherwise(1)
+    each = rows.groupBy("run", "batch").agg(F.max("rows").alias("rows"), F.max(F.struct(rank.alias("rank"), "at", "state")).alias("last"))
+    out = each.groupBy("run").agg(F.max("last").alias("last"), F.count_if(F.col("batch") >= 0).alias("batches"), F.sum("rows").alias("rows"), F.max("batch").alias("last_batch"))
+    return out.select("run", "last.state", "batches", "rows", "last_batch", F.col("last.at").alias("seen"))
 
 
 def scratch_store(spark: SparkSession) -> Store:
@@ -78,10 +159,3 @@ def record_events(events: DataFrame, folder: str) -> None:
 
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
-
-
-def heartbeat(query) -> dict:
-    """What a running stream says of itself: batch, rows so far in it, rows a second, whether it is at work."""
-    p = query.lastProgress
-    rate = (p or {}).get("processedRowsPerSecond") or 0.0
-    return {"batch": (p or {}).get("batchId", -1), "rows": (p or {}).get("numInputRows", 0), "rate": rate, "active": bool(query.isActive)}
