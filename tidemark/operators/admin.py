@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,21 @@ def index_config(locale: str, strictness: str = "balanced", synonyms: dict[str,
     return IndexConfig(locale, strictness, ATTRIBUTES, tuple(sorted(FILTERABLE)), tuple(sorted(SORTABLE)), RULES, *TYPO_LENGTHS[strictness], strictness != "strict", words)
 
 
+def index_configs(locales: DataFrame, strictness: str = "balanced", synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """locale, config (JSON) of every locale of a table: what index_config() says, made where the rows are."""
+    text = lambda c: json.dumps({k: v for k, v in asdict(c).items() if k != "locale"}, sort_keys=True, ensure_ascii=False)
+    german, other = (F.lit(text(index_config(x, strictness, synonyms))) for x in ("de", ""))
+    return locales.select("locale").where("locale IS NOT NULL").distinct().select("locale", F.when(F.col("locale") == "de", german).otherwise(other).alias("config"))
+
+
+def ensured(kept: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """locale, config, changed: the settings of all indexes once those that are wanted are set; equal ones are left alone."""
+    if kept is None:
+        return wanted.select("locale", "config", F.lit(True).alias("changed"))
+    both = kept.select("locale", F.col("config").alias("was")).join(wanted.select("locale", F.col("config").alias("new")), "locale", "full")
+    return both.select("locale", F.coalesce("new", "was").alias("config"), (F.col("new").isNotNull() & ~F.col("was").eqNullSafe(F.col("new"))).alias("changed"))
+
+
 def error_names(code: Column) -> Column:
     """The names of failed requests by their codes; unknown ones are 500's."""
     out = F.lit(ERRORS[500])

@@ -113,6 +113,13 @@ def move_locale(documents: DataFrame, changes: DataFrame, enabled: list[str], de
     return documents.join(told, "id").where("NOT new <=> locale").withColumn("locale", F.col("new")).drop("new")
 
 
+def carry_moves(store: Store, changes: DataFrame, enabled: list[str], default: str) -> None:
+    """Moves documents of the store to the locales that their files got: one change, after which each is where it belongs."""
+    current = configured(store).read()
+    if current is not None:
+        store.upsert(move_locale(current.drop("index_locale"), changes, enabled, default))
+
+
 def seeded_folders(folders: DataFrame) -> DataFrame:
     """path, uuid of the folders (id, uuid, path, type) that a new site leaves out: one row a path, the smallest id."""
     there = folders.where((F.col("type") == "folder") & F.col("path").isin(*SEEDED) & F.col("uuid").isNotNull())

@@ -13,7 +13,7 @@ import re
 import uuid
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,12 @@ def index_name(prefix: str, locale: str) -> str:
     return name
 
 
+def index_names(prefix: str, locale: Column) -> Column:
+    """index_name() of a column of locales; null where it is no index name."""
+    name = F.concat(F.lit(f"{prefix}_"), F.substring(F.regexp_replace(F.lower(locale), "[^a-z]", ""), 1, 5))
+    return F.when(name.rlike(r"^t_[a-f0-9]{16}_[a-z]{2,5}$"), name)
+
+
 def routed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("index_locale", F.regexp_extract(F.lower("locale"), "^[a-z]{2,3}", 0))
 

@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import ACCENTED, FOLDED
+from tidemark.operators.site import EXTENSIONS
+
 #: Bounds of what is parsed, and the seconds that one file may take.
 PARSE_SECONDS = 20
 EDGE, COMPLEX_FROM, MOST_STREAMS, MEMORY_FACTOR, MOST_MEMORY = 65536, 2 << 20, 1500, 120, 1280
@@ -161,18 +164,61 @@ def extracted(kind: Column, content: Column, most_mb: int = 50, parse_pdf: Calla
     return run(kind, content)
 
 
-def read_files(spark: SparkSession, folder: str, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """path, size, text, reason of every file under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def _kinds_glob(kinds: tuple[str, ...]) -> str:
+    """A file-name pattern of extensions in any case."""
+    return "{" + ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in k) for k in kinds) + "}"
+
+
+def listed(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """path, length, modificationTime, content of the files under a folder; what a query does not select is not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+
+
+def read_files(spark: SparkSession, folder: str, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None, kinds: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """path, size, text, reason of every file under a folder.
+
+    Only files of the kinds, and no larger than what is parsed, are opened: a listing of the folder gives the others
+    their reasons. Kind and size reach the scan; each task opens its own files. Files of no bytes have no row, as
+    Spark's file sources leave them out.
+    """
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.withColumn("e", extracted(kind, F.col("content"), most_mb, parse_pdf)).select("path", F.col("length").alias("size"), "e.text", "e.reason")
+    most = most_mb << 20
+    opened = listed(spark, folder, _kinds_glob(kinds)).where(F.col("length") <= most)
+    opened = opened.withColumn("e", extracted(kind, F.col("content"), most_mb, parse_pdf)).select("path", F.col("length").alias("size"), "e.text", "e.reason")
+    mb = F.ceil(F.col("length") / (1 << 20)).cast("string")
+    why = F.when(~kind.isin(*kinds), F.concat(F.lit("unsupported_extension_"), kind)).otherwise(F.concat(F.lit("file_too_large_"), mb, F.lit("_mb")))
+    closed = listed(spark, folder).where(~kind.isin(*kinds) | (F.col("length") > most))
+    return opened.unionByName(closed.select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("text"), why.alias("reason")))
+
+
+def below(path: Column, folder: str) -> Column:
+    """A path as it is below a folder."""
+    return F.regexp_replace(path, f"^.*{re.escape(folder.split('://')[-1].strip('/'))}/?", "")
 
 
 def public_markers(spark: SparkSession, folder: str) -> DataFrame:
-    """path (below the folder) of every folder that holds a file named .public; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".public").load(folder).select("path")
-    root = folder.split("://")[-1].rstrip("/")
-    return found.select(F.regexp_replace(F.regexp_replace("path", "/\\.public$", ""), f"^.*{re.escape(root)}/?", "").alias("path"))
+    """path (below the folder) of every folder that holds a file named .public; no file is opened.
+
+    Spark's readers leave out names with a leading dot, so the file system itself is asked, level by level as deep as there
+    are files; only markers come to the driver.
+    """
+    root = folder.rstrip("/")
+    depth = listed(spark, folder).agg(F.max(F.size(F.split(below(F.col("path"), folder), "/")))).first()[0] or 1
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = files.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(s.getPath().getParent()) for level in range(depth) for s in system.globStatus(files.Path(f"{root}/{'*/' * level}.public")) or []]
+    return spark.createDataFrame([(p,) for p in found], "path string").select(below(F.col("path"), folder).alias("path"))
+
+
+def site_files(spark: SparkSession, folder: str, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """path (below the folder), size, text, reason, public of every file: public if a folder above holds a marker (markers: path)."""
+    found = read_files(spark, folder, most_mb, parse_pdf).withColumn("path", below(F.col("path"), folder))
+    marked = (public_markers(spark, folder) if markers is None else markers).select(F.col("path").alias("folder")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    public = found.select("path", F.explode(above).alias("folder")).join(marked, "folder", "left_semi").select("path").distinct().withColumn("public", F.lit(True))
+    return found.join(public, "path", "left").withColumn("public", F.coalesce("public", F.lit(False)))
 
 
 REASONS = (("file_too_large_", "The file is too large"), ("pdf_too_big_for_memory_", "The PDF needs too much memory"), ("parse_failed", "The PDF could not be parsed"), ("parse_timeout_", "The PDF took too long"), ("unsupported_extension_", "This kind of file is not indexed"), ("empty_", "The file has no text"), ("docx_", "The document is empty or damaged"), ("odt_", "The document is empty or damaged"), ("rtf_", "The document is empty or damaged"), ("pdf_", "The PDF is damaged or too complex"))
@@ -183,3 +229,22 @@ def humanized(reason: Column) -> Column:
     for prefix, text in REASONS:
         out = out.when(reason.startswith(prefix), text)
     return out.otherwise(reason)
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Makes table functions known to the session's SQL, for LATERAL joins; returns their names.
+
+    extract_text(kind, content): text, reason of a file. text_words(text): pos, tok of a text's folded words; nulls for one without.
+    """
+    _reachable()
+
+    @F.udtf(returnType="text string, reason string")
+    class ExtractText:
+        def eval(self, kind: str, content: bytes):
+            yield extract(kind or "", None if content is None else bytes(content))
+
+    spark.udtf.register("extract_text", ExtractText)
+    folded = f"replace(translate(lower(coalesce(s, '')), '{ACCENTED}', '{FOLDED}'), 'ß', 'ss')"
+    words = f"filter(split({folded}, r'[^\\p{{L}}\\p{{N}}]+'), t -> t <> '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_words(s STRING) RETURNS TABLE(pos INT, tok STRING) RETURN SELECT pos, col FROM (SELECT posexplode_outer({words}))")
+    return ["extract_text", "text_words"]
