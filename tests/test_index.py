@@ -46,7 +46,7 @@ def test_deletions_meet_where_words_are_near(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(4, 11))) for _ in range(120)]
     df = spark.createDataFrame([(w,) for w in words], "w string").distinct()
-    got = {r.w: (set(r.f1), set(r.f2)) for r in df.select("w", I.deletions(F.col("w"), 1).alias("f1"), I.deletions(F.col("w"), 2).alias("f2")).collect()}
+    got = {r.w: (set(r.f1), set(r.f2)) for r in df.select("w", I.deletions("w", 1).alias("f1"), I.deletions("w", 2).alias("f2")).collect()}
     assert all((I.forms_of(w, 1), I.forms_of(w, 2)) == f for w, f in got.items())
     pairs = df.crossJoin(df.withColumnRenamed("w", "x")).select("w", "x", F.levenshtein("w", "x").alias("d")).where("d <= 2").collect()
     assert len(pairs) > 500 and all(got[r.w][r.d - 1] & got[r.x][1] for r in pairs if r.d)

@@ -37,17 +37,16 @@ SCHEMAS = {
 }
 
 
-def deletions(word: Column, k: int = 2) -> Column:
-    """What is left of a word's first FORM_LENGTH letters when up to k are taken out.
+def deletions(name: str, k: int = 2) -> Column:
+    """What is left of the first FORM_LENGTH letters of a column's word when up to k are taken out.
 
     Words within an edit distance of k share one of these: of what both have in common in order, the first letters.
     """
-    out = level = F.array(F.substring(word, 1, FORM_LENGTH))
-    for _ in range(k):
-        less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), w.substr(i + 1, F.lit(FORM_LENGTH))))
-        level = F.array_distinct(F.flatten(F.transform(level, less)))
-        out = F.array_union(out, level)
-    return out
+    out = [(0, 0)] + [(i, j) for j in range(1, FORM_LENGTH + 1) for i in range(j if k > 1 else 1)]
+    w = f"substring({name}, 1, {FORM_LENGTH})"
+    left = f"CASE WHEN p.j = 0 THEN {w} WHEN p.i = 0 THEN concat(left({w}, p.j - 1), substring({w}, p.j + 1)) ELSE concat(left({w}, p.i - 1), substring({w}, p.i + 1, p.j - p.i - 1), substring({w}, p.j + 1)) END"
+    places = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i, j in out)
+    return F.expr(f"array_distinct(transform(filter(array({places}), p -> p.j <= length({name})), p -> {left}))")
 
 
 def forms_of(word: str, k: int) -> set[str]:
@@ -94,8 +93,12 @@ class SearchIndex(Versioned):
         peaks.select("tok", "block", "docs", "attr", F.col("newest").cast("long").alias("newest"), "n").write.parquet(at("peaks"))
         whole = self.spark.read.schema(SCHEMAS["peaks"] + ", n long").parquet(at("peaks"))
         whole.groupBy("tok").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(at("words"))
-        long = table("words").where(F.length("tok") >= FORM_LEAST)
-        long.select(F.explode(deletions(F.col("tok"))).alias("form"), "tok").repartitionByRange("form", "tok").sortWithinPartitions("form", "tok").write.parquet(at("forms"))
+        # a word that two typos may lead to is as long as the shortest query word with two, less these
+        two = F.when(F.length("tok") >= min(n for _, n in TYPO_LENGTHS.values()) - 2, deletions("tok")).otherwise(deletions("tok", 1))
+        # dealt anew: a file of words is one task, and each word makes dozens of rows
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        long = table("words").where(F.length("tok") >= FORM_LEAST).repartition(tasks, "tok")
+        long.select(F.explode(two).alias("form"), "tok").repartitionByRange("form", "tok").sortWithinPartitions("form", "tok").write.parquet(at("forms"))
         return rows.agg(F.count("*"), F.count_distinct("block")).first()
 
     def _segment(self, docs: DataFrame, seq: int) -> dict:
@@ -341,7 +344,7 @@ class SearchIndex(Versioned):
         begun = asked.where("prefix").withColumn("head", head).join(starts, "head").where(F.col("tok").startswith(F.col("word"))).drop("head").withColumn("typos", F.lit(0))
         mistyped = None
         for most in (1, 2):
-            left = asked.where(F.col("k") == most).withColumn("form", F.explode(deletions(F.col("word"), most)))
+            left = asked.where(F.col("k") == most).withColumn("form", F.explode(deletions("word", most)))
             near = left.join(forms, "form").drop("form").withColumn("typos", F.levenshtein("tok", "word")).where((F.col("typos") <= most) & (F.abs(F.length("tok") - F.length("word")) <= most))
             mistyped = near if mistyped is None else mistyped.unionByName(near)
         terms = same.unionByName(begun).unionByName(mistyped).groupBy("query_id", "n", "qi", "tok").agg(F.min("typos").alias("typos"), F.max((F.col("word") == F.col("tok")).cast("int")).alias("exact"))
