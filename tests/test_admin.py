@@ -64,3 +64,13 @@ def test_windows_of_a_stream_without_events(spark, tmp_path):
     schema = "q string, locale string, results int, ts timestamp"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
     assert feeds.run_windowed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).count() == 0
+
+
+def test_suggested_tags_and_tags_of_keywords(spark):
+    from tidemark.operators import tagging as G
+
+    tags = spark.createDataFrame([(1, "Große Bären"), (2, "Bär"), (3, "baer-en"), (4, None)], "tag_id long, label string")
+    assert [r.tag_id for r in G.suggested(tags, " BÄR").collect()] == [2, 1]
+    assert [r.tag_id for r in G.suggested(tags, "baer").collect()] == [2, 1, 3] and G.suggested(tags, "", 2).count() == 2
+    rows = spark.createDataFrame([("Bär, news ,,",), (" bär,News",), (None,), ("",)], "k string")
+    assert {(r.slug, r.label, r.n) for r in G.from_keywords(F.col("k"), rows).collect()} == {("baer", "Bär", 2), ("news", "News", 2)}

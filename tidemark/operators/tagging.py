@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slugify
@@ -61,3 +61,16 @@ def bulk_assign(tags: DataFrame, assignments: DataFrame, wanted: DataFrame) -> t
     all_tags = ensured(tags, asked.select("label"))
     ids = asked.withColumn("slug", slugify(F.col("label"))).join(all_tags.select("tag_id", "slug"), "slug").select("tag_id", "target_type", "target_id").distinct()
     return all_tags, assign(assignments.select("tag_id", "target_type", "target_id"), ids), ids.select("target_type", "target_id").distinct()
+
+
+def suggested(tags: DataFrame, typed: str, n: int = 20) -> DataFrame:
+    """The first n tags (tag_id, label) by label whose label or slug holds what was typed; nothing typed suggests any."""
+    text = typed.strip().lower()
+    return tags.where(F.lower("label").contains(text) | slugify(F.col("label")).contains(text)).orderBy("label", "tag_id").limit(n)
+
+
+def from_keywords(keywords: Column, rows: DataFrame) -> DataFrame:
+    """slug, label, n of the tags that comma-separated keywords of rows stand for: equal slugs are one tag, its label the first in order."""
+    word = rows.select(F.explode(F.split(keywords, ",")).alias("w")).select(F.trim("w").alias("label"))
+    named = word.withColumn("slug", slugify(F.col("label"))).where("slug <> ''")
+    return named.groupBy("slug").agg(F.min("label").alias("label"), F.count("*").alias("n"))

@@ -232,8 +232,7 @@ def tag_counts(spark, d):
 
 @query(f"WITH {O.TAGS} SELECT tag_id, label FROM tags WHERE contains(lower(label), 'small') OR contains({O.slug('label')}, 'small') ORDER BY label, tag_id LIMIT 20")
 def tag_suggest(spark, d):
-    t = src.tags(spark, d)
-    return t.where(F.lower("label").contains("small") | T.slugify(F.col("label")).contains("small")).orderBy("label", "tag_id").limit(20)
+    return G.suggested(src.tags(spark, d), " Small")
 
 
 @query(f"WITH {O.TAGS} SELECT a.target_id, string_agg(t.label, '|' ORDER BY t.label) AS labels FROM assigned a JOIN tags t USING (tag_id) GROUP BY a.target_id")
@@ -251,8 +250,7 @@ def tag_targets(spark, d):
 
 @query(f"SELECT {O.slug('w')} AS slug, min(w) AS label, count(*) AS n FROM (SELECT trim(unnest(string_split(p_brand || ',' || p_type || ', ' || p_name, ','))) AS w FROM part) WHERE {O.slug('w')} <> '' GROUP BY 1")
 def tag_migration(spark, d):
-    w = src.read(spark, d, "part").select(F.explode(F.split(F.concat_ws(",", "p_brand", "p_type", F.concat(F.lit(" "), "p_name")), ",")).alias("w"))
-    return w.withColumn("w", F.trim("w")).withColumn("slug", T.slugify(F.col("w"))).where("slug <> ''").groupBy("slug").agg(F.min("w").alias("label"), F.count("*").alias("n"))
+    return G.from_keywords(F.concat_ws(",", "p_brand", "p_type", F.concat(F.lit(" "), "p_name")), src.read(spark, d, "part"))
 
 
 @query(f"SELECT doc_id, {O.slug('text')} AS slug FROM documents")

@@ -403,15 +403,12 @@ def locale_moves(spark, d):
 
 @query("SELECT DISTINCT lang AS locale, 'strict' AS strictness, 8 AS one_typo, 12 AS two_typos, false AS prefixes, false AS written_again FROM documents")
 def index_settings(spark, d):
-    """Each locale's settings, kept beside the store; writing equal ones again does nothing."""
-    store, locales = feeds.scratch_store(spark), [r.lang for r in src.read(spark, d, "documents").select("lang").distinct().collect()]
-    rows = []
-    for locale in locales:
-        config = A.index_config(locale, "strict")
-        store.ensure(config)
-        again, kept = store.ensure(config), store.config(locale)
-        rows.append((locale, kept["strictness"], kept["one_typo"], kept["two_typos"], kept["prefixes"], again))
-    return spark.createDataFrame(rows, "locale string, strictness string, one_typo int, two_typos int, prefixes boolean, written_again boolean")
+    """Each locale's settings, kept as a table; setting equal ones again changes nothing."""
+    wanted = A.index_configs(src.read(spark, d, "documents").select(F.col("lang").alias("locale")), "strict")
+    path = f"{feeds.scratch(spark)}/settings-{uuid.uuid4().hex}"
+    A.ensured(None, wanted).write.parquet(path)
+    told = A.ensured(spark.read.parquet(path), wanted).withColumn("c", F.from_json("config", "strictness string, one_typo int, two_typos int, prefixes boolean"))
+    return told.select("locale", "c.strictness", "c.one_typo", "c.two_typos", "c.prefixes", F.col("changed").alias("written_again"))
 
 
 @query(f"WITH {O.FILES}, c AS (SELECT id, ['files/intern', 'files/admin', 'files/other'][id % 3 + 1] AS path, id % 2 = 0 AS folder FROM files) SELECT path, md5(min(id)::VARCHAR) AS uuid FROM c WHERE folder AND path <> 'files/other' GROUP BY path")
