@@ -74,6 +74,20 @@ def test_slugify(spark):
     assert df.where(T.slugify(F.col("a")) != F.col("b")).count() == 0
 
 
+def test_references_end_with_a_semicolon(spark):
+    texts = ["a &amp;amp; b&amp", "&amp;&ampx &notit; &copy2", "&#65;&#x42;&#67 &hellip;&nosuch; &am"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.normalize(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert got == ["a &amp; b&amp", "&&ampx &notit; &copy2", "AB&#67 …&nosuch; &am"]
+
+
+def test_long_pages_stay_whole(spark, tmp_path):
+    from tidemark.plans import registry as R
+
+    body = "wörd " * 30000
+    spark.createDataFrame([(1, "http://a/b", f"<html><body><p>{body}</p>end</body></html>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [R.QUERIES[q](spark, str(tmp_path)).first().content for q in ("normalize_html",)] == [body + "end"]
+
+
 def test_normalize_and_display(spark):
     row = spark.createDataFrame([("<p>A&amp;B</p><script>x<y</script>c\u00ad d &lt;b&gt;", "ä" * 40000)], "h string, long string")
     out = row.select(T.normalize(F.col("h")).alias("n"), F.octet_length(T.cut_bytes(F.col("long"), 60001)).alias("cut"), T.unmark(T.highlight(F.lit("a<b The end"), ["the"])).alias("m"), T.crop(F.lit("a b c d x e f"), ["x"], 4).alias("c")).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -87,10 +88,18 @@ def without_markup(c: Column, keep_script_text: bool = False) -> Column:
     return F.regexp_replace(out, "<[^>]*>", "")
 
 
+#: Character references: numbers, and names of HTML 5. One without its semicolon is text, as where a title was cut off.
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 @F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Character references; Spark has no such function."""
-    return s.map(html.unescape, na_action="ignore")
+
+    def meant(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0])
+
+    return s.map(lambda t: _REFERENCE.sub(meant, t), na_action="ignore")
 
 
 def squeeze(c: Column) -> Column:
@@ -105,8 +114,10 @@ def cut_bytes(c: Column, n: int = CONTENT_BYTES) -> Column:
     return F.when(F.octet_length(c) <= n, c).otherwise(cut)
 
 
-def normalize(c: Column, keep_script_text: bool = False, most_bytes: int = CONTENT_BYTES) -> Column:
-    return cut_bytes(squeeze(unescape(without_markup(F.make_valid_utf8(F.coalesce(c, F.lit(""))), keep_script_text))), most_bytes)
+def normalize(c: Column, keep_script_text: bool = False, most_bytes: int | None = CONTENT_BYTES) -> Column:
+    """Plain text of markup: what the index asks for is cut at most_bytes, None leaves it whole."""
+    whole = squeeze(unescape(without_markup(F.make_valid_utf8(F.coalesce(c, F.lit(""))), keep_script_text)))
+    return whole if most_bytes is None else cut_bytes(whole, most_bytes)
 
 
 def headline_text(c: Column) -> Column:
