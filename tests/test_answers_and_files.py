@@ -1,5 +1,6 @@
 """Answers as JSON, folders of files with markers, table functions, moves in the store, settings as tables."""
 
+import hashlib
 import json
 import os
 
@@ -95,3 +96,14 @@ def test_index_names(spark):
                 index_name("t_0123456789abcdef", r.l)
         else:
             assert r.n == index_name("t_0123456789abcdef", r.l)
+
+
+def test_lines_of_written_files_keep_their_order(spark, tmp_path):
+    from tidemark.plans import more_queries as M
+
+    texts = {i: f"text {i * 7919 % 1000}" for i in range(100, 400)}
+    # against the order of ids, and each folder's rows in several files
+    spark.createDataFrame([(i, texts[i]) for i in sorted(texts, reverse=True)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.folder: r.text for r in M.site_files_read(spark, str(tmp_path)).where("reason IS NULL").collect()}
+    want = {f"top={b % 4}/b={b}": hashlib.md5("".join(f"{texts[i]}\n" for i in range(50 * b, 50 * b + 50)).encode()).hexdigest() for b in range(2, 8) if b % 5}
+    assert got == want

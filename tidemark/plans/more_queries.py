@@ -34,7 +34,8 @@ def _written_folder(spark, d) -> str:
     store, i = feeds.scratch_store(spark), F.floor(F.col("doc_id") / 50).cast("long")
     line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     docs = src.read(spark, d, "documents").select("doc_id", line.alias("value"), (i % 5).alias("kind"), (i % 4).alias("top"), i.alias("b"))
-    dealt = docs.repartition("b").sortWithinPartitions("b", "doc_id").drop("doc_id")
+    # the writer's own order first, or it sorts again by its folders and lines change places
+    dealt = docs.repartition("b").sortWithinPartitions("top", "b", "doc_id").drop("doc_id")
     root = f"{store.path}/files"
     dealt.where("kind <> 0").drop("kind").write.partitionBy("top", "b").text(root)
     dealt.where("kind = 0").drop("kind").write.mode("append").partitionBy("top", "b").format("json").save(root)
