@@ -107,3 +107,17 @@ def test_lines_of_written_files_keep_their_order(spark, tmp_path):
     got = {r.folder: r.text for r in M.site_files_read(spark, str(tmp_path)).where("reason IS NULL").collect()}
     want = {f"top={b % 4}/b={b}": hashlib.md5("".join(f"{texts[i]}\n" for i in range(50 * b, 50 * b + 50)).encode()).hexdigest() for b in range(2, 8) if b % 5}
     assert got == want
+
+
+def test_large_files_are_handed_on_a_few_at_a_time(spark):
+    import pandas as pd
+
+    from tidemark.plans import more_queries as M
+    from tidemark.plans import site_queries as Q
+
+    got = list(M._pdf.func(iter([(pd.Series(["large", "null"] * 12), pd.Series(["x"] * 24))])))
+    assert sum(map(len, got)) == 24 and max(sum(len(b) for b in s if b) for s in got) < X.PIECE + (4 << 20)
+    got = list(Q._packed.func(iter([(pd.Series(["txt"] * 40), pd.Series(["x" * (1 << 20)] * 40))])))
+    assert sum(map(len, got)) == 40 and max(s.map(len).sum() for s in got) <= X.PIECE
+    made = spark.range(0, 300, 1, 1).select("id", F.expr("encode(repeat('x', 200000), 'utf-8')").alias("b"))
+    assert made.select(X.extracted(F.lit("txt"), F.col("b")).alias("e")).where("length(e.text) = 200000").count() == 300

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -56,15 +57,17 @@ _MANY = 200
 
 
 @F.pandas_udf(BinaryType())
-def _pdf(kind: pd.Series, text: pd.Series) -> pd.Series:
-    """A PDF of a kind, as far as its checks and the parser below look."""
+def _pdf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A PDF of a kind, as far as its checks and the parser below look; large ones are handed on a few at a time."""
 
     def one(k: str, t: str) -> bytes | None:
         body = {"secured": b"!encrypted", "broken": b"!broken", "pictures": b"!none"}.get(k, t.encode())
         pad = b" " * (3 << 20) if k == "large" else (b"/Length " * 4000 + b" " * (2 << 20)) if k == "complex" else b""
         return None if k == "null" else b"" if k == "empty" else (b"" if k == "headless" else b"%PDF-1.4\n") + body + b"\n" + pad + (b"" if k == "endless" else b"%%EOF")
 
-    return pd.Series([one(k, t) for k, t in zip(kind, text, strict=True)])
+    for kinds, texts in batches:
+        for some in X.pieces((one(k, t) for k, t in zip(kinds, texts, strict=True)), lambda b: len(b or b"")):
+            yield pd.Series(some, dtype="object")
 
 
 def _parse(data: bytes) -> str:

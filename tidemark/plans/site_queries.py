@@ -6,6 +6,7 @@ import io
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 from dataclasses import replace
 
 import pandas as pd
@@ -262,7 +263,7 @@ def file_locale_rules(spark, d):
 
 
 @F.pandas_udf(BinaryType())
-def _packed(kind: pd.Series, text: pd.Series) -> pd.Series:
+def _packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The bytes of a file of some kind that holds a text."""
     import html
 
@@ -276,7 +277,9 @@ def _packed(kind: pd.Series, text: pd.Series) -> pd.Series:
             return b"{\\rtf1\\ansi " + "".join(c if c.isascii() and c not in "\\{}\n" else f"\\u{ord(c)}?" for c in t).encode() + b"}"
         return t.encode() if k != "pdf" else b"%PDF-1.4 no end"
 
-    return pd.Series([one(k, t) for k, t in zip(kind, text, strict=True)])
+    for kinds, texts in batches:
+        for some in X.pieces((one(k, t) for k, t in zip(kinds, texts, strict=True)), len):
+            yield pd.Series(some, dtype="object")
 
 
 _KINDS = ("txt", "md", "docx", "odt", "rtf", "pdf", "exe")

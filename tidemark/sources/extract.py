@@ -11,7 +11,7 @@ import re
 import signal
 import threading
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -29,6 +29,8 @@ _TABS = re.compile(rb"<(?:w:tab|text:tab|text:s)\b[^>]*/>")
 _TAGS = re.compile("<[^>]*>")
 #: Bytes that the parts of a packed file may unpack to.
 MOST_UNPACKED = 256 << 20
+#: Bytes of files or texts that a task hands on at once, and of those that it is handed; rows may be of any size.
+PIECE = 8 << 20
 #: The parts of a docx file that hold text.
 DOCX_PARTS = ("word/document.xml", *(f"word/{kind}{i}.xml" for kind in ("header", "footer") for i in (1, 2, 3)))
 
@@ -144,22 +146,41 @@ def extract(kind: str, data: bytes | None, most_mb: int = 50, parse_pdf: Callabl
 
 
 def _reachable() -> None:
-    """Puts this package on the path of a local session's Python workers; on a cluster it is installed or shipped."""
+    """Puts this package on the path of a local session's Python workers; on a cluster it is installed or shipped.
+
+    Arrow batches end at PIECE bytes, as files may be large.
+    """
     spark = SparkSession.getActiveSession()
     if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE))
         env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
         path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
         if root not in path:
             env["PYTHONPATH"] = os.pathsep.join([root, *path])
 
 
+def pieces(values: Iterable, size: Callable) -> Iterator[list]:
+    """Values in order, in lists of PIECE bytes and the last value: what a task holds doesn't grow with its rows."""
+    out, held = [], 0
+    for v in values:
+        out.append(v)
+        held += size(v)
+        if held >= PIECE:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def extracted(kind: Column, content: Column, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None) -> Column:
     _reachable()
 
     @F.pandas_udf("struct<text string, reason string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for kinds, contents in batches:
-            yield pd.DataFrame([extract(k or "", None if c is None else bytes(c), most_mb, parse_pdf) for k, c in zip(kinds, contents, strict=True)], columns=["text", "reason"])
+            each = (extract(k or "", None if c is None else bytes(c), most_mb, parse_pdf) for k, c in zip(kinds, contents, strict=True))
+            for some in pieces(each, lambda e: len(e[0] or "")):
+                yield pd.DataFrame(some, columns=["text", "reason"])
 
     return run(kind, content)
 
