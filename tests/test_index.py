@@ -123,3 +123,22 @@ def test_an_empty_index(spark, index):
     assert index.rows().count() == 1
     index.delete(one)
     assert index.rows().count() == 0 and hits(index.total_hits(S.Request("a", "tolerant"))) == [(0,)]
+
+
+def test_positions_are_put_together_in_each_document():
+    import pyarrow as pa
+
+    words = [["b", "a", "b"], [], ["c"]], [["a"], [], []], [["b", "x", "x"], ["x"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), *(pa.array(w, pa.list_(pa.string())) for w in words)], ["doc", "a0", "a1", "a2"])
+    got = sorted(tuple(r.values()) for b in I._posted(iter([batch, batch.slice(1, 1), batch.slice(0, 0)])) for r in b.to_pylist())
+    first = [("a", 7, 0, [1], 1), ("a", 7, 1, [0], 0), ("b", 7, 0, [0, 2], 1), ("b", 7, 2, [0], 0), ("c", 9, 0, [0], 1), ("x", 7, 2, [1, 2], 1), ("x", 8, 2, [0], 1)]
+    assert got == sorted([*first, ("x", 8, 2, [0], 1)])
+
+
+def test_index_counts_documents_of_words_also_after_a_merge(spark, index):
+    docs = spark.createDataFrame(documents(1, range(120)), SCHEMA).cache()
+    index.write(docs.where("id < 'd5'"))
+    index.upsert(docs.where("id >= 'd5'"))
+    index.merge()
+    want = {r.tok: (r.n, r.docs) for r in S.vocabulary(docs).collect()}
+    assert {r.tok: (r.n, r.docs) for r in index._all(index._state(), "words").collect()} == want

@@ -15,14 +15,18 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.text import fold, folded
+from tidemark.functions.text import fold, folded, tokens
 
-from .search import SHORT, TYPO_LENGTHS, Request, Token, clamped, facets, likeness, postings, ranking, rewrite, score, user_filter, visible, weighed
+from .scratch import reachable
+from .search import ATTRIBUTES, SHORT, TYPO_LENGTHS, Request, Token, clamped, facets, likeness, ranking, rewrite, score, user_filter, visible, weighed
 from .store import Versioned
 
 #: Documents of a block (a power of two); letters of a word whose deletions are kept, and the shortest such word.
@@ -30,7 +34,7 @@ BLOCK_BITS, FORM_LENGTH, FORM_LEAST = 10, 7, 4
 #: Segments of about one size that are merged; words up to which a scan names them; blocks that are read first.
 TIER, NAMED, FIRST = 4, 1000, 16
 SCHEMAS = {
-    "postings": "tok string, doc long, block long, attr int, pos array<int>",
+    "postings": "tok string, doc long, block long, attr int, pos array<int>, one int",
     "peaks": "tok string, block long, docs long, attr int, newest long",
     "words": "tok string, docs long, n long",
     "forms": "form string, tok string",
@@ -64,6 +68,47 @@ def typos_allowed(token: Token, strictness: str) -> int:
     return 0 if token.exact else 2 if len(token.text) >= two else 1 if len(token.text) >= one else 0
 
 
+def _formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """form, tok: deletions of the words of a vocabulary, which a long expression takes several times as long to make."""
+    # a word that two typos may lead to is as long as the shortest query word with two, less these
+    least = min(n for _, n in TYPO_LENGTHS.values()) - 2
+    for batch in batches:
+        words = batch.column("tok").to_pylist()
+        forms = [forms_of(w, 2 if len(w) >= least else 1) for w in words]
+        at = np.repeat(np.arange(len(words)), [len(f) for f in forms])
+        yield pa.RecordBatch.from_arrays([pa.array([f for some in forms for f in some], pa.string()), batch.column("tok").take(pa.array(at))], ["form", "tok"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tok, doc, attr, pos, one of documents (doc, and the words of each attribute): a word's positions are put together where
+    its document is, so that neither words nor positions are sorted across tasks; one is 1 in a word's first attribute, else 0."""
+    for batch in batches:
+        words, rows, attrs, places = [], [], [], []
+        for attr in range(len(ATTRIBUTES)):
+            lists = batch.column(f"a{attr}")
+            n = np.diff(lists.offsets.to_numpy())
+            words.append(lists.flatten())
+            rows.append(np.repeat(np.arange(len(n), dtype=np.int64), n))
+            attrs.append(np.full(n.sum(), attr, np.int64))
+            places.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        coded = pa.concat_arrays(words).dictionary_encode()
+        if not len(coded):
+            continue
+        code, row = coded.indices.to_numpy().astype(np.int64), np.concatenate(rows)
+        word = row * len(coded.dictionary) + code
+        key = word * len(ATTRIBUTES) + np.concatenate(attrs)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        at = order[starts]
+        word = word[at]
+        positions = pa.ListArray.from_arrays(np.r_[starts, len(key)].astype(np.int32), np.concatenate(places)[order].astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(code[at])), batch.column("doc").take(pa.array(row[at])), pa.array(np.concatenate(attrs)[at].astype(np.int32)), positions, pa.array(np.r_[True, word[1:] != word[:-1]].astype(np.int32))],
+            ["tok", "doc", "attr", "pos", "one"],
+        )
+
+
 class SearchIndex(Versioned):
     """The index in a folder; one writer at a time. Documents are search documents (id, type, locale, title, content, tags, ...)."""
 
@@ -83,30 +128,34 @@ class SearchIndex(Versioned):
         return self.spark.read.schema(placed.withColumn("block", F.col("doc")).schema).parquet(f"{self.path}/{folder}/rows")
 
     def _filled(self, folder: str, posted: DataFrame, rows: DataFrame) -> tuple[int, int]:
-        """Writes the other tables of a segment; posted: tok, doc, attr, pos in order of tok and doc. Returns how many documents and blocks."""
+        """Writes the other tables of a segment; posted: tok, doc, attr, pos, one. Returns how many documents and blocks.
+
+        Rows are dealt by hash: a range would have all that is below it made twice, once for its bounds.
+        """
         at = lambda name: f"{self.path}/{folder}/{name}"
         table = lambda name: self.spark.read.schema(SCHEMAS[name]).parquet(at(name))
-        posted.select("tok", "doc", F.shiftright("doc", BLOCK_BITS).alias("block"), "attr", "pos").sortWithinPartitions("tok", "doc", "attr").write.parquet(at("postings"))
+        # by block too, as a word may be in every document
+        dealt = posted.withColumn("block", F.shiftright("doc", BLOCK_BITS)).repartition("tok", "block")
+        dealt.select("tok", "doc", "block", "attr", "pos", "one").sortWithinPartitions("tok", "doc", "attr").write.parquet(at("postings"))
         newest = rows.groupBy("block").agg(F.max("indexed_at").alias("newest"))
-        each = table("postings").groupBy("tok", "block").agg(F.size(F.collect_set("doc")).cast("long").alias("docs"), F.min("attr").alias("attr"), F.sum(F.size("pos")).alias("n"))
-        peaks = each.join(newest, "block").repartitionByRange("tok", "block").sortWithinPartitions("tok", "block")
+        each = table("postings").groupBy("tok", "block").agg(F.sum("one").cast("long").alias("docs"), F.min("attr").alias("attr"), F.sum(F.size("pos")).alias("n"))
+        peaks = each.join(newest, "block").repartition("tok").sortWithinPartitions("tok", "block")
         peaks.select("tok", "block", "docs", "attr", F.col("newest").cast("long").alias("newest"), "n").write.parquet(at("peaks"))
         whole = self.spark.read.schema(SCHEMAS["peaks"] + ", n long").parquet(at("peaks"))
-        whole.groupBy("tok").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(at("words"))
-        # a word that two typos may lead to is as long as the shortest query word with two, less these
-        two = F.when(F.length("tok") >= min(n for _, n in TYPO_LENGTHS.values()) - 2, deletions("tok")).otherwise(deletions("tok", 1))
+        whole.groupBy("tok").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).sortWithinPartitions("tok").write.parquet(at("words"))
         # dealt anew: a file of words is one task, and each word makes dozens of rows
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        long = table("words").where(F.length("tok") >= FORM_LEAST).repartition(tasks, "tok")
-        long.select(F.explode(two).alias("form"), "tok").repartitionByRange("form", "tok").sortWithinPartitions("form", "tok").write.parquet(at("forms"))
+        long = table("words").where(F.length("tok") >= FORM_LEAST).select("tok").repartition(tasks, "tok")
+        reachable(self.spark)
+        long.mapInArrow(_formed, SCHEMAS["forms"]).repartition("form").sortWithinPartitions("form").write.parquet(at("forms"))
         return rows.agg(F.count("*"), F.count_distinct("block")).first()
 
     def _segment(self, docs: DataFrame, seq: int) -> dict:
         folder = f"segment-{uuid.uuid4().hex}"
         rows = self._placed(docs.drop("content").withColumn("seq", F.lit(seq).cast("long")), folder)
-        words = postings(docs.join(rows.select("id", "doc"), "id"), ["doc"])
-        # the range holds all rows of a word and document, so the groups are made where they are
-        posted = words.repartitionByRange("tok", "doc").groupBy("tok", "doc", "attr").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+        words = [tokens(F.array_join(a, " ") if a == "tags" else F.col(a)).alias(f"a{i}") for i, a in enumerate(ATTRIBUTES)]
+        reachable(self.spark)
+        posted = docs.select("id", *ATTRIBUTES).join(rows.select("id", "doc"), "id").select("doc", *words).mapInArrow(_posted, SCHEMAS["postings"].replace(" block long,", ""))
         docs_, blocks = self._filled(folder, posted, rows)
         return {"folder": folder, "docs": docs_, "blocks": blocks, "later": seq > 0, "schema": rows.schema.json()}
 
@@ -151,7 +200,8 @@ class SearchIndex(Versioned):
         live = self._rows(part, m)
         rows = self._placed(live.withColumnRenamed("doc", "was").drop("block"), folder)
         moved = self._all(part, "postings").withColumnRenamed("doc", "was").join(rows.select("segment", "was", "doc"), ["segment", "was"])
-        posted = moved.select("tok", "doc", "attr", "pos").repartitionByRange("tok", "doc")
+        first = F.min("attr").over(Window.partitionBy("tok", "doc")) == F.col("attr")
+        posted = moved.select("tok", "doc", "attr", "pos", first.cast("int").alias("one"))
         docs, blocks = self._filled(folder, posted, rows)
         fresh = {"folder": folder, "docs": docs, "blocks": blocks, "later": not whole, "schema": rows.drop("segment", "was").schema.json()}
         kept = [s for s in m["segments"] if s not in some]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files or texts that a task hands on at once, and of those that it is handed; rows may be of any size.
+PIECE = 8 << 20
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a local one only where driver and executors are one."""
@@ -24,3 +29,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reachable(spark: SparkSession) -> None:
+    """Puts this package on the path of a local session's Python workers; on a cluster it is installed or shipped.
+
+    Arrow batches end at PIECE bytes, as texts and files may be of any size.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE))
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in path:
+        env["PYTHONPATH"] = os.pathsep.join([root, *path])

@@ -6,19 +6,18 @@ Every file gives a text or a reason, never an error; bytes come from Spark's bin
 from __future__ import annotations
 
 import io
-import os
 import re
 import signal
 import threading
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ACCENTED, FOLDED
+from tidemark.operators.scratch import PIECE, reachable
 from tidemark.operators.site import EXTENSIONS
 
 #: Bounds of what is parsed, and the seconds that one file may take.
@@ -29,8 +28,6 @@ _TABS = re.compile(rb"<(?:w:tab|text:tab|text:s)\b[^>]*/>")
 _TAGS = re.compile("<[^>]*>")
 #: Bytes that the parts of a packed file may unpack to.
 MOST_UNPACKED = 256 << 20
-#: Bytes of files or texts that a task hands on at once, and of those that it is handed; rows may be of any size.
-PIECE = 8 << 20
 #: The parts of a docx file that hold text.
 DOCX_PARTS = ("word/document.xml", *(f"word/{kind}{i}.xml" for kind in ("header", "footer") for i in (1, 2, 3)))
 
@@ -145,20 +142,6 @@ def extract(kind: str, data: bytes | None, most_mb: int = 50, parse_pdf: Callabl
     return None, f"unsupported_extension_{kind}"
 
 
-def _reachable() -> None:
-    """Puts this package on the path of a local session's Python workers; on a cluster it is installed or shipped.
-
-    Arrow batches end at PIECE bytes, as files may be large.
-    """
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE))
-        env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-        path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-        if root not in path:
-            env["PYTHONPATH"] = os.pathsep.join([root, *path])
-
-
 def pieces(values: Iterable, size: Callable) -> Iterator[list]:
     """Values in order, in lists of PIECE bytes and the last value: what a task holds doesn't grow with its rows."""
     out, held = [], 0
@@ -173,7 +156,8 @@ def pieces(values: Iterable, size: Callable) -> Iterator[list]:
 
 
 def extracted(kind: Column, content: Column, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None) -> Column:
-    _reachable()
+    if (spark := SparkSession.getActiveSession()) is not None:
+        reachable(spark)
 
     @F.pandas_udf("struct<text string, reason string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -257,7 +241,7 @@ def register(spark: SparkSession) -> list[str]:
 
     extract_text(kind, content): text, reason of a file. text_words(text): pos, tok of a text's folded words; nulls for one without.
     """
-    _reachable()
+    reachable(spark)
 
     @F.udtf(returnType="text string, reason string")
     class ExtractText:
