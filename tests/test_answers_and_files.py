@@ -121,3 +121,14 @@ def test_large_files_are_handed_on_a_few_at_a_time(spark):
     assert sum(map(len, got)) == 40 and max(s.map(len).sum() for s in got) <= X.PIECE
     made = spark.range(0, 300, 1, 1).select("id", F.expr("encode(repeat('x', 200000), 'utf-8')").alias("b"))
     assert made.select(X.extracted(F.lit("txt"), F.col("b")).alias("e")).where("length(e.text) = 200000").count() == 300
+
+
+def test_words_of_files_are_counted_without_a_sort(spark, tmp_path):
+    from tidemark.plans import more_queries as M
+
+    spark.createDataFrame([(1, "Él b b"), (2, " \n"), (3, ". ,")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = M.sql_table_functions(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, True, None, 3, "el"), (2, False, "empty_file", 0, None), (3, True, None, 0, None)]
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    above = plan[: next(i for i, line in enumerate(plan) if "Generate posexplode" in line)]
+    assert "HashAggregate" in [line for line in above if "Aggregate" in line][-1]

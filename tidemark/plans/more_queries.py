@@ -99,8 +99,10 @@ def sql_table_functions(spark, d):
     line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     name = f"uploads_{uuid.uuid4().hex}"
     src.read(spark, d, "documents").select("doc_id", F.lit("TXT").alias("kind"), F.encode(line, "utf-8").alias("content")).createOrReplaceTempView(name)
-    return spark.sql(f"""SELECT doc_id, any_value(reason) IS NULL AS readable, any_value(reason) AS reason, count(w.tok) AS words, min_by(w.tok, w.pos) AS first
-      FROM {name} u, LATERAL extract_text(u.kind, u.content) e, LATERAL text_words(e.text) w GROUP BY doc_id""")
+    # first words are keys, as a string among the aggregates would have all words sorted; a document has two such rows at most
+    return spark.sql(f"""SELECT doc_id, max(reason) IS NULL AS readable, max(reason) AS reason, sum(words) AS words, max(first) AS first
+      FROM (SELECT doc_id, reason, CASE WHEN w.pos = 0 THEN w.tok END AS first, count(w.tok) AS words
+        FROM {name} u, LATERAL extract_text(u.kind, u.content) e, LATERAL text_words(e.text) w GROUP BY ALL) GROUP BY doc_id""")
 
 
 # --- answers
