@@ -665,3 +665,27 @@ def test_hot_windows_are_merged_in_slices(monkeypatch):
     chunk = repeats.Chunk(unit, np.arange(50), 4, told)
     assert len(chunk.code) == 50 * (len(one) - 49) and len(chunk.content) == len(one) - 49
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700 << 10  # KB
+
+
+def test_a_bucket_is_solved_in_groups_of_picks(monkeypatch):
+    """Work and memory of a bucket grow with its bytes: no shard is looked up in the others, each window's class lies in one group."""
+    from tidemark.llm import repeats
+
+    rng = np.random.default_rng(0)
+    text = rng.integers(97, 123, 1_500_000, dtype=np.uint8)
+    unit, copy = (repeats.Bytes(b, np.array([0, len(b)])) for b in (text, text[5000:]))
+    picked = pyarrow.concat_tables([repeats.picks_of(unit, 0, 1), repeats.picks_of(copy, 1, 1)])
+    state = dict(zip(*repeats.shared(picked, 2000).select(["chunk", "data"]).to_pydict().values(), strict=True))
+    chunks = [repeats.Chunk(u, np.array([i]), 1, {0: state[i]}) for i, u in enumerate((unit, copy))]
+    sent = pyarrow.concat_tables([c.sent(i) for i, c in enumerate(chunks)])
+    sizes, shards, merged = [], [], suffix_array_dedup.merged
+    monkeypatch.setattr(suffix_array_dedup, "merged", lambda s: (shards.append(len(s)), merged(s))[1])
+
+    def solver(content, windows, least):
+        sizes.append(content.nbytes)
+        return suffix_array_dedup.earliest(content, windows, least)
+
+    found = dict(zip(*repeats.answers(sent, solver).select(["chunk", "data"]).to_pydict().values(), strict=True))
+    gone = [int(np.bitwise_count(repeats.covered(u, c, {0: found[i]})).sum()) for i, (u, c) in enumerate(zip((unit, copy), chunks, strict=True))]
+    assert gone == [0, len(text) - 5000 - 49]
+    assert set(shards) == {1} and max(sizes) < 1 << 20 and len(sizes) > 5

@@ -34,6 +34,8 @@ LEAST_CHUNK, MOST_CHUNK, CHUNKS = 1 << 20, 4 << 20, 256
 HOT = 2000
 #: Pieces whose contents are copied at once.
 SLICE = 1 << 14
+#: Bytes of a group of picks that a solver gets at once, but for a single pick of more.
+GROUP_BYTES = 1 << 18
 #: Windows of a piece at most (the bits of an answer).
 MOST_WINDOWS = 32
 _LOW = np.uint64((1 << 40) - 1)
@@ -282,9 +284,16 @@ def answers(t: pa.Table, solver: Solver) -> pa.Table:
     np.minimum.at(first, code, np.arange(len(code)))
     smallest_id = np.full(m, np.iinfo(np.int64).max)
     np.minimum.at(smallest_id, code, least)
-    n = windows[first].astype(np.int64)
-    place = np.r_[0, np.cumsum(n)]
-    have = solver(content, n, smallest_id)
+    # equal windows have one route: whole routes are solved in groups of bounded size, so the work grows with the bucket's bytes
+    by = np.argsort(route[first], kind="stable")
+    r, length = route[first][by], lens[first][by].astype(np.int64)
+    new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    number = (np.cumsum(length) - length)[new] // GROUP_BYTES
+    cuts = [*new[np.r_[True, number[1:] != number[:-1]]].tolist(), m]
+    content, n, smallest_id = content.take(pa.array(by)), windows[first][by].astype(np.int64), smallest_id[by]
+    have = np.concatenate([solver(content.slice(i, j - i), n[i:j], smallest_id[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+    place = np.empty(m, np.int64)
+    place[by] = np.cumsum(n) - n
     size = windows.astype(np.int64)
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     hit = have[np.repeat(place[code], size) + inner] < np.repeat(least, size)

@@ -1,9 +1,9 @@
 """Removal of byte strings that an earlier document has, by suffix arrays.
 
-Within a bucket of repeats.py the pieces are cut into shards of bounded size. Each shard gets a suffix array by Larsson and
-Sadakane's refinement (only suffixes that are not yet told apart are sorted again, by their rank h places on), and common
-prefixes by Kasai's method, one lane a piece. Suffixes with 50 bytes in common form a class with its smallest id; shards
-are merged by binary search of their sorted classes.
+Groups of picks from repeats.py are shards, as a window's class lies in one group; only a group of one pick may be larger and is
+cut. Each shard gets a suffix array to the depth of a window by Larsson and Sadakane's refinement: only suffixes that are not
+yet told apart are sorted again, by their rank h places on. Suffixes with one rank form a class with its smallest id; shards
+of a pick are merged by binary search of their sorted classes.
 """
 
 from __future__ import annotations
@@ -23,110 +23,73 @@ from .repeats import Bytes, Unit, mark, nullable
 SHARD_BYTES = 1 << 20
 
 
-def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` bytes at least; end[i] is where the string that holds i ends.
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' order, and the keys in it. Keys of few bits are sorted as values with their places below them."""
+    low = max(len(key) - 1, 1).bit_length()
+    if bits + low > 64:
+        by = np.argsort(key, kind="stable")
+        return by, key[by]
+    packed = np.sort(key << np.uint64(low) | np.arange(len(key), dtype=np.uint64))
+    return (packed & np.uint64((1 << low) - 1)).astype(np.int64), packed >> np.uint64(low)
 
-    A string's end comes before every byte. Suffixes alike in all those bytes stay in the order of their places.
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _news(x: np.ndarray) -> np.ndarray:
+    return np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+
+
+def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows in the order of their `depth` bytes, and whether each differs from the one before it.
+
+    left[i] is how many bytes of windows there are from place i on, and one more; windows begin where it is over `depth`. Only
+    places that some window still asks for are ranked by the next length.
     """
-    n = len(text)
-    at = np.arange(n)
-    symbol = text.astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, np.uint64)
-    for j in range(7):
-        here = np.zeros(n, np.uint64)
-        inside = at[: n - j] + j < end[: n - j]
-        here[: n - j] = np.where(inside, symbol[j:], 0)
-        key = key << np.uint64(9) | here
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    first = _group_starts(ordered)
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = 0
-    rank[order] = first + 1
-    h = 7
-    group = first  # of each place in `order`, where its group begins
+    h = min(5, depth)
+    at = np.flatnonzero(left > h)
+    eight = np.ndarray((len(text),), ">u8", np.r_[text, np.zeros(8, np.uint8)], strides=(1,))
+    by, key = _sorted(eight[at].astype(np.uint64) >> np.uint64(64 - 8 * h), 8 * h)
+    at = at[by]
+    bits = len(text).bit_length()
+    rank = np.zeros(len(text), np.int64)  # of each place, where its group begins
+    rank[at] = _starts(_news(key))
     while h < depth:
-        later = np.r_[group[1:] == group[:-1], False]
+        to = min(2 * h, depth)
+        at = at[left[at] > to]
+        old = rank[at]
+        later = np.r_[old[1:] == old[:-1], False]
         open_ = np.flatnonzero(later | np.r_[False, later[:-1]])
-        if not len(open_):
-            break
-        p = order[open_]
-        nxt = np.where(p + h < end[p], rank[np.minimum(p + h, n)], 0)
-        by = np.argsort(group[open_] * (n + 1) + nxt, kind="stable")
-        p, nxt, old = p[by], nxt[by], group[open_][by]
-        order[open_] = p
-        new = np.r_[True, (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1])]
-        group = group.copy()
-        group[open_] = np.maximum.accumulate(np.where(new, open_, 0))
-        rank[p] = group[open_] + 1
-        h *= 2
-    return order
-
-
-def _group_starts(ordered: np.ndarray) -> np.ndarray:
-    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
-    return np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: np.ndarray, depth: int) -> np.ndarray:
-    """For every place in `order`, the bytes in common with the suffix before it, up to `depth`; Kasai's method.
-
-    Each string is a lane that goes from one suffix to the next with what is left of the last common prefix. Only the
-    first lanes[i] suffixes of string i are asked for; others get 0.
-    """
-    n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    lcp = np.zeros(n, np.int64)
-    h = np.zeros(len(start), np.int64)
-    live = np.arange(len(start))
-    stop = np.repeat(end, end - start)
-    t = 0
-    while True:
-        live = live[lanes[live] > t]
-        if not len(live):
-            return lcp
-        i = start[live] + t
-        before = place[i] - 1
-        j = order[np.maximum(before, 0)]
-        h[live] = np.where(before < 0, 0, np.maximum(h[live] - 1, 0))
-        most = np.minimum(np.minimum(end[live] - i, stop[j] - j), depth)
-        most[before < 0] = 0
-        length = np.minimum(h[live], most)
-        go = np.flatnonzero(length < most)
-        while len(go):
-            at = length[go]
-            go = go[text[i[go] + at] == text[j[go] + at]]
-            length[go] += 1
-            go = go[length[go] < most[go]]
-        h[live] = length
-        lcp[place[i]] = length
-        t += 1
+        p = at[open_]
+        by, key = _sorted((old[open_] << bits | rank[p + to - h]).astype(np.uint64), 2 * bits)
+        p = at[open_] = p[by]
+        group = (key >> np.uint64(bits)).astype(np.int64)
+        rank[p] = group + _starts(_news(key)) - _starts(_news(group))
+        h = to
+    return at, _news(rank[at])
 
 
 class Shard:
-    """A shard's classes of windows: sorted windows, their least ids, and each window's class."""
+    """A shard's classes of windows: their least ids, and each window's class."""
 
     def __init__(self, content: pa.Array, windows: np.ndarray, least: np.ndarray, depth: int):
         off = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
-        text = np.frombuffer(content.buffers()[2], np.uint8)[off[0] : off[-1]]
-        start, end = off[:-1] - off[0], off[1:] - off[0]
-        size = end - start
+        self.text, self.depth = np.frombuffer(content.buffers()[2], np.uint8)[off[0] : off[-1]], depth
+        size = np.diff(off)
         piece = np.repeat(np.arange(len(size)), size)
-        inner = np.arange(len(text)) - np.repeat(start, size)
-        # sorted to the strings' ends: a carried common prefix relies on the exact order
-        order = suffix_array(text, np.repeat(end, size), int(size.max(initial=0)))
-        lcp = common_prefixes(text, order, start, end, windows, depth)
-        window = inner[order] < windows[piece[order]]
-        at, lcp = order[window], lcp[window]
-        new = lcp < depth
-        cls = np.cumsum(new) - 1
-        heads = at[new]
+        left = np.repeat(off[:-1] - off[0] + windows + depth, size) - np.arange(len(self.text))
+        at, new = suffix_array(self.text, left, depth)
+        self.heads = at[new]
         self.least = np.minimum.reduceat(least[piece[at]], np.flatnonzero(new)) if len(at) else np.zeros(0, np.int64)
-        self.keys = np.ascontiguousarray(text[heads[:, None] + np.arange(depth)]).view(f"S{depth}").ravel() if len(heads) else np.zeros(0, f"S{depth}")
-        of = np.zeros(len(text), np.int64)
-        of[at] = cls
-        self.cls = of[inner < windows[piece]]
+        of = np.zeros(len(self.text), np.int64)
+        of[at] = np.cumsum(new) - 1
+        self.cls = of[left > depth]
+
+    @property
+    def keys(self) -> np.ndarray:
+        """The classes' windows, in order."""
+        return np.ascontiguousarray(self.text[self.heads[:, None] + np.arange(self.depth)]).view(f"S{self.depth}").ravel() if len(self.heads) else np.zeros(0, f"S{self.depth}")
 
 
 def merged(shards: list[Shard]) -> list[np.ndarray]:
@@ -135,10 +98,11 @@ def merged(shards: list[Shard]) -> list[np.ndarray]:
         return [shards[0].least]
     keys, least = shards[0].keys, shards[0].least.copy()
     for s in shards[1:]:
-        at = np.searchsorted(keys, s.keys)
-        hit = keys[np.minimum(at, len(keys) - 1)] == s.keys if len(keys) else np.zeros(len(s.keys), bool)
+        own = s.keys
+        at = np.searchsorted(keys, own)
+        hit = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(own), bool)
         least[at[hit]] = np.minimum(least[at[hit]], s.least[hit])
-        keys, least = np.insert(keys, at[~hit], s.keys[~hit]), np.insert(least, at[~hit], s.least[~hit])
+        keys, least = np.insert(keys, at[~hit], own[~hit]), np.insert(least, at[~hit], s.least[~hit])
     return [least[np.searchsorted(keys, s.keys)] for s in shards]
 
 
