@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,15 @@ def test_an_answer_is_one_json_document(spark, docs):
     assert (none["hits"], none["totalHits"], none["tagFacets"], none["facets"]) == ([], 0, [], {"type": {}, "locale": {}, "tags": {}})
 
 
+def test_an_answer_matches_the_documents_once(spark, docs, tmp_path):
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    tags = spark.createDataFrame([("news", "News")], "slug string, label string")
+    answer = R.response(spark.read.parquet(f"file://{tmp_path}/docs"), S.Request("cafe", limit=2), tags)
+    plan = answer._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*content#", plan)) == 1  # what shows the page
+    assert json.loads(answer.first().json)["totalHits"] == 3
+
+
 def test_files_of_a_folder_and_their_markers(spark, tmp_path):
     root = tmp_path / "files"
     for name, data in {"top.txt": b"top", "a/one.TXT": b"one", "a/b/two.md": b"two", "a/b/c/three.exe": b"x", "d/four.txt": b"", "d/big.txt": b"y" * ((1 << 20) + 1), "d/e/five.rtf": b"{\\rtf1 five}"}.items():

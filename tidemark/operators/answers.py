@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import search as S
 from .pages import canonical_tag_facets
+from .scratch import written
 from .settings import resolve_hit_tags
 from .site import EXTENSIONS
 
@@ -18,11 +19,12 @@ def response(docs: DataFrame, request: S.Request, tags: DataFrame, synonyms: dic
     """One row, json: hits in rank order, totalHits, offset, limit, facets, tagFacets (most first) and queryTimeMs.
 
     tags: slug, label. A page holds at most S.MOST_HITS hits; the facets and the total are those of all that was matched,
-    which is found once: facets, total and the page are three aggregates of it. A request without hits has empty lists.
+    which is found once and written without texts to the shared folder: facets, total and the page read it from there, so the
+    documents are read once to match them and once to show the page. A request without hits has empty lists.
     """
     limit, offset = S.clamped(request)
     fields = ("type", "locale", "tags")
-    all_ = S.matched(docs, request, None, synonyms, fields)
+    all_ = written(S.matched(docs, request, None, synonyms, fields), "matched")
     page = all_.orderBy(*S.ranking()).offset(offset).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*S.ranking())))
     shown = S.hit_view(docs, page, request, synonyms).join(page.select("id", "rank"), "id")
     named = resolve_hit_tags(shown.select("id", "tags"), tags).withColumnRenamed("tags", "tagsResolved")
