@@ -142,3 +142,10 @@ def test_words_of_files_are_counted_without_a_sort(spark, tmp_path):
     plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
     above = plan[: next(i for i, line in enumerate(plan) if "Generate posexplode" in line)]
     assert "HashAggregate" in [line for line in above if "Aggregate" in line][-1]
+
+
+def test_memory_of_a_piece_goes_back_once_it_is_handed_on(monkeypatch):
+    given = []
+    monkeypatch.setattr(X, "tidy", lambda: given.append(1), raising=False)
+    sizes = [len(some) for some in X.pieces(["x" * (1 << 20)] * 20, len)]
+    assert sizes == [8, 8, 4] and len(given) == 3

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:  # glibc only
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
 #: Bytes of files or texts that a task hands on at once, and of those that it is handed; rows may be of any size.
 PIECE = 8 << 20
 
@@ -31,6 +37,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and pools keep what they once held."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def reachable(spark: SparkSession) -> None:
     """Puts this package on the path of a local session's Python workers; on a cluster it is installed or shipped.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ACCENTED, FOLDED
-from tidemark.operators.scratch import PIECE, reachable
+from tidemark.operators.scratch import PIECE, reachable, tidy
 from tidemark.operators.site import EXTENSIONS
 
 #: Bounds of what is parsed, and the seconds that one file may take.
@@ -143,7 +143,10 @@ def extract(kind: str, data: bytes | None, most_mb: int = 50, parse_pdf: Callabl
 
 
 def pieces(values: Iterable, size: Callable) -> Iterator[list]:
-    """Values in order, in lists of PIECE bytes and the last value: what a task holds doesn't grow with its rows."""
+    """Values in order, in lists of PIECE bytes and the last value: what a task holds doesn't grow with its rows.
+
+    What a list took goes back to the system once it is handed on.
+    """
     out, held = [], 0
     for v in values:
         out.append(v)
@@ -151,8 +154,10 @@ def pieces(values: Iterable, size: Callable) -> Iterator[list]:
         if held >= PIECE:
             yield out
             out, held = [], 0
+            tidy()
     if out:
         yield out
+    tidy()
 
 
 def extracted(kind: Column, content: Column, most_mb: int = 50, parse_pdf: Callable[[bytes], str] | None = None) -> Column:
